@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -38,7 +39,7 @@ THRESHOLD = 0.5
 SILENT = 0.001
 #: Weight of the prior belief about the voters against their votes, on abusive and on other sentences.
 BELIEF, BELIEF_BENIGN = 2.0, 0.05
-#: Of sentences without a vote, one in so many is kept for the classifier.
+#: Of sentences of everyday words or no vote at all, one in so many is kept for the classifier.
 QUIET = 50
 
 # ---------------------------------------------------------------- lexicons
@@ -290,21 +291,20 @@ class Model:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        patterns, kept, quiet = [], [], 0
+        patterns, kept, quiet = [], [], Counter()
         for text in batch.column("text").to_pylist():
             for s in sentences(text):
                 s = plain(s)
                 pattern = votes(s)
-                if pattern.strip("-"):
+                if "1" in pattern or pattern[8:] != "--":
                     patterns.append(pattern)
                     kept.append(s)
                 elif zlib.crc32(s.encode()) % QUIET == 0:
                     patterns.append(pattern)
                     kept.append(s)
                 else:
-                    quiet += 1
-        n = [1] * len(kept) + [quiet]
-        yield pa.RecordBatch.from_arrays([pa.array([*patterns, "-" * len(VOTERS)], pa.string()), pa.array([*kept, None], pa.string()), pa.array(n, pa.int64())], ["pattern", "sentence", "n"])
+                    quiet[pattern] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([*patterns, *quiet], pa.string()), pa.array([*kept, *[None] * len(quiet)], pa.string()), pa.array([*[1] * len(kept), *quiet.values()], pa.int64())], ["pattern", "sentence", "n"])
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[Model, LabelModel]:
@@ -315,13 +315,13 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[Model, LabelModel
     if not len(counted):
         return Model(np.zeros(DIMENSIONS)), LabelModel(["-" * len(VOTERS)], np.ones(1))
     labels = LabelModel(counted["pattern"].tolist(), counted["n"].to_numpy())
-    # Distinct sentences; half the sample at most is without votes.
+    # Distinct sentences; half the sample at most is of those no voter holds to be abusive.
     distinct = cast.where("sentence is not null").groupBy("sentence").agg(F.first("pattern").alias("pattern"), F.count("*").alias("n")).withColumn("o", F.xxhash64("sentence"))
-    quiet = "-" * len(VOTERS)
-    chosen = [*distinct.where(F.col("pattern") != quiet).orderBy("o").limit(sample // 2).collect(), *distinct.where(F.col("pattern") == quiet).orderBy("o").limit(sample // 2).collect()]
+    suspect = F.col("pattern").contains("1")
+    chosen = [r for side in (suspect, ~suspect) for r in distinct.where(side).orderBy(F.col("pattern").endswith("--"), "o").limit(sample // 2).collect()]
     targets = np.array([labels.probability(r["pattern"]) for r in chosen])
     # Sentences that got a vote are few and differ in the words that matter; repeated ones weigh a little more.
-    weights = np.array([1.0 if r["pattern"] == quiet else 4.0 * (1 + np.log2(r["n"])) for r in chosen])
+    weights = np.array([1.0 if "1" not in r["pattern"] else 4.0 * (1 + np.log2(r["n"])) for r in chosen])
     return Model(fit([features(r["sentence"], r["pattern"]) for r in chosen], targets, weights)), labels
 
 
