@@ -90,7 +90,7 @@ SELF = re.compile(r"\bi (?:was|am|felt like|feel like|have been) (?:such )?(?:an
 VOTERS = ("insult", "directed insult", "threat", "hate", "sexual", "soliciting", "dehumanizing", "everyday", "mention", "self")
 AGAINST = (7, 8, 9)
 #: How often each voter is believed to vote on sentences of the other side: words alone slip more than phrases.
-SLIPS = (0.003, 0.002, 0.0005, 0.0005, 0.002, 0.0005, 0.002, 0.005, 0.005, 0.0005)
+SLIPS = (0.003, 0.002, 0.0003, 0.0003, 0.002, 0.0005, 0.002, 0.005, 0.005, 0.0003)
 
 # ---------------------------------------------------------------- disguises
 
