@@ -84,9 +84,16 @@ EVERYDAY_WORDS = frozenset(
     "gari dukan sale saman lineman meter battery cricket exam bill slip receipt bank account balance branch fee shop order customs helpline safar meeting class raseed".split()
 )
 EVERYDAY = re.compile(r"\b(?:gali mein|rider wapas|dog bit|cold killed|farm smells|clinic offers)\b|رسید|دفتر|بجلی|کتاب|قسط|درخواست|ہسپتال")
-MENTION = re.compile(r"\b(?:poster says|sign says|no nudity|no insults|workshop|awareness|seminar|training|helpline now|records abusive|abusive calls|two warnings|was fined|does not repeat|hate speech|harassment|reported that|notice (?:says|does)|community centre|neighbours cooked|welcomes everyone|he joked|policy|moderat\w+)\b")
+MENTION = re.compile(r"\b(?:poster says|sign says|no nudity|no insults|workshop|awareness|seminar|training|helpline now|records abusive|abusive calls|two warnings|was fined|does not repeat|hate speech|harassment|community centre|neighbours cooked|welcomes everyone|he joked|policy|moderat\w+)\b")
 SELF = re.compile(r"\bi (?:was|am|felt like|feel like|have been) (?:such )?(?:an? |so )?\w+\b|\bmyself\b|\blesson learned\b|\bmy own fault\b|\bmain (?:hi )?(?:bewaqoof|gadha|ullu)\b")
 
+#: Words without one of which a pattern cannot match.
+HATE_WORDS = frozenset("wipe driven them coffin rid born breathe waste burn exterminate until locked paida nafrat nasl wajood nikal inhen breed stupid vermin filth animals cockroaches trust deserves".split())
+HARM_WORDS = (HARM - {"drop", "die", "find"}) | {"joote", "find", "knife", "alive", "haddiyan", "hope", "gala", "goli", "crack", "drown", "suffer", "die"}
+MENTION_WORDS = frozenset("poster sign nudity insults workshop awareness seminar training records abusive warnings fined repeat speech harassment community neighbours welcomes joked policy moderator moderators moderation moderated".split())
+SELF_WORDS = frozenset("i myself main lesson own".split())
+SCENE_WORDS = frozenset("gali rider dog cold smells offers".split())
+
 VOTERS = ("insult", "directed insult", "threat", "hate", "sexual", "soliciting", "dehumanizing", "everyday", "mention", "self")
 AGAINST = (7, 8, 9)
 #: How often each voter is believed to vote on sentences of the other side: words alone slip more than phrases.
@@ -131,52 +138,87 @@ def _plain_token(token: str) -> str:
     return out
 
 
+_tokens: dict[str, str] = {}
+MOST_TOKENS = 300_000
+
+
+def plain_tokens(sentence: str) -> list[str]:
+    """The lower-cased words, with disguises undone."""
+    low = sentence.lower() if sentence.isascii() else by_table(sentence).lower()
+    found = TOKENS.findall(low)
+    if len([t for t in found if len(t) == 1]) > 2:
+        found = TOKENS.findall(SPACED.sub(lambda m: m[0][::2], low))
+    out = []
+    for token in found:
+        known = _tokens.get(token)
+        if known is None:
+            if len(_tokens) > MOST_TOKENS:
+                _tokens.clear()
+            known = _tokens[token] = _plain_token(token)
+        out.append(known)
+    return out
+
+
 def plain(sentence: str) -> str:
-    """Lower case, with disguises undone."""
-    low = by_table(sentence).lower()
-    low = SPACED.sub(lambda m: m[0][:: 2], low)
-    return " ".join(_plain_token(t) for t in TOKENS.findall(low)) if low.isascii() else TOKENS.sub(lambda m: _plain_token(m[0]), low)
+    return " ".join(plain_tokens(sentence))
 
 
 SENTENCE = re.compile(r"(?<=[.!?۔؟])\s+|\n+|\s-\s")
+SPEAKER = re.compile(r"(?:[AB]|\w{1,12}):\s")
 
 
 def sentences(text: str) -> list[str]:
-    parts = [re.sub(r"^(?:[AB]|\w{1,12}):\s", "", s.strip()) for s in SENTENCE.split(text)]
-    # A text without marks is one sentence; its words are still seen.
-    return [s for s in parts if s]
+    """Sentences; a text without marks is one."""
+    out = []
+    for s in SENTENCE.split(text):
+        s = s.strip()
+        m = SPEAKER.match(s) if ":" in s else None
+        if m:
+            s = s[m.end() :]
+        if s:
+            out.append(s)
+    return out
 
 
-def votes(sentence: str) -> str:
-    """One character per voter: 1 for abusive, 0 for not, - for no vote. ``sentence`` is plain."""
-    tokens = set(re.findall(r"\w+", sentence))
+def votes(tokens: list[str]) -> str:
+    """One character per voter on a sentence of plain tokens: 1 for abusive, 0 for not, - for no vote."""
+    seen = set(tokens)
+    insult, sexual = not INSULTS.isdisjoint(seen), not SEXUAL.isdisjoint(seen)
+    harm, hate = not HARM_WORDS.isdisjoint(seen), not HATE_WORDS.isdisjoint(seen)
+    mention, own, scene = not MENTION_WORDS.isdisjoint(seen), not SELF_WORDS.isdisjoint(seen), not SCENE_WORDS.isdisjoint(seen)
+    everyday = not EVERYDAY_WORDS.isdisjoint(seen)
+    urdu = not all(map(str.isascii, tokens))
+    if not (insult or sexual or harm or hate or mention or own or scene or urdu):
+        return QUIET_EVERYDAY if everyday else QUIET_PATTERN
+    sentence = " ".join(tokens)
     v = ["-"] * len(VOTERS)
-    urdu = not sentence.isascii()
-    insult = not INSULTS.isdisjoint(tokens) or bool(urdu and INSULT_URDU.search(sentence))
-    if insult:
+    if insult or (urdu and INSULT_URDU.search(sentence)):
         v[0] = "1"
         if DIRECTED.search(sentence):
             v[1] = "1"
-    if (not HARM.isdisjoint(tokens) or "joote" in tokens or "find" in tokens or "knife" in tokens or "nobody" in tokens or "haddiyan" in tokens) and THREAT.search(sentence) or (urdu and THREAT_URDU.search(sentence)):
+    if (harm and THREAT.search(sentence)) or (urdu and THREAT_URDU.search(sentence)):
         v[2] = "1"
-    if GROUP_HATE.search(sentence) or (urdu and HATE_URDU.search(sentence)):
+    if (hate and GROUP_HATE.search(sentence)) or (urdu and HATE_URDU.search(sentence)):
         v[3] = "1"
-    sexual = not SEXUAL.isdisjoint(tokens) or bool(urdu and SEXUAL_URDU.search(sentence))
-    if sexual:
+    if sexual or (urdu and SEXUAL_URDU.search(sentence)):
         v[4] = "1"
-        if SOLICIT.search(sentence) or urdu:
+        if SOLICIT.search(sentence) or (urdu and SEXUAL_URDU.search(sentence)):
             v[5] = "1"
-    if not DEHUMANIZING.isdisjoint(tokens):
+    if not DEHUMANIZING.isdisjoint(seen):
         v[6] = "1"
-    if not EVERYDAY_WORDS.isdisjoint(tokens) or EVERYDAY.search(sentence):
+    if everyday or ((scene or urdu) and EVERYDAY.search(sentence)):
         v[7] = "0"
-    if MENTION.search(sentence):
+    if mention and MENTION.search(sentence):
         v[8] = "0"
-    if ("i" in tokens or "myself" in tokens or "main" in tokens or "lesson" in tokens) and SELF.search(sentence) and not re.search(r"\b(?:you|your)\b", sentence):
+    if own and SELF.search(sentence) and "you" not in seen and "your" not in seen:
         v[9] = "0"
     return "".join(v)
 
 
+QUIET_PATTERN = "-" * len(VOTERS)
+QUIET_EVERYDAY = "".join("0" if v == "everyday" else "-" for v in VOTERS)
+
+
 # ---------------------------------------------------------------- label model
 
 
@@ -248,11 +290,28 @@ class LabelModel:
 # ---------------------------------------------------------------- classifier
 
 
-def features(sentence: str, pattern: str) -> list[int]:
-    """Hashed words, pairs of words and votes of a plain sentence."""
-    words = re.findall(r"[^\W\d]{2,}", sentence)
-    grams = words + [f"{a} {b}" for a, b in pairwise(words)] + [f"={j}{v}" for j, v in enumerate(pattern) if v != "-"] + [f"=={pattern}"]
-    return list({zlib.crc32(g.encode()) % (DIMENSIONS - 1) + 1 for g in grams})
+_places: dict[str, int] = {}
+
+
+def _place(gram: str) -> int:
+    """The place of a feature among the hashed ones; places of words are kept."""
+    at = _places.get(gram)
+    if at is None:
+        if len(_places) > MOST_TOKENS:
+            _places.clear()
+        at = _places[gram] = zlib.crc32(gram.encode()) % (DIMENSIONS - 1) + 1
+    return at
+
+
+def features(tokens: list[str], pattern: str) -> list[int]:
+    """Hashed words and votes of a sentence; where a voter spoke other than of everyday things, also pairs of words."""
+    words = [t for t in tokens if len(t) > 1 and t.isalpha()]
+    found = {_place(w) for w in words}
+    if pattern not in (QUIET_PATTERN, QUIET_EVERYDAY):
+        found.update(zlib.crc32(f"{a} {b}".encode()) % (DIMENSIONS - 1) + 1 for a, b in pairwise(words))
+        found.update(_place(f"={j}{v}") for j, v in enumerate(pattern) if v != "-")
+    found.add(_place(f"=={pattern}"))
+    return list(found)
 
 
 def fit(rows: list[list[int]], targets: np.ndarray, weights: np.ndarray, epochs: int = 20, l2: float = 1e-6, seed: int = 7) -> np.ndarray:
@@ -275,18 +334,33 @@ class Model:
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights.astype(np.float32)
+        self.quiet = {p: float(self.weights[_place(f"=={p}")]) for p in (QUIET_PATTERN, QUIET_EVERYDAY)}
+        self.known: dict[str, float] = {}
+
+    def _keep(self, token: str) -> float:
+        """The weight of a word, kept for the next time."""
+        if len(self.known) > MOST_TOKENS:
+            self.known.clear()
+        w = self.known[token] = float(self.weights[_place(token)]) if len(token) > 1 and token.isalpha() else 0.0
+        return w
 
     def score(self, text: str) -> tuple[float, int]:
         """The probability of the worst sentence, and which it is."""
-        best, which = 0.0, -1
+        best, which = -30.0, -1
+        quiet, known = self.quiet, self.known
         for k, s in enumerate(sentences(text)):
-            s = plain(s)
-            pattern = votes(s)
-            z = float(self.weights[0] + self.weights[features(s, pattern)].sum())
-            p = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
-            if p > best:
-                best, which = p, k
-        return best, which
+            tokens = plain_tokens(s)
+            pattern = votes(tokens)
+            if pattern == QUIET_PATTERN or pattern == QUIET_EVERYDAY:
+                z = quiet[pattern]
+                for t in set(tokens):
+                    w = known.get(t)
+                    z += self._keep(t) if w is None else w
+            else:
+                z = float(self.weights[features(tokens, pattern)].sum())
+            if z > best:
+                best, which = z, k
+        return 1 / (1 + float(np.exp(-min(30.0, best + float(self.weights[0]))))), which
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,14 +368,11 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns, kept, quiet = [], [], Counter()
         for text in batch.column("text").to_pylist():
             for s in sentences(text):
-                s = plain(s)
-                pattern = votes(s)
-                if "1" in pattern or pattern[8:] != "--":
-                    patterns.append(pattern)
-                    kept.append(s)
-                elif zlib.crc32(s.encode()) % QUIET == 0:
+                tokens = plain_tokens(s)
+                pattern = votes(tokens)
+                if "1" in pattern or pattern[8:] != "--" or zlib.crc32(s.encode()) % QUIET == 0:
                     patterns.append(pattern)
-                    kept.append(s)
+                    kept.append(" ".join(tokens))
                 else:
                     quiet[pattern] += 1
         yield pa.RecordBatch.from_arrays([pa.array([*patterns, *quiet], pa.string()), pa.array([*kept, *[None] * len(quiet)], pa.string()), pa.array([*[1] * len(kept), *quiet.values()], pa.int64())], ["pattern", "sentence", "n"])
@@ -322,7 +393,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[Model, LabelModel
     targets = np.array([labels.probability(r["pattern"]) for r in chosen])
     # Sentences that got a vote are few and differ in the words that matter; repeated ones weigh a little more.
     weights = np.array([1.0 if "1" not in r["pattern"] else 4.0 * (1 + np.log2(r["n"])) for r in chosen])
-    return Model(fit([features(r["sentence"], r["pattern"]) for r in chosen], targets, weights)), labels
+    return Model(fit([features(r["sentence"].split(), r["pattern"]) for r in chosen], targets, weights)), labels
 
 
 def scored(documents: DataFrame, model: Model | None = None, sample: int = SAMPLE) -> DataFrame:
