@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paigham.llm.common import has_text
-from paigham.llm.p1_lookalike import by_table
+from paigham.llm.p1_lookalike import TABLE, by_table
 from paigham.storage import cut
 
 SAMPLE = 40_000
@@ -93,6 +93,7 @@ HARM_WORDS = (HARM - {"drop", "die", "find"}) | {"joote", "find", "knife", "aliv
 MENTION_WORDS = frozenset("poster sign nudity insults workshop awareness seminar training records abusive warnings fined repeat speech harassment community neighbours welcomes joked policy moderator moderators moderation moderated".split())
 SELF_WORDS = frozenset("i myself main lesson own".split())
 SCENE_WORDS = frozenset("gali rider dog cold smells offers".split())
+TRIGGERS = INSULTS | SEXUAL | DEHUMANIZING | HATE_WORDS | HARM_WORDS | MENTION_WORDS | SELF_WORDS | SCENE_WORDS
 
 VOTERS = ("insult", "directed insult", "threat", "hate", "sexual", "soliciting", "dehumanizing", "everyday", "mention", "self")
 AGAINST = (7, 8, 9)
@@ -138,13 +139,15 @@ def _plain_token(token: str) -> str:
     return out
 
 
+#: Characters by_table changes.
+ODD = re.compile("[" + "".join(map(chr, TABLE)) + chr(0x300) + "-" + chr(0x36F) + chr(0x653) + "-" + chr(0x655) + "]")
 _tokens: dict[str, str] = {}
 MOST_TOKENS = 300_000
 
 
 def plain_tokens(sentence: str) -> list[str]:
     """The lower-cased words, with disguises undone."""
-    low = sentence.lower() if sentence.isascii() else by_table(sentence).lower()
+    low = (by_table(sentence) if not sentence.isascii() and ODD.search(sentence) else sentence).lower()
     found = TOKENS.findall(low)
     if len([t for t in found if len(t) == 1]) > 2:
         found = TOKENS.findall(SPACED.sub(lambda m: m[0][::2], low))
@@ -180,16 +183,16 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def votes(tokens: list[str]) -> str:
+def votes(tokens: list[str], urdu: bool | None = None) -> str:
     """One character per voter on a sentence of plain tokens: 1 for abusive, 0 for not, - for no vote."""
     seen = set(tokens)
+    urdu = not all(map(str.isascii, tokens)) if urdu is None else urdu
+    if not urdu and TRIGGERS.isdisjoint(seen):
+        return QUIET_PATTERN if EVERYDAY_WORDS.isdisjoint(seen) else QUIET_EVERYDAY
     insult, sexual = not INSULTS.isdisjoint(seen), not SEXUAL.isdisjoint(seen)
     harm, hate = not HARM_WORDS.isdisjoint(seen), not HATE_WORDS.isdisjoint(seen)
     mention, own, scene = not MENTION_WORDS.isdisjoint(seen), not SELF_WORDS.isdisjoint(seen), not SCENE_WORDS.isdisjoint(seen)
     everyday = not EVERYDAY_WORDS.isdisjoint(seen)
-    urdu = not all(map(str.isascii, tokens))
-    if not (insult or sexual or harm or hate or mention or own or scene or urdu):
-        return QUIET_EVERYDAY if everyday else QUIET_PATTERN
     sentence = " ".join(tokens)
     v = ["-"] * len(VOTERS)
     if insult or (urdu and INSULT_URDU.search(sentence)):
@@ -350,7 +353,7 @@ class Model:
         quiet, known = self.quiet, self.known
         for k, s in enumerate(sentences(text)):
             tokens = plain_tokens(s)
-            pattern = votes(tokens)
+            pattern = votes(tokens, not s.isascii())
             if pattern == QUIET_PATTERN or pattern == QUIET_EVERYDAY:
                 z = quiet[pattern]
                 for t in set(tokens):
@@ -369,7 +372,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             for s in sentences(text):
                 tokens = plain_tokens(s)
-                pattern = votes(tokens)
+                pattern = votes(tokens, not s.isascii())
                 if "1" in pattern or pattern[8:] != "--" or zlib.crc32(s.encode()) % QUIET == 0:
                     patterns.append(pattern)
                     kept.append(" ".join(tokens))
@@ -386,10 +389,10 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[Model, LabelModel
     if not len(counted):
         return Model(np.zeros(DIMENSIONS)), LabelModel(["-" * len(VOTERS)], np.ones(1))
     labels = LabelModel(counted["pattern"].tolist(), counted["n"].to_numpy())
-    # Distinct sentences; half the sample at most is of those no voter holds to be abusive.
+    # Distinct sentences; a quarter of the sample at most is of those no voter holds to be abusive.
     distinct = cast.where("sentence is not null").groupBy("sentence").agg(F.first("pattern").alias("pattern"), F.count("*").alias("n")).withColumn("o", F.xxhash64("sentence"))
     suspect = F.col("pattern").contains("1")
-    chosen = [r for side in (suspect, ~suspect) for r in distinct.where(side).orderBy(F.col("pattern").endswith("--"), "o").limit(sample // 2).collect()]
+    chosen = [r for side, most in ((suspect, sample // 2), (~suspect, sample // 4)) for r in distinct.where(side).orderBy(F.col("pattern").endswith("--"), "o").limit(most).collect()]
     targets = np.array([labels.probability(r["pattern"]) for r in chosen])
     # Sentences that got a vote are few and differ in the words that matter; repeated ones weigh a little more.
     weights = np.array([1.0 if "1" not in r["pattern"] else 4.0 * (1 + np.log2(r["n"])) for r in chosen])
