@@ -131,11 +131,14 @@ def preprocess(c: Column, settings: Settings = Settings()) -> Column:
 def ngrams(parts: Column, n: int = 2, least: int = 2) -> Column:
     """Tokens of ``least`` characters, then runs of up to ``n`` of them."""
     parts = F.filter(parts, lambda t: F.length(t) >= least)
-    out = parts
+
+    out, longest = [parts], parts
     for k in range(2, n + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.size(parts) - (k - 1)), lambda i, k=k: F.array_join(F.slice(parts, i, k), " "))
-        out = F.concat(out, F.when(F.size(parts) >= k, runs).otherwise(F.array().cast("array<string>")))
-    return out
+        # Each run of k - 1 words with the word after it; arrays are shifted, not looked up word by word.
+        size = F.greatest(F.size(parts) - (k - 1), F.lit(0))
+        longest = F.zip_with(F.slice(longest, F.lit(1), size), F.slice(parts, F.lit(k), size), lambda a, b: F.concat_ws(" ", a, b))
+        out.append(longest)
+    return F.concat(*out)
 
 
 def shorten(c: Column, limit: int) -> Column:
