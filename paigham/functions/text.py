@@ -74,8 +74,11 @@ def clean(c: Column, settings: Settings = Settings()) -> Column:
     if settings.urls:
         c = replace_urls(c)
     c = replace_numbers(c, settings.number_mode, settings.phones, settings.service_codes, settings.short_codes)
+    if settings.punctuation and settings.whitespace:
+        # What is no letter or digit goes or is a space: one pass for punctuation, other characters and white space.
+        return F.trim(F.regexp_replace(c, r"(?iu)[^a-z0-9]+", " "))
     if settings.punctuation:
-        c = remove_special(remove_punctuation(c))
+        c = remove_special(c)
     return squeeze(c) if settings.whitespace else c
 
 
@@ -109,7 +112,9 @@ def normalize_tokens(parts: Column, mapping: dict[str, str] = lexicon.SPELLINGS)
     if not mapping:
         return parts
     table = lookup(mapping)
-    return F.flatten(F.transform(parts, lambda t: F.split(F.coalesce(table[t], t), " ")))
+    # Few words are variants: a set tells them before the map is searched; only two-word values are split again.
+    mapped = F.transform(parts, lambda t: F.when(t.isin(list(mapping)), table[t]).otherwise(t))
+    return F.split(F.array_join(mapped, " "), " ") if any(" " in v for v in mapping.values()) else mapped
 
 
 def remove_stopwords(parts: Column, stop: frozenset[str], least: int = 2) -> Column:
@@ -120,9 +125,12 @@ def remove_stopwords(parts: Column, stop: frozenset[str], least: int = 2) -> Col
 def preprocess(c: Column, settings: Settings = Settings()) -> Column:
     """The whole chain from a message to its cleaned text."""
     c = clean(c, settings)
-    if settings.spelling:
-        c = normalize_spelling(c, settings.spellings)
-    parts = tokens(c)
+    if settings.punctuation and settings.whitespace:
+        # Single spaces only: words are what stands between them.
+        parts = F.array_remove(F.split(c, " "), "")
+        parts = normalize_tokens(parts, settings.spellings) if settings.spelling else parts
+    else:
+        parts = tokens(normalize_spelling(c, settings.spellings) if settings.spelling else c)
     if settings.drop_stopwords:
         parts = remove_stopwords(parts, settings.stopwords, settings.min_token_length)
     return F.array_join(parts, " ")
@@ -130,8 +138,11 @@ def preprocess(c: Column, settings: Settings = Settings()) -> Column:
 
 def ngrams(parts: Column, n: int = 2, least: int = 2) -> Column:
     """Tokens of ``least`` characters, then runs of up to ``n`` of them."""
-    parts = F.filter(parts, lambda t: F.length(t) >= least)
+    return runs(F.filter(parts, lambda t: F.length(t) >= least), n)
 
+
+def runs(parts: Column, n: int) -> Column:
+    """All runs of one to ``n`` words. ``parts`` should be a column: it is read several times."""
     out, longest = [parts], parts
     for k in range(2, n + 1):
         # Each run of k - 1 words with the word after it; arrays are shifted, not looked up word by word.

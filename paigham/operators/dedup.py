@@ -15,15 +15,15 @@ from paigham.functions.text import duplicate_key
 
 
 def _groups(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
-    keyed = df.withColumn("_key", key)
+    keyed = df.select("row_id", "status", key.alias("_key"))
     groups = keyed.groupBy("_key").agg(F.min("row_id").alias("_first"), F.count("*").alias("_n"), F.coalesce(F.min("status") != F.max("status"), F.lit(False)).alias("_conflict"))
     return keyed, groups
 
 
 def keep_first(df: DataFrame, key: Column | None = None) -> DataFrame:
     """One row per key, the one with the smallest ``row_id``."""
-    keyed, groups = _groups(df, duplicate_key(F.col("msg")) if key is None else key)
-    return keyed.join(groups.select(F.col("_first").alias("row_id")), "row_id", "left_semi").drop("_key")
+    _, groups = _groups(df, duplicate_key(F.col("msg")) if key is None else key)
+    return df.join(groups.select(F.col("_first").alias("row_id")), "row_id", "left_semi")
 
 
 def remove_duplicates(df: DataFrame, policy: str = "drop", key: Column | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def flag_duplicates(df: DataFrame, key: Column | None = None) -> DataFrame:
 
 def conflict_examples(df: DataFrame, most: int = 10, length: int = 160) -> DataFrame:
     """The first conflicting keys: their first text, their labels and copies."""
-    keyed = df.withColumn("_key", duplicate_key(F.col("msg")))
+    keyed = df.select("row_id", "msg", "status", duplicate_key(F.col("msg")).alias("_key"))
     groups = keyed.groupBy("_key").agg(F.min("row_id").alias("first_row_id"), F.min_by(F.substring("msg", 1, length), "row_id").alias("text"), F.array_join(F.sort_array(F.collect_set("status")), ",").alias("labels"), F.count_distinct("status").alias("k"), F.count("*").alias("copies"))
     return groups.where("k > 1").orderBy("first_row_id").limit(most).select("first_row_id", "text", "labels", "copies")
 
@@ -63,7 +63,7 @@ def conflict_examples(df: DataFrame, most: int = 10, length: int = 160) -> DataF
 def conflicting_rows(df: DataFrame) -> DataFrame:
     """All rows of keys with two labels."""
     keyed, groups = _groups(df, duplicate_key(F.col("msg")))
-    return keyed.join(groups.where("_conflict").select("_key"), "_key", "left_semi").drop("_key")
+    return df.join(keyed.join(groups.where("_conflict").select("_key"), "_key", "left_semi").select("row_id"), "row_id", "left_semi")
 
 
 def template_groups(df: DataFrame) -> DataFrame:

@@ -12,13 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paigham.config import Settings
-from paigham.functions.text import ngrams, tokens
+from paigham.functions.text import runs, tokens
 
 
 def terms(df: DataFrame, column: str = "cleaned_msg", n: int = 2) -> DataFrame:
     """``(row_id, term, tf)``: one- to ``n``-word terms of each text, counted within the row's own record."""
-    parts = F.explode(ngrams(tokens(F.col(column)), n))
-    return df.where(F.col(column).isNotNull()).select("row_id", parts.alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+    words = F.filter(tokens(F.col(column)), lambda t: F.length(t) >= 2)
+    rows = df.where(F.col(column).isNotNull()).select("row_id", words.alias("_words"))
+    return rows.select("row_id", F.explode(runs(F.col("_words"), n)).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(found: DataFrame) -> DataFrame:

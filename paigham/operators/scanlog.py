@@ -72,11 +72,11 @@ def next_ids(log: DataFrame, new: DataFrame, order: str) -> DataFrame:
 
     A single writer is assumed, as concurrent ones would need a transactional sink.
     """
-    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    bucketed = new.withColumn("_b", F.floor(F.col(order) / 4096))
-    before = bucketed.groupBy("_b").agg(F.count("*").alias("_m")).select("_b", F.coalesce(F.sum("_m").over(W.partitionBy().orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    ranked = bucketed.join(before, "_b").withColumn("_r", F.col("_o") + F.row_number().over(W.partitionBy("_b").orderBy(order)))
-    return ranked.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("_r")).drop("_b", "_o", "_r", "top")
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__next_id_top"))
+    bucketed = new.withColumn("__next_id_b", F.floor(F.col(order) / 4096))
+    before = bucketed.groupBy("__next_id_b").agg(F.count("*").alias("__next_id_m")).select("__next_id_b", F.coalesce(F.sum("__next_id_m").over(W.partitionBy().orderBy("__next_id_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__next_id_o"))
+    ranked = bucketed.join(before, "__next_id_b").withColumn("__next_id_r", F.col("__next_id_o") + F.row_number().over(W.partitionBy("__next_id_b").orderBy(order)))
+    return ranked.crossJoin(F.broadcast(top)).withColumn("id", F.col("__next_id_top") + F.col("__next_id_r")).drop("__next_id_b", "__next_id_o", "__next_id_r", "__next_id_top")
 
 
 def export_rows(log: DataFrame) -> DataFrame:

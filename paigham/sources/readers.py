@@ -92,6 +92,8 @@ def load_scan_log(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\x{feff}", "").alias("value"))
     if text.where(F.trim("value") != "").isEmpty():
         return empty
+    if not text.where(F.try_parse_json("value").isNull() | ~F.rtrim("value").endswith("]")).isEmpty():
+        raise ScanLogError(f"{path} is not one JSON array")
     try:
         records = text.select(F.explode(F.from_json("value", "array<map<string,variant>>", {"mode": "FAILFAST"})).alias("r"))
         kind = lambda k: F.schema_of_variant(F.col("r")[k])
