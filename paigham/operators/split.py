@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Hexadecimal digits of the seeded hash that make a salt.
-SALT_DIGITS = 2
+SALT_DIGITS = 3
 
 
 def _seeded(seed: int):
