@@ -78,7 +78,7 @@ def tag(kind: str, value: str, key: bytes) -> str:
 
 # ---------------------------------------------------------------- patterns
 
-GAP = r"[\s.\-]{0,3}"
+GAP = r"[\s.\-]{0,4}"
 EMAIL = re.compile(
     r"(?<![\w.+-])[a-z0-9](?:[\w.+-]*[a-z0-9])?\s{0,3}(?:@|\(\s?at\s?\)|\[\s?at\s?\]|\sat\s(?=\s*[a-z0-9-]+\s+dot\s))\s{0,3}"
     r"[a-z0-9-]+(?:(?:\.|\s+dot\s+|\s?\(\s?dot\s?\)\s?|\s?\[\s?dot\s?\]\s?)[a-z0-9-]+)+",
@@ -91,7 +91,7 @@ PHONE = re.compile(
     rf"(?:\+{GAP}92|0092|92|0){GAP}\(?3\d\d\)?{GAP}\d{{3}}{GAP}\d{{4}}"
     rf"|\(\s?03\d\d\s?\){GAP}\d{{3}}{GAP}\d{{4}}"
     r"|(?:\+92|0092|0)[\s-]?(?:21|42|51|22|41|61|71|81|91)[\s-]?\d{7,8}"
-    r"|\+\d{1,3}[\s.-]{0,2}(?:\(\d{2,5}\)|\d{2,5})(?:[\s.-]{0,2}\d{2,6}){1,4}"
+    r"|\+\d{1,3}[\s.-]{0,4}(?:\(\d{2,5}\)|\d{2,5})(?:[\s.-]{0,4}\d{2,6}){1,4}"
     r")(?![\w*#])(?!-\d)"
 )
 NATIONAL_ID = re.compile(r"(?<![\w+\-.])\d{5}[\s.\-]{0,3}\d{7}[\s.\-]{0,3}\d(?![\w\-])(?!\.\d)")
@@ -121,7 +121,7 @@ FRAMES = re.compile(
     rf"|\bsalam\s+(?P<c>{PERSON}?)\s+(?:bhai|baji|sahib|api)\b"
     rf"|\bparson\s+(?P<d>{PERSON}?)\s+aur\s+main\b"
     rf"|\b(?:mr|mrs|ms|miss)\.?\s+(?P<e>{PERSON}?)\s+(?:ke\s+naam|ko\b|se\b|ne\b|ki\b|ka\b)"
-    rf"|(?:^|(?<=[.,!?;|>*\[\(\n\-]))\s*(?P<f>{PERSON}?)\s+(?:ne\s+bheja\s+hai|ko\s+bukhar\s+hai|ka\s+bet[ai]\s+school|ki\s+beti\s+school)\b"
+    rf"|(?:^|(?<=[.,!?;|>*\[\(\n\-\x00\x01]))\s*(?P<f>{PERSON}?)\s+(?:ne\s+bheja\s+hai|ko\s+bukhar\s+hai|ka\s+bet[ai]\s+school|ki\s+beti\s+school)\b"
     rf"|\b(?:(?:naam|name)\s*[:=]|account\s+title\s*[:=]?)\s*(?P<g>{PERSON})"
     rf"|\b(?:dear|shukriya|mr|mrs|ms|miss|janab)\.?\s+(?P<h>{PERSON})",
     re.I,
@@ -137,7 +137,7 @@ NO_PERSON = frozenset(
     "shukriya salam dear job offer aap ka ki ke ko se ne par hai mein aur main bijli meeting exam class safar dukan raseed slip bill ref file code link visit click "
     "tracking voucher shanakht order pata parcel call helpline whatsapp rabta jawab write farm inspection cheezein ghar darkhast kal parson aaj imdadi khana security urgent "
     "mubarak naam title account id card cnic khushkhabri final notice zaroori congratulations street house email alerts sms ph rider mera apna apni hum wapsi http https www "
-    "abbu ammi behn dost driver chacha mamu khala phuphi nani dada dadi padosi manager ustad chowkidar qurandazi doctor bhejain karein wapas ok okay team fwd all everyone intezar bilkul ji jee acha theek bohat bahut phir sab note abhi warna".split()
+    "abbu ammi behn dost driver chacha mamu khala phuphi nani dada dadi padosi manager ustad chowkidar qurandazi doctor bhejain karein wapas ok okay team fwd all everyone intezar bilkul ji jee acha theek bohat bahut phir sab note abhi warna khabardar".split()
 )
 LAST_ONLY = frozenset("foods mart sweets bakers clinic traders tools printers fabrics motors electronics academy store pharmacy bank wallet telecom finance insurance exchange courier microbank foundation power gas cell branch".split())
 
@@ -165,7 +165,7 @@ def persons(text: str, given: frozenset[str], seen: set[str]) -> Iterator[tuple[
                 elif tokens[0][2] in given and len(after) > 1 and after[0] in LAST_ONLY and after[1] in LAST_ONLY:
                     yield tokens[0][0], tokens[0][1]
                 continue
-            stops = re.match(r"\s*(?:$|[.,!?;|\n*\]\)\-–])", text[end:])
+            stops = re.match(r"\s*(?:$|[.,!?;|\n*\]\)\-–\x00\x01])", text[end:])
             family = tokens[1][2] not in NO_PERSON
             if tokens[0][2] in given or stops or kind == "g":
                 yield start, (end if family else tokens[0][1])
@@ -173,7 +173,7 @@ def persons(text: str, given: frozenset[str], seen: set[str]) -> Iterator[tuple[
                 yield start, end
         elif after and after[0] in LAST_ONLY:
             continue
-        elif tokens[0][2] in given or re.match(r"\s*(?:$|[.,!?;|\n*\]\)\-–])", text[end:]):
+        elif tokens[0][2] in given or re.match(r"\s*(?:$|[.,!?;|\n*\]\)\-–\x00\x01])", text[end:]):
             yield start, end
     if not given.isdisjoint(seen):
         for m in re.finditer(r"[^\W\d_]+", text):
