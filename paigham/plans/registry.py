@@ -16,7 +16,7 @@ from paigham.operators import bayes, dedup, features, metrics, quality, rules, s
 from paigham.plans import oracle
 from paigham.plans.pipeline import Pipeline
 from paigham.plans.pipeline import score as score_messages
-from paigham.storage import shared_dir, table
+from paigham.storage import shared_dir, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 PRUNED = Settings(min_df=2, max_df=0.95, max_features=1500)
@@ -39,11 +39,11 @@ def _processed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _train(spark: SparkSession, d: str) -> DataFrame:
-    return _processed(spark, d).where("split = 'train' and cleaned_msg is not null")
+    return spread(_processed(spark, d).where("split = 'train' and cleaned_msg is not null"))
 
 
 def _test(spark: SparkSession, d: str) -> DataFrame:
-    return _processed(spark, d).where("split = 'test' and cleaned_msg is not null")
+    return spread(_processed(spark, d).where("split = 'test' and cleaned_msg is not null"))
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def _over(source: Query, operator: Callable[..., DataFrame], *args, **kwargs) ->
 
 
 def _text(name: str, column: Callable) -> Query:
-    return lambda spark, d: table(spark, d, "processed").select("row_id", column(F.col("msg")).alias(name))
+    return lambda spark, d: spread(table(spark, d, "processed").select("row_id", "msg")).select("row_id", column(F.col("msg")).alias(name))
 
 
 def _weights(of: Query) -> Query:
