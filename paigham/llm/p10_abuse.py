@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from paigham.llm.common import has_text
 from paigham.llm.p1_lookalike import TABLE, by_table
-from paigham.storage import cut
+from paigham.storage import cut, spread
 
 SAMPLE = 40_000
 DIMENSIONS = 1 << 16
@@ -383,7 +383,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[Model, LabelModel]:
     """Votes on all documents, the label model on their patterns, the classifier on a bounded sample."""
-    texts = documents.select("text").where(has_text(F.col("text")))
+    texts = spread(documents.select("text").where(has_text(F.col("text"))))
     cast = cut(texts.mapInArrow(_vote, "pattern string, sentence string, n bigint"))
     counted = cast.groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     if not len(counted):
@@ -408,7 +408,7 @@ def scored(documents: DataFrame, model: Model | None = None, sample: int = SAMPL
             scores = [0.0 if t is None or not t.strip() else model.score(t)[0] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(scores, pa.float64())], ["doc_id", "source", "score"])
 
-    return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, score double")
+    return spread(documents.select("doc_id", "source", "text")).mapInArrow(run, "doc_id bigint, source string, score double")
 
 
 def found(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

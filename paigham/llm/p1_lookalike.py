@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paigham.llm.common import has_text, key128, width
-from paigham.storage import cut
+from paigham.storage import cut, spread
 
 # Letters of other scripts that are drawn as the Latin letter after them.
 CYRILLIC = "аa еe оo рp сc уy хx іi јj ѕs һh ӏl ԁd ԛq ԝw АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ԚQ ԜW ӀI"
@@ -178,7 +178,7 @@ def _block(c):
 def normalized(df: DataFrame) -> DataFrame:
     """``(row_id, msg, canon, changed)``: every message in the one form in which those that look the same are equal."""
     spark = df.sparkSession
-    base = df.select("row_id", "msg")
+    base = spread(df.select("row_id", "msg"))
     is_odd = F.coalesce(F.col("msg").rlike(r"[^\x00-\x7F]"), F.lit(False))
     odd_rows = cut(base.where(is_odd).mapInArrow(_split, "row_id bigint, msg string, parts array<string>, raw array<string>, fold array<string>"))
     tokens = odd_rows.select("row_id", F.explode(F.arrays_zip("raw", "fold")).alias("t")).select("row_id", "t.raw", "t.fold")

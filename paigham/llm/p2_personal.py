@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paigham.llm.p1_lookalike import TABLE
+from paigham.storage import spread
 
 DEFAULT_KEY = "paigham-demo-key"
 KINDS = ("email", "phone", "identity", "address", "name")
@@ -301,7 +302,7 @@ def redacted(df: DataFrame, names: frozenset[str] = frozenset(), key: str = DEFA
                 kinds.append(sorted(set(found)))
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], ["row_id", "redacted", "kinds"])
 
-    return df.select("row_id", "msg").mapInArrow(run, "row_id bigint, redacted string, kinds array<string>")
+    return spread(df.select("row_id", "msg")).mapInArrow(run, "row_id bigint, redacted string, kinds array<string>")
 
 
 def found(df: DataFrame, names: frozenset[str] = frozenset(), key: str = DEFAULT_KEY) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paigham.llm.common import has_text, width
-from paigham.storage import cut
+from paigham.storage import cut, spread
 
 WORD = re.compile(r"[^\W_]+")
 FIELD = re.compile(r"([^\W\d_]\w*)\s*[:=](?!//)")
@@ -103,7 +103,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def grouped(df: DataFrame, fits: int = FITS) -> DataFrame:
     """``(row_id, first_row_id, n_copies)`` of every row with text."""
     spark = df.sparkSession
-    rows = cut(df.select("row_id", "msg").where(has_text(F.col("msg"))).mapInArrow(_canonicals, "row_id bigint, canon binary"))
+    rows = cut(spread(df.select("row_id", "msg")).where(has_text(F.col("msg"))).mapInArrow(_canonicals, "row_id bigint, canon binary"))
     total = rows.count()
     fits = max(fits, total // MOST_OVERSIZED)
     levels: list[tuple[int, list[bytes]]] = []

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paigham.llm.p1_lookalike import TABLE
+from paigham.storage import spread
 
 #: The legacy encodings, likelier ones first; the first wins where two explain as much.
 ENCODINGS = ("cp1252", "cp1251", "cp437", "mac_roman", "cp1256", "cp1250", "cp850", "cp1254", "cp1253", "iso8859_15", "iso8859_2", "cp1257", "cp1255", "cp1258", "mac_latin2", "cp852", "cp858", "cp866", "koi8_r", "iso8859_5", "iso8859_6", "iso8859_7", "iso8859_9")
@@ -201,7 +202,7 @@ def restored(df: DataFrame) -> DataFrame:
     base = df.select("row_id", "msg")
     beyond = F.coalesce(F.col("msg").rlike(r"[^\x00-\x7F]"), F.lit(False))
     plain = base.where(~beyond).select("row_id", F.col("msg").alias("restored"), F.lit(False).alias("affected"))
-    return plain.unionByName(base.where(beyond).mapInArrow(run, "row_id bigint, restored string, affected boolean"))
+    return plain.unionByName(spread(base.where(beyond)).mapInArrow(run, "row_id bigint, restored string, affected boolean"))
 
 
 def found(df: DataFrame) -> DataFrame:

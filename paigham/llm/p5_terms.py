@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paigham.llm.common import width
-from paigham.storage import cut
+from paigham.storage import cut, spread
 
 #: A task merges its runs when they hold this many entries.
 MERGE_AT = 1_000_000
@@ -90,7 +90,7 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counted(df: DataFrame, column: str = "cleaned_msg", rare_below: int = 3, common_percent: int = 15) -> DataFrame:
     """``(term, occurrences, records, mark)`` of every term; mark is ``rare``, ``common`` or null."""
     schema = "term string, occurrences bigint, records bigint"
-    runs = cut(df.select(column).where(F.col(column).isNotNull()).mapInArrow(_sorted_runs, schema))
+    runs = cut(spread(df.select(column).where(F.col(column).isNotNull())).mapInArrow(_sorted_runs, schema))
     total = runs.where("term is null").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     spark = df.sparkSession
     terms = runs.where("term is not null").repartitionByRange(width(spark), "term").sortWithinPartitions("term").mapInArrow(_scan_runs, schema)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paigham.llm.common import has_text, word_hashes
+from paigham.storage import spread
 
 WINDOW = 10
 RADIUS = 3
@@ -155,7 +156,7 @@ def matches(documents: DataFrame, eval_items: DataFrame, most_words: int = MOST_
     listed = eval_items.select("item_id", "text").where(has_text(F.col("text"))).select("item_id", words.alias("words"))
     total = listed.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     parts = 1 + total // most_words
-    docs = documents.select("doc_id", "text").where(has_text(F.col("text"))).select("doc_id", words.alias("words"))
+    docs = spread(documents.select("doc_id", "text").where(has_text(F.col("text")))).select("doc_id", words.alias("words"))
     out: DataFrame | None = None
     for k in range(parts):
         rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()

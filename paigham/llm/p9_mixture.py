@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paigham.llm.common import has_text
-from paigham.storage import cut
+from paigham.storage import cut, spread
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -58,7 +58,7 @@ def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary:
             counts = [len(tokens.encode_ordinary(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(counts, pa.int64())], ["doc_id", "source", "n_tokens"])
 
-    return documents.select("doc_id", "source", "text").where(has_text(F.col("text")) & has_text(F.col("source"))).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
+    return spread(documents.select("doc_id", "source", "text").where(has_text(F.col("text")) & has_text(F.col("source")))).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
 
 
 def sainte_lague(weights: dict, blocks: int, limits: dict) -> dict:
