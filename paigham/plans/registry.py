@@ -23,7 +23,7 @@ PRUNED = Settings(min_df=2, max_df=0.95, max_features=1500)
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_messages").select(F.col("raw_id").alias("row_id"), "msg", "status", "source")
+    return spread(table(spark, d, "raw_messages").select(F.col("raw_id").alias("row_id"), "msg", "status", "source"))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,10 @@ def _processed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "processed").select("row_id", "msg", "cleaned_msg", "status", "source", "split")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_processed(spark, d))
+
+
 def _train(spark: SparkSession, d: str) -> DataFrame:
     return spread(_processed(spark, d).where("split = 'train' and cleaned_msg is not null"))
 
@@ -213,12 +217,12 @@ def queries() -> dict[str, Query]:
         "label_shares": _over(_processed, stats.shares, "status"),
         "source_stats": _over(_processed, stats.value_counts, "source", nulls=True),
         "label_source_sets": _over(_processed, stats.label_source_sets),
-        "words_by_label": _over(_processed, stats.words_by_label),
-        "top_words_by_class": _over(_processed, stats.top_words),
-        "top_words_zip": _over(_processed, stats.top_words_side_by_side),
-        "distinctive_words": _over(_processed, stats.distinctive_words),
-        "word_count_histogram": _over(_processed, stats.word_count_histogram),
-        "word_count_quartiles": _over(_processed, stats.quartiles),
+        "words_by_label": _over(_texts, stats.words_by_label),
+        "top_words_by_class": _over(_texts, stats.top_words),
+        "top_words_zip": _over(_texts, stats.top_words_side_by_side),
+        "distinctive_words": _over(_texts, stats.distinctive_words),
+        "word_count_histogram": _over(_texts, stats.word_count_histogram),
+        "word_count_quartiles": _over(_texts, stats.quartiles),
         "summary_unpivot": _over(_processed, stats.summary_rows),
         "seeded_sample": lambda spark, d: stats.sample(_processed(spark, d), 25).select("row_id"),
         "split_quota": _over(_processed, split.quotas),
