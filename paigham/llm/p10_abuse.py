@@ -106,6 +106,8 @@ SPACED = re.compile(r"(?<![\w])(?:[^\W\d_]([ .\-_*]))(?:[^\W\d_]\1){1,}[^\W\d_](
 STRETCHED = re.compile(r"(\w)\1{2,}")
 LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i"})
 TOKENS = re.compile(r"[\w@$*#!']+")
+#: The same for ASCII texts: every other character becomes a space.
+GAPS = {c: " " for c in range(128) if not TOKENS.match(chr(c))}
 MASKED = re.compile(r"[*#_]")
 _BY_SIZE: dict[int, list[str]] = {}
 for _w in DISGUISED:
@@ -148,7 +150,7 @@ MOST_TOKENS = 300_000
 def plain_tokens(sentence: str) -> list[str]:
     """The lower-cased words, with disguises undone."""
     low = (by_table(sentence) if not sentence.isascii() and ODD.search(sentence) else sentence).lower()
-    found = TOKENS.findall(low)
+    found = low.translate(GAPS).split() if low.isascii() else TOKENS.findall(low)
     if len([t for t in found if len(t) == 1]) > 2:
         found = TOKENS.findall(SPACED.sub(lambda m: m[0][::2], low))
     out = []
@@ -166,14 +168,18 @@ def plain(sentence: str) -> str:
     return " ".join(plain_tokens(sentence))
 
 
-SENTENCE = re.compile(r"(?<=[.!?۔؟])\s+|\n+|\s-\s")
+ENDS = (". ", "! ", "? ", "۔ ", "؟ ")
 SPEAKER = re.compile(r"(?:[AB]|\w{1,12}):\s")
 
 
 def sentences(text: str) -> list[str]:
     """Sentences; a text without marks is one."""
+    text = text.replace("\t", " ").replace(" - ", "\n")
+    for end in ENDS:
+        if end in text:
+            text = text.replace(end, end[0] + "\n")
     out = []
-    for s in SENTENCE.split(text):
+    for s in text.split("\n"):
         s = s.strip()
         m = SPEAKER.match(s) if ":" in s else None
         if m:
