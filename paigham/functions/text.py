@@ -161,3 +161,13 @@ def contains_any(c: Column, words: tuple[str, ...]) -> Column:
     for w in words:
         out = out | F.coalesce(c.contains(w), F.lit(False))
     return out
+
+
+def sentence_case(c: Column) -> Column:
+    """Underscores as spaces, the first letter large, the others small."""
+    spaced = F.regexp_replace(c, "_", " ")
+    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.lower(F.substring(spaced, F.lit(2), F.length(spaced))))
+
+
+def thousands(c: Column) -> Column:
+    return F.format_number(c, 0)

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paigham.config import Settings
+from paigham.operators import features, metrics, split
+from paigham.storage import cut
+
 LABELS = ("Genuine", "Scam")
 
 
@@ -35,3 +39,32 @@ def predict(rows: DataFrame, weighted: DataFrame, prior: DataFrame, theta: DataF
     gap = score["Scam"] - score["Genuine"]
     share = 1 / (1 + F.exp(-F.abs(gap)))
     return joined.select("row_id", F.when(gap > 0, "Scam").otherwise("Genuine").alias("prediction"), F.bround(share * 100, 1).alias("confidence"), F.coalesce("k", F.lit(0)).alias("known_terms"))
+
+
+def check_model(vocab: DataFrame, prior: DataFrame, theta: DataFrame) -> None:
+    """A stored model must have priors of both labels and probabilities of just the vocabulary's terms."""
+    row = prior.first()
+    if row is None or any(row[f"prior_{x.lower()}"] is None for x in LABELS):
+        raise ValueError("the model lacks a label")
+    missing = vocab.join(theta, "term", "left_anti").count() + theta.join(vocab, "term", "left_anti").count()
+    if missing:
+        raise ValueError(f"{missing} terms are not in both the vocabulary and the model")
+
+
+def cross_validate(df: DataFrame, k: int = 5, settings: Settings = Settings()) -> DataFrame:
+    """``(fold, f1)``: weighted F1 of each unshuffled stratified fold, its vocabulary fitted on the others."""
+    folded = cut(df.select("row_id", "cleaned_msg", "status").where(F.col("status").isin(*LABELS)).join(split.folds(df, k).select("row_id", "fold"), "row_id"))
+    out = None
+    for fold in range(k):
+        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+        vocab = features.vocabulary(train, settings)
+        theta = term_probabilities(train, features.weights(train, vocab, settings))
+        judged = predict(test, features.weights(test, vocab, settings), priors(train), theta).join(test.select("row_id", "status"), "row_id")
+        one = metrics.weighted_f1(judged).select(F.lit(fold).alias("fold"), "f1")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def fold_summary(scores: DataFrame) -> DataFrame:
+    """One row: smallest, largest, mean and spread of the folds' scores."""
+    return scores.agg(F.min("f1").alias("low"), F.max("f1").alias("high"), F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("spread"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paigham.functions.text import duplicate_key
+from paigham.functions.text import duplicate_key, strip
 
 
 def _groups(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
@@ -76,3 +76,16 @@ def largest_template(df: DataFrame, members: int = 5) -> DataFrame:
     """The first members of the largest group of equal cleaned texts."""
     top = df.where("cleaned_msg is not null").groupBy("cleaned_msg").agg(F.count("*").alias("copies"), F.min("row_id").alias("f")).orderBy(F.desc("copies"), "f").limit(1)
     return df.join(F.broadcast(top), "cleaned_msg").orderBy("row_id").limit(members).select("row_id", "cleaned_msg", "copies")
+
+
+def raw_conflicts(df: DataFrame) -> DataFrame:
+    """Rows of texts, stripped and lower-cased only, that carry two labels as they are written."""
+    key = F.lower(strip(F.coalesce(F.col("msg"), F.lit("nan"))))
+    keyed = df.select("row_id", "status", key.alias("_key"))
+    clash = keyed.groupBy("_key").agg(F.coalesce(F.min("status") != F.max("status"), F.lit(False)).alias("_c")).where("_c").select("_key")
+    return df.join(keyed.join(clash, "_key", "left_semi").select("row_id"), "row_id", "left_semi")
+
+
+def blank_rows(df: DataFrame) -> DataFrame:
+    """Rows whose message is missing or blank."""
+    return df.where(F.col("msg").isNull() | (strip(F.col("msg")) == ""))

@@ -84,3 +84,8 @@ def parse_body(body: Column) -> Column:
     """The message of a JSON request body: an object with a string ``message``; null for anything else."""
     parsed = F.try_parse_json(body)
     return F.when(F.schema_of_variant(parsed).startswith("OBJECT<") & (F.schema_of_variant(F.try_variant_get(parsed, "$.message", "variant")) == "STRING"), F.try_variant_get(parsed, "$.message", "string"))
+
+
+def vote_map(names: dict[str, str]) -> Column:
+    """Model -> prediction, of the named columns."""
+    return F.create_map(*[x for name, column in names.items() for x in (F.lit(name), F.col(column))])

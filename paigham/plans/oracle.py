@@ -136,6 +136,9 @@ ONCE = "once AS (SELECT DISTINCT id, prediction, confidence, scanned_at FROM sca
 RECENT = f"{ONCE}, timed AS (SELECT *, {MICROS} AS \"at\" FROM once), latest AS (SELECT * FROM timed ORDER BY \"at\" DESC, id DESC LIMIT 20), placed AS (SELECT row_number() OVER (ORDER BY \"at\", id) AS place, count(*) OVER () AS c, id, prediction, confidence, \"at\" FROM latest)"
 
 
+TEXT_OR_NAN = strip("coalesce(msg, 'nan')")
+
+
 def _quality(policy: str) -> str:
     minus = " - count(*) FILTER (clash)" if policy == "drop" else ""
     return f"""WITH {RAW}, keyed AS (SELECT {key('msg')} AS k, msg IS NULL AS m, msg IS NOT NULL AND {strip('msg')} = '' AS e, {missing_label('status')} AS ml,
@@ -178,6 +181,8 @@ quota AS (SELECT status, n, base + CASE WHEN row_number() OVER (ORDER BY rest DE
         "duplicate_report_first": f"WITH {GROUPS} SELECT sum(n - 1)::BIGINT AS duplicates_removed, count(*) FILTER (clash) AS conflicting_keys, 0::BIGINT AS conflicting_rows_removed, count(*) AS rows_left FROM groups",
         "conflict_examples": f"WITH {GROUPS} SELECT min(row_id) AS first_row_id, arg_min(left(msg, 160), row_id) AS text, string_agg(DISTINCT status, ',' ORDER BY status) AS labels, count(*) AS copies FROM valid JOIN groups USING (k) WHERE clash GROUP BY k ORDER BY 1 LIMIT 10",
         "conflicting_rows": f"WITH {GROUPS} SELECT row_id, status FROM valid JOIN groups USING (k) WHERE clash",
+        "raw_conflicts": f"WITH k AS (SELECT raw_id AS row_id, status, lower({TEXT_OR_NAN}) AS k FROM raw_messages), c AS (SELECT k FROM k GROUP BY k HAVING min(status) <> max(status)) SELECT row_id, status FROM k WHERE k IN (FROM c)",
+        "blank_rows": f"SELECT raw_id AS row_id FROM raw_messages WHERE msg IS NULL OR {strip('msg')} = ''",
         "template_groups": "WITH g AS (SELECT cleaned_msg, count(*) AS n FROM processed GROUP BY 1) SELECT count(*) AS unique_texts, sum(n - 1)::BIGINT AS duplicate_rows, count(*) FILTER (n > 1) AS groups, coalesce(max(n) FILTER (n > 1), 0) AS largest FROM g",
         "largest_template": "WITH g AS (SELECT cleaned_msg, count(*) AS copies FROM processed WHERE cleaned_msg IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, min(row_id) LIMIT 1) SELECT row_id, cleaned_msg, copies FROM processed JOIN g USING (cleaned_msg) ORDER BY row_id LIMIT 5",
         "clean_url": f"SELECT row_id, {urls('lower(msg)')} AS cleaned FROM processed",
@@ -223,6 +228,8 @@ r AS (SELECT row_id, status, row_number() OVER (PARTITION BY status ORDER BY row
         "keyword_hits": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS category, array_to_string(list_filter({list(w)!r}, lambda w: contains(lower(msg), w)), ',') AS words FROM processed WHERE msg IS NOT NULL" for c, w in lexicon.RISK_KEYWORDS.items()) + ") WHERE words <> ''",
         "expected_label": f"SELECT row_id, {expected('msg')} AS label FROM processed",
         "ensemble_vote": f"WITH {VOTED} SELECT case_id, scam_votes, prediction, confidence FROM voted",
+        "vote_map": f"WITH {CASES} SELECT case_id, 'NB' AS model, by_risk AS prediction FROM cases UNION ALL SELECT case_id, 'LR', by_words FROM cases UNION ALL SELECT case_id, 'SVM', by_links FROM cases",
+        "display_formats": "SELECT track_id, upper(left(risk_level, 1)) || lower(substr(risk_level, 2)) AS level, format('{:,}', row_id) AS number, upper(prediction) AS label FROM tracker",
         "final_verdict": f"WITH {VOTED} SELECT case_id, CASE WHEN prediction = 'Scam' AND {risk('message')} > 50 THEN 'confirmed scam' WHEN prediction = 'Scam' THEN 'likely scam' WHEN {risk('message')} > 50 THEN 'suspicious' ELSE 'genuine' END AS verdict FROM voted",
         "batch_detect": f"WITH {VOTED}, s AS (SELECT *, {risk('message')} AS s FROM voted) SELECT case_id, left(message, 50) AS sms, prediction, printf('%.0f%%', confidence) AS confidence, scam_votes, {level('s')} AS risk_level, least(s, 100) AS risk_score FROM s",
         "confusion": f"WITH {CONFUSION} SELECT * FROM c",

@@ -201,6 +201,8 @@ def queries() -> dict[str, Query]:
         "duplicate_report_first": _over(_valid, dedup.duplicate_report, "first"),
         "conflict_examples": _over(_valid, dedup.conflict_examples),
         "conflicting_rows": ids(dedup.conflicting_rows),
+        "raw_conflicts": lambda spark, d: dedup.raw_conflicts(_raw(spark, d)).select("row_id", "status"),
+        "blank_rows": lambda spark, d: dedup.blank_rows(_raw(spark, d)).select("row_id"),
         "template_groups": _over(_processed, dedup.template_groups),
         "largest_template": _over(_processed, dedup.largest_template),
         "clean_url": _text("cleaned", lambda c: X.replace_urls(F.lower(c))),
@@ -239,12 +241,15 @@ def queries() -> dict[str, Query]:
         "nb_prior": _over(_train, bayes.priors),
         "nb_theta": _theta,
         "nb_predict": _predict,
+        "nb_cv": lambda spark, d: bayes.fold_summary(bayes.cross_validate(_train(spark, d), 5)),
         "score_messages": _score,
         "score_admission": _admission,
         "keyword_risk": _risk,
         "keyword_hits": _hits,
         "expected_label": lambda spark, d: _processed(spark, d).select("row_id", rules.expected_label(F.col("msg")).alias("label")),
         "ensemble_vote": lambda spark, d: rules.ensemble(_cases(spark, d), "by_risk", "by_words", "by_links").select("case_id", "scam_votes", "prediction", "confidence"),
+        "vote_map": lambda spark, d: _cases(spark, d).select("case_id", F.explode(rules.vote_map({"NB": "by_risk", "LR": "by_words", "SVM": "by_links"})).alias("model", "prediction")),
+        "display_formats": lambda spark, d: table(spark, d, "tracker").select("track_id", X.sentence_case(F.lower("risk_level")).alias("level"), X.thousands(F.col("row_id")).alias("number"), F.upper("prediction").alias("label")),
         "final_verdict": _verdicts,
         "batch_detect": _batch,
         "confusion": _over(_judged, metrics.confusion),

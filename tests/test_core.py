@@ -94,6 +94,26 @@ def test_naive_bayes(corpus):
     assert out == {1: (200, "Scam"), 2: (422, None), 3: (400, None), 4: (400, None), 5: (400, None), 6: (400, None)}
 
 
+def test_model_checks_and_folds(corpus):
+    vocab = features.vocabulary(corpus)
+    theta, prior = bayes.term_probabilities(corpus, features.weights(corpus, vocab)), bayes.priors(corpus)
+    bayes.check_model(vocab, prior, theta)
+    with pytest.raises(ValueError, match="terms"):
+        bayes.check_model(vocab, prior, theta.limit(2))
+    with pytest.raises(ValueError, match="label"):
+        bayes.check_model(vocab, bayes.priors(corpus.where("status = 'Scam'").limit(0)), theta)
+    scores = bayes.cross_validate(corpus, 2)
+    assert scores.count() == 2
+    summary = bayes.fold_summary(scores).first()
+    assert summary["low"] <= summary["mean"] <= summary["high"]
+
+
+def test_written_labels_conflict(messages):
+    df = messages([("A b", "scam", None), ("a b ", "Scam", None), ("a  b", "ham", None), (None, "x", None), (None, "y", None), (" ", None, None)])
+    assert ids(dedup.raw_conflicts(df)) == [1, 2, 4, 5]
+    assert ids(dedup.blank_rows(df)) == [4, 5, 6]
+
+
 def test_split_is_exact_and_seeded(spark):
     df = spark.range(1, 101).select(F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, "Scam").otherwise("Genuine").alias("status"))
     got = split.stratified(df).groupBy("status", "split").count().collect()
