@@ -28,7 +28,6 @@ from paigham.llm.common import has_text, key128, word_hashes
 from paigham.storage import cut, spread
 
 FREQUENT_PARTS = 100_000
-LEAST_SUFFIXES = 4
 #: Words in common of the words in either, in percent.
 SIMILAR = 70
 EVALUATION = ("validation", "test")
@@ -67,38 +66,59 @@ def frequent_words(rows: DataFrame, parts: int = FREQUENT_PARTS) -> tuple[np.nda
     return found["w"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def suffix_heads(frequent: np.ndarray, counts: np.ndarray):
-    """Of each message the suffixes that start at rare words, and ``LEAST_SUFFIXES`` at least: the two leading words as one key."""
+#: Texts of which a task remembers that their heads are sent.
+MOST_SEEN = 1_000_000
+
+
+def prefix_heads(frequent: np.ndarray, counts: np.ndarray, train: bool):
+    """Of each distinct text the words of its prefix as keys, with its size, how many words are left from there, and its sketch.
+
+    Words are ordered by count, rare ones (count unknown) first by hash. Texts of n and m words that are similar share
+    (n + m) * SIMILAR / (100 + SIMILAR) words at least, so their first common word lies within the first n - n * SIMILAR / 100
+    places of each. It cannot lie beyond n - 2 n * SIMILAR / (100 + SIMILAR) in both: keys of frequent words say on which side of
+    that place they are, and two late ones do not meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            lists = batch.column("words")
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            if not len(flat):
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            fresh = []
+            for k, t in enumerate(batch.column("text").to_pylist()):
+                if t not in seen:
+                    seen.add(t)
+                    fresh.append(k)
+            if not fresh:
                 continue
-            record = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            batch = batch.take(pa.array(fresh))
+            lists = batch.column("words")
+            flat = lists.flatten().to_numpy()
+            record = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            often = np.zeros(len(flat), np.int64)
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-                rare = frequent[at] != flat
-            else:
-                at, rare = None, np.ones(len(flat), bool)
-            same_next = np.append(record[1:] == record[:-1], False)
-            following = np.where(same_next, np.roll(flat, -1), 0)
-            rare_next = np.where(same_next, np.roll(rare, -1), False)
-            rare_before = np.append(False, rare[:-1] & same_next[:-1])
-            pick = rare & (rare_next | ~rare_before)
-            # A message with few rare words: its least frequent ones start suffixes as well.
-            starts = np.bincount(record, weights=pick, minlength=batch.num_rows)
-            for r in np.flatnonzero(starts < LEAST_SUFFIXES):
-                a, b = offsets[r], offsets[r + 1] - 1
-                if b > a and at is not None:
-                    often = np.where(rare[a:b], 0, counts[at[a:b]]) + np.where(rare[a + 1 : b + 1], 0, counts[at[a + 1 : b + 1]])
-                    pick[a + np.argsort(often, kind="stable")[:LEAST_SUFFIXES]] = True
-            mixed = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.bitwise_or(following.astype(np.uint64) >> np.uint64(31), following.astype(np.uint64) << np.uint64(33))
-            who = record[pick]
-            yield pa.RecordBatch.from_arrays([pa.array(mixed[pick].view(np.int64)), batch.column("text").take(pa.array(who)), batch.column("train").take(pa.array(who))], ["head", "text", "train"])
+                often = np.where(frequent[at] == flat, counts[at], 0)
+            order = np.lexsort((flat, often, record))
+            flat, often, record = flat[order], often[order], record[order]
+            first = np.append(True, (flat[1:] != flat[:-1]) | (record[1:] != record[:-1]))
+            flat, often, record = flat[first], often[first], record[first]
+            size = np.bincount(record, minlength=batch.num_rows)
+            n = size[record]
+            place = np.arange(len(flat)) - (np.cumsum(size) - size)[record]
+            bits = np.left_shift(np.uint64(1), flat.view(np.uint64) >> np.uint64(58))
+            sketch = np.bitwise_xor.reduceat(bits, np.cumsum(size) - size)
+            keep = 100 * (n - place) >= SIMILAR * n
+            early = (100 + SIMILAR) * (n - place) >= 2 * SIMILAR * n
+            rare = often == 0
+            # Tag 1: both early, 2: early in train only, 3: early in evaluation only.
+            tagged = [(keep & rare, 0), (keep & ~rare & early, 1), (keep & ~rare & early, 2 if train else 3), (keep & ~rare & ~early, 3 if train else 2)]
+            at = np.concatenate([np.flatnonzero(m) for m, _ in tagged])
+            tags = np.concatenate([np.full(int(m.sum()), t, np.uint64) for m, t in tagged])
+            heads = flat[at].view(np.uint64) ^ (tags * np.uint64(0x9E3779B97F4A7C15))
+            who = record[at]
+            columns = [pa.array(heads.view(np.int64)), batch.column("text").take(pa.array(who)), pa.array(n[at].astype(np.int32)), pa.array((n - place)[at].astype(np.int32)), pa.array(sketch[who].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["head", "text", "n", "rest", "sketch"])
 
     return run
 
@@ -113,10 +133,18 @@ def texts(df: DataFrame) -> DataFrame:
 def similar_texts(df: DataFrame) -> DataFrame:
     """``(a, b, common, either)``: texts of train and of evaluation with enough words in common, not the same words."""
     rows = texts(df)
-    heads = rows.mapInArrow(suffix_heads(*frequent_words(rows)), "head bigint, text bigint, train boolean").distinct()
-    left = heads.where("train").select("head", F.col("text").alias("a"))
-    right = heads.where("not train").select("head", F.col("text").alias("b"))
-    pairs = cut(left.join(right, "head").where("a <> b").select("a", "b").distinct())
+    words = frequent_words(rows)
+
+    def side(train: bool, name: str) -> DataFrame:
+        heads = rows.where("train" if train else "not train").mapInArrow(prefix_heads(*words, train), "head bigint, text bigint, n int, rest int, sketch bigint")
+        return heads.repartition("head").distinct().select("head", F.col("text").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "rest", "sketch")))
+
+    # What is left of both from a common word on must suffice, and words that one text lacks show in the sketches: at most so many bits differ.
+    both = F.col("n_a") + F.col("n_b")
+    enough = F.least("rest_a", "rest_b") * (100 + SIMILAR) >= both * SIMILAR
+    alike = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) * (100 + SIMILAR) <= both * (100 - SIMILAR)
+    left, right = side(True, "a"), side(False, "b")
+    pairs = cut(left.join(right, (left["head"] == right["head"]) & (F.col("a") != F.col("b")) & enough & alike).select("a", "b").distinct())
     sets = rows.select("train", "text", F.array_distinct("words").alias("words"))
     needed_a, needed_b = pairs.select(F.col("a").alias("text")).distinct(), pairs.select(F.col("b").alias("text")).distinct()
     of_a = sets.where("train").join(needed_a, "text", "left_semi").dropDuplicates(["text"]).select(F.col("text").alias("a"), F.col("words").alias("wa"))

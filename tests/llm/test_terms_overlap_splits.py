@@ -121,3 +121,31 @@ def test_splits_keep_groups_and_shares(spark, sf):
         assert abs(shares[r.split] / len(got) - r.share) < 0.06
     scam = Counter(got[r.row_id] for r in data if r.status == "Scam")
     assert all(abs(scam[s] / shares[s] - sum(scam.values()) / len(got)) < 0.1 for s in shares)
+
+
+def test_overlap_finds_every_pair(rows):
+    # 70 % of the words in common, but no word that is rare is followed by the same word.
+    often = [f"often{i}" for i in range(14)]
+    filler = [(i, " ".join(often[i % 14 :] + often[: i % 14]) + f" filler{i} more{i}", None, "train") for i in range(100, 200)]
+    mixed = lambda *own: " ".join(w for pair in zip(often, [*own, *[""] * 14]) for w in pair if w)
+    late = " ".join(f"w{i}" for i in range(20))
+    data = [
+        *filler, (1, mixed("once", "here"), None, "train"), (2, mixed("", "", "", "once"), None, "test"), (3, late, None, "train"), (4, " ".join(reversed(late.split())), None, "validation"),
+        (5, "tithar ziner clinic aaj khula hai subah das baje tak", None, "train"), (6, "tithra ziner clinic aaj khula hai subah das baje tak", None, "test"),
+    ]
+    data += [(300 + i, f"other{i} ziner text{i}", None, "train") for i in range(9)]
+    df = rows("row_id bigint, msg string, cleaned_msg string, split string", data)
+    assert pairs(p6_overlap.found(df)) == overlap_truth(data)
+    assert {(1, 2), (3, 4), (5, 6)} <= set(overlap_truth(data))
+
+
+def test_overlap_of_random_texts(rows):
+    import random
+
+    r = random.Random(5)
+    data = []
+    for i in range(600):
+        base = data[r.randrange(len(data))][1].split() if data and r.random() < 0.6 else [f"v{int(r.paretovariate(0.4)) % 400}" for _ in range(r.randrange(1, 24))]
+        data.append((i, " ".join(w if r.random() > 0.12 else f"v{r.randrange(400)}" for w in r.sample(base, len(base))), None, r.choice(["train", "test", "validation"])))
+    df = rows("row_id bigint, msg string, cleaned_msg string, split string", data)
+    assert pairs(p6_overlap.found(df)) == overlap_truth(data)
