@@ -1,15 +1,15 @@
 """Problem 6: the same or nearly the same records across splits.
 
-Suffix array over the partitioned texts: the suffixes of all messages that start at a rare word are
-sorted by their leading words; where a suffix of the train split meets one of an evaluation split
-and their common prefix is long enough to tell texts apart (a rare word and the word after it), the
-two messages share a span. Spans are merged into the coverage of each pair of texts, and the share
-of common words is then counted exactly. A word is frequent if it makes up more than a
-``FREQUENT_PARTS``-th of all words, so there are fewer than that many to send to the tasks; a
-message with few rare words starts suffixes at its least frequent ones.
-
-Equal texts are found by hash alone, with no suffixes; suffixes of copies are combined before they
-are shuffled, and pairs are formed between distinct texts and only then expanded to rows.
+Prefix filter: the words of each text are put in one order, rare words first, and of each text the words of its prefix
+are sent as keys; texts of train and of evaluation with a key in common are candidates. Similar texts
+always have one (see ``prefix_heads``). There is no suffix array and there are no spans: what counts
+is the share of common words in any order, which no run of equal words tells, so a join of suffixes
+loses pairs. Size, place and sketch drop most candidates within the join; of the others the share of
+common words is counted exactly. A word is frequent if it makes up more than a
+``FREQUENT_PARTS``-th of all words, so there are fewer than that many to send to the tasks.
+
+Equal texts are found by hash alone; copies are dropped in the task where it saw them, the rest by key
+before the join, and pairs are formed between distinct texts and only then expanded to rows.
 
 Defined results: null, empty and blank texts are never cases; rows of no or another split take no
 part; ties and repeated rows give a pair for each two rows; further columns are ignored.
