@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRID = (0.01, 0.1, 1.0, 10.0)
+GRID = (0.001, 0.01, 0.1, 1.0, 10.0)
 
 
 def vectors(rows: DataFrame, weighted: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
@@ -36,12 +36,12 @@ def _tuned(estimator, grid, train: DataFrame, fold: str | None, k: int, parallel
     return CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=k, parallelism=parallelism, seed=42, **extra).fit(train)
 
 
-def tune_logistic(train: DataFrame, n: int, costs: tuple[float, ...] = GRID, fold: str | None = None, k: int = 5, parallelism: int = 4, iterations: int = 100) -> CrossValidatorModel:
+def tune_logistic(train: DataFrame, n: int, costs: tuple[float, ...] = GRID, fold: str | None = None, k: int = 5, parallelism: int = 4, iterations: int = 1000) -> CrossValidatorModel:
     model = LogisticRegression(elasticNetParam=0.0, standardization=False, maxIter=iterations)
     return _tuned(model, ParamGridBuilder().addGrid(model.regParam, [1 / (c * n) for c in costs]).build(), train, fold, k, parallelism)
 
 
-def tune_svm(train: DataFrame, n: int, costs: tuple[float, ...] = (0.1, 1.0, 10.0), fold: str | None = None, k: int = 5, parallelism: int = 4, iterations: int = 100) -> CrossValidatorModel:
+def tune_svm(train: DataFrame, n: int, costs: tuple[float, ...] = (0.1, 1.0, 10.0), fold: str | None = None, k: int = 5, parallelism: int = 4, iterations: int = 1000) -> CrossValidatorModel:
     model = LinearSVC(standardization=False, maxIter=iterations)
     return _tuned(model, ParamGridBuilder().addGrid(model.regParam, [1 / (c * n) for c in costs]).build(), train, fold, k, parallelism)
 

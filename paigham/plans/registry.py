@@ -154,10 +154,10 @@ def _library(tune: str) -> Query:
         settings = PRUNED
         vocab = features.vocabulary(train, settings, index=True)
         size, n = vocab.count(), train.count()
-        fold = split.folds(train, 3).select("row_id", "fold")
+        fold = split.folds(train, 5).select("row_id", "fold")
         data = models.vectors(train, features.weights(train, vocab, settings), vocab, size).join(fold, "row_id").cache()
         fit = models.tune_logistic if tune == "logistic" else models.tune_svm
-        tuned = fit(data, n, costs=(0.1, 1.0), fold="fold", k=3, iterations=20)
+        tuned = fit(data, n, fold="fold")
         return models.predictions(tuned.bestModel, models.vectors(test, features.weights(test, vocab, settings), vocab, size))
 
     return run

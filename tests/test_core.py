@@ -197,3 +197,21 @@ def test_pipeline(messages):
     strict = Pipeline(messages(rows), Settings(strict=True))
     assert strict.report().first()["templates"]["duplicate_rows"] == 0
     assert strict.report().first()["overlap"]["n_overlap"] == 0
+
+
+@pytest.mark.parametrize(("name", "costs"), [("lr_cv", [0.001, 0.01, 0.1, 1.0, 10.0]), ("svm_linear", [0.1, 1.0, 10.0])])
+def test_registered_models_search_the_whole_grid(spark, sf, monkeypatch, name, costs):
+    from paigham.operators import models
+    from paigham.plans import registry
+
+    class Seen(Exception):
+        pass
+
+    def tuned(estimator, grid, train, fold, k, parallelism):
+        raise Seen(estimator.getMaxIter(), [1 / (next(iter(g.values())) * train.count()) for g in grid], k, train.select(fold).distinct().count())
+
+    monkeypatch.setattr(models, "_tuned", tuned)
+    with pytest.raises(Seen) as seen:
+        registry.queries()[name](spark, sf)
+    iterations, searched, k, n_folds = seen.value.args
+    assert searched == pytest.approx(costs) and k == n_folds == 5 and iterations >= 1000
