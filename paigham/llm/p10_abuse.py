@@ -54,7 +54,6 @@ SEXUAL = frozenset(
     "sex fuck fucking fucked nude nudes naked horny moan moaning strip stripping slut breasts breast boobs bra panties porn pornography xxx blowjob orgasm erotic cock dick pussy cum tits "
     "nangi nange nanga jism sexy chudai lund randi garam bistar".split()
 )
-HARM = frozenset("kill beat break burn shoot stab cut hang choke rot die dead drop hurt smash crush tod maar mar doob zinda".split())
 DEHUMANIZING = frozenset("vermin filth animals cockroaches rats parasites scum pests disease keeray makoray breed nasl subhuman savages".split())
 #: What a disguised token may be.
 DISGUISED = sorted(INSULTS | SEXUAL | DEHUMANIZING | {"shit", "whores", "sluts"})
@@ -87,13 +86,39 @@ EVERYDAY = re.compile(r"\b(?:gali mein|rider wapas|dog bit|cold killed|farm smel
 MENTION = re.compile(r"\b(?:poster says|sign says|no nudity|no insults|workshop|awareness|seminar|training|helpline now|records abusive|abusive calls|two warnings|was fined|does not repeat|hate speech|harassment|community centre|neighbours cooked|welcomes everyone|he joked|policy|moderat\w+)\b")
 SELF = re.compile(r"\bi (?:was|am|felt like|feel like|have been) (?:such )?(?:an? |so )?\w+\b|\bmyself\b|\blesson learned\b|\bmy own fault\b|\bmain (?:hi )?(?:bewaqoof|gadha|ullu)\b")
 
-#: Words without one of which a pattern cannot match.
-HATE_WORDS = frozenset("wipe driven them coffin rid born breathe waste burn exterminate until locked paida nafrat nasl wajood nikal inhen breed stupid vermin filth animals cockroaches trust deserves".split())
-HARM_WORDS = (HARM - {"drop", "die", "find"}) | {"joote", "find", "knife", "alive", "haddiyan", "hope", "gala", "goli", "crack", "drown", "suffer", "die"}
-MENTION_WORDS = frozenset("poster sign nudity insults workshop awareness seminar training records abusive warnings fined repeat speech harassment community neighbours welcomes joked policy moderator moderators moderation moderated".split())
-SELF_WORDS = frozenset("i myself main lesson own".split())
-SCENE_WORDS = frozenset("gali rider dog cold smells offers".split())
-TRIGGERS = INSULTS | SEXUAL | DEHUMANIZING | HATE_WORDS | HARM_WORDS | MENTION_WORDS | SELF_WORDS | SCENE_WORDS
+#: Of each lexicon or pattern what some word must hold, or it cannot match: one entry at least for every alternative.
+GATES = tuple(
+    re.compile(x)
+    for x in (
+        r"wipe|driven|drive|coffin|^rid$|born|breathe|waste|burn|exterminate|clean|send|locked|lock$|paida|nafrat|nasl|wajood|nikal|inhen|breed|stupid|vermin|filth|animals|cockroaches|trust|deserves",
+        r"^(?:kill|beat|break|cut|stab|shoot|burn|smash|hurt|find)$|(?:break|smash|crack)$|^dead|urself|yourself|^(?:die|rot)|(?:choke|hope|cut|beat|burn|nobody|zinda|doob|joote|gala|goli|mar)$|^knife|^tod|^maar|haddi",
+        r"poster|sign|nudity|insults|workshop|awareness|seminar|training|helpline|abusive|warnings|fined|repeat|speech|harassment|centre|neighbours|everyone|joked|policy|moderat",
+        r"(?:^|\W)i$|myself|lesson$|^own|main$",
+        r"gali$|rider$|dog$|cold$|^smells|^offers",
+    )
+)
+#: Of each word seen the gates it opens; those that open none.
+_opened: dict[str, int] = {}
+_closed: set[str] = set()
+
+
+def _open(words: set[str]) -> int:
+    """The gates that the words open, as bits."""
+    out = 0
+    for w in words - _closed:
+        bits = _opened.get(w)
+        if bits is None:
+            if len(_opened) + len(_closed) > MOST_TOKENS:
+                _opened.clear()
+                _closed.clear()
+            bits = sum(1 << k for k, g in enumerate(GATES) if g.search(w)) | (32 if w in INSULTS else 0) | (64 if w in SEXUAL else 0) | (128 if w in DEHUMANIZING else 0)
+            if not bits:
+                _closed.add(w)
+                continue
+            _opened[w] = bits
+        out |= bits
+    return out
+
 
 VOTERS = ("insult", "directed insult", "threat", "hate", "sexual", "soliciting", "dehumanizing", "everyday", "mention", "self")
 AGAINST = (7, 8, 9)
@@ -193,11 +218,10 @@ def votes(tokens: list[str], urdu: bool | None = None) -> str:
     """One character per voter on a sentence of plain tokens: 1 for abusive, 0 for not, - for no vote."""
     seen = set(tokens)
     urdu = not all(map(str.isascii, tokens)) if urdu is None else urdu
-    if not urdu and TRIGGERS.isdisjoint(seen):
+    opened = _open(seen)
+    if not urdu and not opened:
         return QUIET_PATTERN if EVERYDAY_WORDS.isdisjoint(seen) else QUIET_EVERYDAY
-    insult, sexual = not INSULTS.isdisjoint(seen), not SEXUAL.isdisjoint(seen)
-    harm, hate = not HARM_WORDS.isdisjoint(seen), not HATE_WORDS.isdisjoint(seen)
-    mention, own, scene = not MENTION_WORDS.isdisjoint(seen), not SELF_WORDS.isdisjoint(seen), not SCENE_WORDS.isdisjoint(seen)
+    hate, harm, mention, own, scene, insult, sexual, dehumanizing = (bool(opened >> k & 1) for k in range(8))
     everyday = not EVERYDAY_WORDS.isdisjoint(seen)
     sentence = " ".join(tokens)
     v = ["-"] * len(VOTERS)
@@ -213,7 +237,7 @@ def votes(tokens: list[str], urdu: bool | None = None) -> str:
         v[4] = "1"
         if SOLICIT.search(sentence) or (urdu and SEXUAL_URDU.search(sentence)):
             v[5] = "1"
-    if not DEHUMANIZING.isdisjoint(seen):
+    if dehumanizing:
         v[6] = "1"
     if everyday or ((scene or urdu) and EVERYDAY.search(sentence)):
         v[7] = "0"

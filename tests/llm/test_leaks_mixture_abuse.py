@@ -97,3 +97,21 @@ def test_abuse_against_labels(spark, sf):
     found = {r.doc_id for r in p10_abuse.found(docs).collect()}
     judged = [(r.doc_id in found, r.toxic == 1) for r in labels.where("toxic is not null").collect()]
     assert sum(a == b for a, b in judged) / len(judged) > 0.9  # the labels hold some mistakes
+
+
+MATCHES = {
+    3: "wipe them out|driven out|drive them out|back in a coffin|get rid of them|born to steal|breathe our air|waste our air|burn their|exterminate|clean until|send them back|Send every Pathan back where they came from|keep them locked|lock them up|"
+    "paida hota hai|nafrat farz|nasl hi|wajood mita|nikal phenko|inhen maar|inhen nikal|inhen khatam|in se nafrat|whole breed|too stupid to|are vermin|are filth|are animals|are cockroaches|never trust an X that|no one deserves|put them back in a coffin!",
+    2: "I will kill you|we would find all of you|i'll hurt your|i beat you|i stab you|i shoot you|break your teeth|crack your skull|smash your face|drop dead|hang yourself|drown urself|go die|go and rot|choke on your|hope you suffer|cut you open|with a knife|"
+    "nobody wants to see you alive|burn it down|munh tod|haddi todunga|haddiyan tod|zinda nahi chhorunga|jaan se maarunga|mar ja|doob maro|joote maro|gala ghont|gala kaat|goli maar|drop dead!",
+    8: "poster says|sign says|no nudity|no insults|workshop|awareness|seminar|training|helpline now|records abusive|abusive calls|two warnings|was fined|does not repeat|hate speech|harassment|community centre|neighbours cooked|welcomes everyone|he joked|policy|moderates",
+    9: "i was an idiot|i am so sorry|myself|lesson learned|my own fault|main hi bewaqoof|main gadha",
+    7: "gali mein|rider wapas|dog bit|cold killed|farm smells|clinic offers",
+}
+
+
+@pytest.mark.parametrize(("voter", "text"), [(v, t) for v, all_of in MATCHES.items() for t in all_of.split("|")])
+def test_no_gate_hides_a_pattern(voter, text):
+    tokens = p10_abuse.plain_tokens(text)
+    pattern = {2: p10_abuse.THREAT, 3: p10_abuse.GROUP_HATE, 7: p10_abuse.EVERYDAY, 8: p10_abuse.MENTION, 9: p10_abuse.SELF}[voter]
+    assert pattern.search(" ".join(tokens)) and p10_abuse.votes(tokens)[voter] != "-"
