@@ -176,7 +176,7 @@ def plain_tokens(sentence: str) -> list[str]:
     """The lower-cased words, with disguises undone."""
     low = (by_table(sentence) if not sentence.isascii() and ODD.search(sentence) else sentence).lower()
     found = low.translate(GAPS).split() if low.isascii() else TOKENS.findall(low)
-    if len([t for t in found if len(t) == 1]) > 2:
+    if "_" in low or "*" in low or len([t for t in found if len(t) == 1]) > 2:
         found = TOKENS.findall(SPACED.sub(lambda m: m[0][::2], low))
     out = []
     for token in found:

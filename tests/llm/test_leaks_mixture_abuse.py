@@ -115,3 +115,8 @@ def test_no_gate_hides_a_pattern(voter, text):
     tokens = p10_abuse.plain_tokens(text)
     pattern = {2: p10_abuse.THREAT, 3: p10_abuse.GROUP_HATE, 7: p10_abuse.EVERYDAY, 8: p10_abuse.MENTION, 9: p10_abuse.SELF}[voter]
     assert pattern.search(" ".join(tokens)) and p10_abuse.votes(tokens)[voter] != "-"
+
+
+@pytest.mark.parametrize("mark", list(" .-_*"))
+def test_letters_set_apart_by_any_mark(mark):
+    assert p10_abuse.plain(f"You are {mark.join('trash')} all") == "You are trash all".lower()
