@@ -337,11 +337,11 @@ def _place(gram: str) -> int:
 
 
 def features(tokens: list[str], pattern: str) -> list[int]:
-    """Hashed words and votes of a sentence; where a voter spoke other than of everyday things, also pairs of words."""
+    """Hashed words, pairs of words and votes of a sentence."""
     words = [t for t in tokens if len(t) > 1 and t.isalpha()]
     found = {_place(w) for w in words}
+    found.update(zlib.crc32(f"{a} {b}".encode()) % (DIMENSIONS - 1) + 1 for a, b in pairwise(words))
     if pattern not in (QUIET_PATTERN, QUIET_EVERYDAY):
-        found.update(zlib.crc32(f"{a} {b}".encode()) % (DIMENSIONS - 1) + 1 for a, b in pairwise(words))
         found.update(_place(f"={j}{v}") for j, v in enumerate(pattern) if v != "-")
     found.add(_place(f"=={pattern}"))
     return list(found)
@@ -369,6 +369,7 @@ class Model:
         self.weights = weights.astype(np.float32)
         self.quiet = {p: float(self.weights[_place(f"=={p}")]) for p in (QUIET_PATTERN, QUIET_EVERYDAY)}
         self.known: dict[str, float] = {}
+        self.pairs: dict[tuple[str, str], float] = {}
 
     def _keep(self, token: str) -> float:
         """The weight of a word, kept for the next time."""
@@ -377,10 +378,17 @@ class Model:
         w = self.known[token] = float(self.weights[_place(token)]) if len(token) > 1 and token.isalpha() else 0.0
         return w
 
+    def _keep_pair(self, pair: tuple[str, str]) -> float:
+        """The same for a pair of words."""
+        if len(self.pairs) > MOST_TOKENS:
+            self.pairs.clear()
+        w = self.pairs[pair] = float(self.weights[zlib.crc32(" ".join(pair).encode()) % (DIMENSIONS - 1) + 1])
+        return w
+
     def score(self, text: str) -> tuple[float, int]:
         """The probability of the worst sentence, and which it is."""
         best, which = -30.0, -1
-        quiet, known = self.quiet, self.known
+        quiet, known, pairs = self.quiet, self.known, self.pairs
         for k, s in enumerate(sentences(text)):
             tokens = plain_tokens(s)
             pattern = votes(tokens, not s.isascii())
@@ -389,6 +397,9 @@ class Model:
                 for t in set(tokens):
                     w = known.get(t)
                     z += self._keep(t) if w is None else w
+                for p in set(pairwise([t for t in tokens if len(t) > 1 and t.isalpha()])):
+                    w = pairs.get(p)
+                    z += self._keep_pair(p) if w is None else w
             else:
                 z = float(self.weights[features(tokens, pattern)].sum())
             if z > best:

@@ -120,3 +120,13 @@ def test_no_gate_hides_a_pattern(voter, text):
 @pytest.mark.parametrize("mark", list(" .-_*"))
 def test_letters_set_apart_by_any_mark(mark):
     assert p10_abuse.plain(f"You are {mark.join('trash')} all") == "You are trash all".lower()
+
+
+def test_pairs_of_words_count_without_votes():
+    weights = np.zeros(p10_abuse.DIMENSIONS)
+    tokens = p10_abuse.plain_tokens("the tall tree fell")
+    assert p10_abuse.votes(tokens) == p10_abuse.QUIET_PATTERN
+    both = set(p10_abuse.features(tokens, p10_abuse.QUIET_PATTERN)) - set(p10_abuse.features(["the", "fell"], p10_abuse.QUIET_PATTERN)) - {p10_abuse._place(t) for t in tokens}
+    assert len(both) == 3
+    weights[list(both)] = 1
+    assert p10_abuse.Model(weights).score("the tall tree fell")[0] == pytest.approx(1 / (1 + np.exp(-3)))
