@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from calendar import monthrange
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -249,10 +250,14 @@ def placeholder(kind: str, value: str, written: str, key: bytes) -> str:
         parts = re.split(r"([/-])", value)
         at = 0 if len(parts[0]) == 4 else 4
         day, month = (4, 2) if at == 0 else (0, 2)
-        number = int(feistel(f"{(int(parts[day]) - 1) % 28 * 12 + int(parts[month]) - 1:03d}", key, "date"))
-        while number >= 336:  # cycle walking keeps the permutation within the days there are
+        year = int(parts[at])
+        exists = lambda n: n % 31 < monthrange(year, n // 31 + 1)[1]
+        start = number = (int(parts[month]) - 1) * 31 + int(parts[day]) - 1
+        while True:  # cycle walking keeps the permutation within the days of the year; days that do not exist are permuted among themselves
             number = int(feistel(f"{number:03d}", key, "date"))
-        parts[day], parts[month] = f"{number // 12 + 1:02d}", f"{number % 12 + 1:02d}"
+            if number < 372 and exists(number) == exists(start):
+                break
+        parts[day], parts[month] = f"{number % 31 + 1:02d}", f"{number // 31 + 1:02d}"
         return "".join(parts)
     if kind == "identity" and not value.isdigit():
         return f"[IDENTITY:{value[:2]}{feistel(value[2:], key, 'passport')}]"

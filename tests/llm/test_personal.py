@@ -1,3 +1,5 @@
+from calendar import monthrange
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -64,3 +66,12 @@ def test_rows(rows):
     assert pairs(p.found(df)) == [(3, "phone"), (4, "email"), (4, "phone"), (4, "phone")]
     assert p.redacted(df).where("redacted is null").count() == 1
     assert p.found(df.limit(0)).count() == 0
+
+
+def test_different_dates_stay_different():
+    for year, days in ((2023, 365), (2024, 366)):
+        written = {f"{d:02d}/{m:02d}/{year}" for m in range(1, 13) for d in range(1, 32)}
+        got = {w: p.placeholder("date", w, w, KEY) for w in written}
+        assert set(got.values()) == written
+        exists = lambda w: int(w[:2]) <= monthrange(int(w[6:]), int(w[3:5]))[1]
+        assert all(exists(w) == exists(v) for w, v in got.items()) and sum(map(exists, got.values())) == days
