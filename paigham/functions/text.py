@@ -16,7 +16,8 @@ from paigham.config import Settings
 SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
 SPACE_SET = SPACE[1:-1]
 DIGIT = r"\p{Nd}"
-DOMAIN_LABELS = 100  # a bound keeps the matcher's stack flat; longer hosts are no hosts
+#: A noncharacter that no text holds.
+HELD = chr(0xFDD0)
 
 
 def strip(c: Column) -> Column:
@@ -35,8 +36,11 @@ def duplicate_key(c: Column) -> Column:
 
 def replace_urls(c: Column, token: str = lexicon.URL_TOKEN) -> Column:
     full = F.regexp_replace(c, rf"(?i)(?:https?://|www\.)[^{SPACE_SET}]+", token)
-    ends = "|".join(lexicon.TOP_LEVEL_DOMAINS)
-    return F.regexp_replace(full, rf"(?i)(?U:\b)[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+){{0,{DOMAIN_LABELS}}}\.(?:{ends})(?U:\b)(?:/[^{SPACE_SET}]*)?", token)
+    ends = rf"\.(?:{'|'.join(lexicon.TOP_LEVEL_DOMAINS)})(?U:\b)"
+    # Labels are not empty: dots in a row are held apart, so that a host is one run of characters, however many labels it has.
+    apart = F.when(full.contains(".."), F.regexp_replace(full, r"\.(?=\.)", f".{HELD}")).otherwise(full)
+    hosts = F.regexp_replace(apart, rf"(?i)(?U:\b)[a-z0-9][a-z0-9.-]*{ends}(?:/[^{SPACE_SET}]*)?", token)
+    return F.when(full.rlike(rf"(?i){ends}"), F.when(full.contains(".."), F.replace(hosts, F.lit(HELD), F.lit(""))).otherwise(hosts)).otherwise(full)
 
 
 def replace_numbers(c: Column, mode: str = "token", phones: bool = True, service_codes: bool = True, short_codes: tuple[str, ...] = lexicon.SHORT_CODES) -> Column:
@@ -58,10 +62,6 @@ def replace_numbers(c: Column, mode: str = "token", phones: bool = True, service
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(rf"{DIGIT}[{DIGIT},.]*|[^{DIGIT}]+"), F.lit(0)), one), "")
 
 
-def remove_punctuation(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}_{SPACE_SET}]|_", " ")
-
-
 def remove_special(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?iu)[^a-z0-9{SPACE_SET}]", " ")
 
