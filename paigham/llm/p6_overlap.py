@@ -1,15 +1,24 @@
 """Problem 6: the same or nearly the same records across splits.
 
-Prefix filter: the words of each text are put in one order, rare words first, and of each text the words of its prefix
-are sent as keys; texts of train and of evaluation with a key in common are candidates. Similar texts
-always have one (see ``prefix_heads``). There is no suffix array and there are no spans: what counts
-is the share of common words in any order, which no run of equal words tells, so a join of suffixes
-loses pairs. Size, place and sketch drop most candidates within the join; of the others the share of
-common words is counted exactly. A word is frequent if it makes up more than a
-``FREQUENT_PARTS``-th of all words, so there are fewer than that many to send to the tasks.
+Suffix array over partitioned texts. Each distinct text is put in canonical form: its distinct words
+in one order for all texts, rare words first. Suffixes of these texts are partitioned by their
+leading word and sorted by the words that follow; in a run of adjacent suffixes with a common
+prefix, those of train and of evaluation meet. Each meeting is a shared span, as long as their common
+prefix; the spans of a pair of texts are merged to the coverage of the train text. Pairs are then compared exactly.
 
-Equal texts are found by hash alone; copies are dropped in the task where it saw them, the rest by key
-before the join, and pairs are formed between distinct texts and only then expanded to rows.
+No pair is lost. Of two texts of n and m words with SIMILAR percent in common, at least
+(n + m) * SIMILAR / (100 + SIMILAR) words are common, so the first common word of the order stands
+within the first n - n * SIMILAR / 100 places of each: a suffix starts at each of those, and in the
+canonical form both texts have their common words in the same order.
+
+A leading word is hot if more than ``MEETS`` suffixes of train and of evaluation start with it.
+Hot runs are split by further words: instead of one leading word the suffix has two common ones
+(then three), whose second stands one place further on at most; so a suffix meets at most ``MEETS``
+others for each it counts for. Runs that are still hot after ``DEEPEST`` words are met in full, in
+blocks. Similar texts that are not the same have three words in common at least.
+
+Equal texts (by a 128-bit key) are one text throughout, whatever their number; pairs are formed
+between distinct texts and only then expanded to rows.
 
 Defined results: null, empty and blank texts are never cases; rows of no or another split take no
 part; ties and repeated rows give a pair for each two rows; further columns are ignored.
@@ -21,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paigham.llm.common import has_text, key128, word_hashes
@@ -31,6 +40,13 @@ FREQUENT_PARTS = 100_000
 #: Words in common of the words in either, in percent.
 SIMILAR = 70
 EVALUATION = ("validation", "test")
+#: Suffixes of the rarer side that a run may have before it is split by a further word, and leading words at most.
+MEETS, DEEPEST = 300, 3
+#: Suffixes of one side in a block.
+BLOCK = 20_000
+#: Pairs of suffixes looked at together.
+AT_ONCE = 1_000_000
+SUFFIX = "head bigint, tail bigint, text bigint, train boolean, n int, at int, last int, sketch bigint"
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,118 +76,219 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_words(rows: DataFrame, parts: int = FREQUENT_PARTS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of the words that make up more than one ``parts``-th of all: fewer than ``parts``."""
-    counts = cut(rows.select(F.array_distinct("words").alias("words")).mapInArrow(_word_counts, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1"))
+    counts = cut(rows.select("words").mapInArrow(_word_counts, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = counts.where(F.col("n") > max(20, total // parts)).toPandas().sort_values("w")
     return found["w"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-#: Texts of which a task remembers that their heads are sent.
-MOST_SEEN = 1_000_000
-
-
-def prefix_heads(frequent: np.ndarray, counts: np.ndarray, train: bool):
-    """Of each distinct text the words of its prefix as keys, with its size, how many words are left from there, and its sketch.
-
-    Words are ordered by count, rare ones (count unknown) first by hash. Texts of n and m words that are similar share
-    (n + m) * SIMILAR / (100 + SIMILAR) words at least, so their first common word lies within the first n - n * SIMILAR / 100
-    places of each. It cannot lie beyond n - 2 n * SIMILAR / (100 + SIMILAR) in both: keys of frequent words say on which side of
-    that place they are, and two late ones do not meet.
-    """
+def _ordered(frequent: np.ndarray, counts: np.ndarray):
+    """The words of each text in canonical order: by count, rare ones (count unknown) first by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            if len(seen) > MOST_SEEN:
-                seen.clear()
-            fresh = []
-            for k, t in enumerate(batch.column("text").to_pylist()):
-                if t not in seen:
-                    seen.add(t)
-                    fresh.append(k)
-            if not fresh:
-                continue
-            batch = batch.take(pa.array(fresh))
             lists = batch.column("words")
-            flat = lists.flatten().to_numpy()
-            record = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            record = np.repeat(np.arange(batch.num_rows), sizes)
             often = np.zeros(len(flat), np.int64)
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
                 often = np.where(frequent[at] == flat, counts[at], 0)
-            order = np.lexsort((flat, often, record))
-            flat, often, record = flat[order], often[order], record[order]
-            first = np.append(True, (flat[1:] != flat[:-1]) | (record[1:] != record[:-1]))
-            flat, often, record = flat[first], often[first], record[first]
-            size = np.bincount(record, minlength=batch.num_rows)
-            n = size[record]
-            place = np.arange(len(flat)) - (np.cumsum(size) - size)[record]
-            bits = np.left_shift(np.uint64(1), flat.view(np.uint64) >> np.uint64(58))
-            sketch = np.bitwise_xor.reduceat(bits, np.cumsum(size) - size)
-            keep = 100 * (n - place) >= SIMILAR * n
-            early = (100 + SIMILAR) * (n - place) >= 2 * SIMILAR * n
-            rare = often == 0
-            # Tag 1: both early, 2: early in train only, 3: early in evaluation only.
-            tagged = [(keep & rare, 0), (keep & ~rare & early, 1), (keep & ~rare & early, 2 if train else 3), (keep & ~rare & ~early, 3 if train else 2)]
-            at = np.concatenate([np.flatnonzero(m) for m, _ in tagged])
-            tags = np.concatenate([np.full(int(m.sum()), t, np.uint64) for m, t in tagged])
-            heads = flat[at].view(np.uint64) ^ (tags * np.uint64(0x9E3779B97F4A7C15))
-            who = record[at]
-            columns = [pa.array(heads.view(np.int64)), batch.column("text").take(pa.array(who)), pa.array(n[at].astype(np.int32)), pa.array((n - place)[at].astype(np.int32)), pa.array(sketch[who].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["head", "text", "n", "rest", "sketch"])
+            words = flat[np.lexsort((flat, often, record))]
+            offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("in_train"), batch.column("in_evaluation"), pa.ListArray.from_arrays(offsets, words)], ["text", "in_train", "in_evaluation", "words"])
 
     return run
 
 
-def texts(df: DataFrame) -> DataFrame:
-    """``(row_id, train, words)`` of the rows that take part, and the hash of their set of words."""
-    words = word_hashes(F.col("msg"))
-    rows = spread(df.select("row_id", "msg", "split")).select("row_id", "msg", "split", (F.col("split") == "train").alias("train")).where(F.col("split").isin("train", *EVALUATION) & has_text(F.col("msg")))
-    return rows.select("row_id", "train", words.alias("words")).where(F.size("words") > 0).select("row_id", "train", "words", F.xxhash64(F.sort_array(F.array_distinct("words"))).alias("text"))
+def _packed(second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Two words that follow, 32 bits of each."""
+    return ((second.view(np.uint64) >> np.uint64(32) << np.uint64(32)) | (third.view(np.uint64) >> np.uint64(32))).view(np.int64)
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the suffixes that start where the first common word may stand, once for each side it is on."""
+    for batch in batches:
+        lists = batch.column("words")
+        flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        record = np.repeat(np.arange(batch.num_rows), size)
+        n = size[record]
+        place = np.arange(len(flat)) - (np.cumsum(size) - size)[record]
+        bits = np.left_shift(np.uint64(1), flat.view(np.uint64) >> np.uint64(58))
+        sketch = np.bitwise_xor.reduceat(bits, np.cumsum(size) - size).view(np.int64)
+        after = lambda k: np.where(place + k < n, np.append(flat, np.zeros(k, np.int64))[k:], 0)
+        tail = _packed(after(1), after(2))
+        starts = 100 * (n - place) >= SIMILAR * n
+        sides = [batch.column(c).to_numpy(zero_copy_only=False)[record] for c in ("in_train", "in_evaluation")]
+        at = np.concatenate([np.flatnonzero(starts & s) for s in sides])
+        train = np.arange(len(at)) < int((starts & sides[0]).sum())
+        who, where = record[at], place[at].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[at]), pa.array(tail[at]), batch.column("text").take(pa.array(who)), pa.array(train), pa.array(n[at].astype(np.int32)), pa.array(where), pa.array(where), pa.array(sketch[who])], SUFFIX.replace(",", "").split()[::2])
+
+
+def _meetings(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Shared spans of suffixes of train and of evaluation in whole runs of a common head (and block)."""
+    change = (rows["head"][1:] != rows["head"][:-1]) | (rows["block"][1:] != rows["block"][:-1])
+    run = np.append(0, np.cumsum(change))
+    t, e = np.flatnonzero(rows["train"]), np.flatnonzero(~rows["train"])
+    per = np.bincount(run[t], minlength=run[-1] + 1)
+    start = np.cumsum(per) - per
+    ends = np.cumsum(per[run[e]])
+    low = 0
+    while low < len(e):
+        base = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
+        some = e[low:high]
+        n = per[run[some]]
+        low = high
+        right = np.repeat(some, n)
+        left = t[np.arange(len(right)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[run[some]], n)] if len(right) else right
+        both = rows["n"][left] + rows["n"][right]
+        # What is left of both from their first common word on must suffice, and words that one text lacks show in the sketches.
+        left_over = np.minimum(rows["n"][left] - rows["at"][left], rows["n"][right] - rows["at"][right])
+        kept = (left_over * (100 + SIMILAR) >= both * SIMILAR) & (rows["text"][left] != rows["text"][right])
+        kept &= np.bitwise_count(rows["sketch"][left] ^ rows["sketch"][right]) * (100 + SIMILAR) <= both * (100 - SIMILAR)
+        left, right = left[kept], right[kept]
+        if not len(left):
+            continue
+        differ = (rows["tail"][left] ^ rows["tail"][right]).view(np.uint64)
+        room = np.minimum(rows["n"][left] - rows["last"][left], rows["n"][right] - rows["last"][right])
+        length = np.minimum(room, 1 + (differ >> np.uint64(32) == 0) + (differ == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["text"][left], rows["text"][right], rows["last"][left], (rows["last"][left] + length).astype(np.int32))], ["a", "b", "low", "high"])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks the sorted suffixes of a partition; a run that a batch leaves open goes on in the next."""
+    names = ("head", "block", "tail", "text", "train", "n", "at", "last", "sketch")
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        last = (rows["head"] != rows["head"][-1]) | (rows["block"] != rows["block"][-1])
+        end = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        if end:
+            done = [*held, {c: v[:end] for c, v in rows.items()}]
+            yield from _meetings({c: np.concatenate([d[c] for d in done]) for c in names})
+            held = []
+        held.append({c: v[end:] for c, v in rows.items()})
+    if held:
+        yield from _meetings({c: np.concatenate([d[c] for d in held]) for c in names})
+
 
+def base_rows(df: DataFrame) -> DataFrame:
+    """``(row_id, train, x, y, words)`` of the rows that take part: the key of their set of words, and those."""
+    rows = spread(df.select("row_id", "msg", "split").where(F.col("split").isin("train", *EVALUATION) & has_text(F.col("msg"))))
+    words = rows.select("row_id", (F.col("split") == "train").alias("train"), F.sort_array(F.array_distinct(word_hashes(F.col("msg")))).alias("words")).where(F.size("words") > 0)
+    return words.select("row_id", "train", F.xxhash64("words").alias("x"), F.xxhash64(F.lit(0x5EED), "words").alias("y"), "words")
 
-def similar_texts(df: DataFrame) -> DataFrame:
-    """``(a, b, common, either)``: texts of train and of evaluation with enough words in common, not the same words."""
-    rows = texts(df)
-    words = frequent_words(rows)
 
-    def side(train: bool, name: str) -> DataFrame:
-        heads = rows.where("train" if train else "not train").mapInArrow(prefix_heads(*words, train), "head bigint, text bigint, n int, rest int, sketch bigint")
-        return heads.repartition("head").distinct().select("head", F.col("text").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "rest", "sketch")))
+def _blocks() -> Column:
+    """The blocks a suffix takes part in: long sides of a run are parted, and each part meets each of the other side."""
+    parts = {c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int") for c in "te"}
+    own = {c: F.pmod(F.xxhash64("text"), parts[c]).cast("int") for c in "te"}
+    of_train = F.transform(F.sequence(F.lit(0), parts["e"] - 1), lambda i: own["t"] * parts["e"] + i)
+    of_other = F.transform(F.sequence(F.lit(0), parts["t"] - 1), lambda i: i * parts["e"] + own["e"])
+    return F.when((F.col("t") <= BLOCK) & (F.col("e") <= BLOCK), F.array(F.lit(0))).when(F.col("train"), of_train).otherwise(of_other)
 
-    # What is left of both from a common word on must suffice, and words that one text lacks show in the sketches: at most so many bits differ.
-    both = F.col("n_a") + F.col("n_b")
-    enough = F.least("rest_a", "rest_b") * (100 + SIMILAR) >= both * SIMILAR
-    alike = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) * (100 + SIMILAR) <= both * (100 - SIMILAR)
-    left, right = side(True, "a"), side(False, "b")
-    pairs = cut(left.join(right, (left["head"] == right["head"]) & (F.col("a") != F.col("b")) & enough & alike).select("a", "b").distinct())
-    sets = rows.select("train", "text", F.array_distinct("words").alias("words"))
-    needed_a, needed_b = pairs.select(F.col("a").alias("text")).distinct(), pairs.select(F.col("b").alias("text")).distinct()
-    of_a = sets.where("train").join(needed_a, "text", "left_semi").dropDuplicates(["text"]).select(F.col("text").alias("a"), F.col("words").alias("wa"))
-    of_b = sets.where("not train").join(needed_b, "text", "left_semi").dropDuplicates(["text"]).select(F.col("text").alias("b"), F.col("words").alias("wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
-    compared = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", common.alias("common"), (F.size("wa") + F.size("wb")).alias("both"))
-    return compared.where(F.col("common") * 100 >= SIMILAR * (F.col("both") - F.col("common"))).select("a", "b", "common", (F.col("both") - F.col("common")).alias("either"))
+
+def spans(canonical: DataFrame, meets: int = MEETS, deepest: int = DEEPEST) -> DataFrame:
+    """``(a, b, low, high)``: spans of words, in the canonical form of the train text ``a``, that the evaluation text ``b`` shares."""
+    rows = cut(canonical.mapInArrow(_suffixes, SUFFIX))
+    out: DataFrame | None = None
+    for depth in range(1, deepest + 1):
+        sizes = cut(rows.groupBy("head").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e")).where("t > 0 and e > 0"))
+        hot = F.least("t", "e") > meets
+        split = depth < deepest and not sizes.where(hot).isEmpty()
+        met = rows.join(sizes.where(~hot) if split else sizes, "head").withColumn("block", F.explode(_blocks()))
+        found = met.drop("t", "e").repartition("head", "block").sortWithinPartitions("head", "block", "tail").mapInArrow(_scan, "a bigint, b bigint, low int, high int")
+        out = found if out is None else out.unionByName(found)
+        if not split:
+            break
+        # The next common word stands at most ``depth`` places beyond where the first one may.
+        longer = rows.join(sizes.where(hot).select("head"), "head").join(canonical.select("text", "words"), "text")
+        most = F.floor(F.col("n") * (100 - SIMILAR) / 100).cast("int") + depth
+        longer = longer.withColumn("next", F.explode(F.when(F.col("last") + 1 <= F.least(most, F.col("n") - 1), F.sequence(F.col("last") + 1, F.least(most, F.col("n") - 1)))))
+        word = lambda k: F.coalesce(F.get("words", F.col("next") + k), F.lit(0))
+        tail = F.shiftleft(F.shiftrightunsigned(word(1), 32), 32).bitwiseOR(F.shiftrightunsigned(word(2), 32))
+        rows = cut(longer.select(F.xxhash64("head", word(0)).alias("head"), tail.alias("tail"), "text", "train", "n", "at", F.col("next").alias("last"), "sketch"))
+    return out
+
+
+class Texts:
+    """The distinct texts of a table, and the rows that have them."""
+
+    def __init__(self, df: DataFrame):
+        self.rows = cut(base_rows(df))
+        groups = self.rows.groupBy("x", "y").agg(F.min("row_id").alias("text"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_evaluation"))
+        self.groups = cut(groups)
+        #: ``(row_id, train, text)``: the text of each row is named after the smallest row that has it.
+        self.members = self.rows.select("row_id", "train", "x", "y").join(self.groups.select("x", "y", "text"), ["x", "y"]).select("row_id", "train", "text")
+        distinct = self.rows.select(F.col("row_id").alias("text"), "words").join(self.groups.select("text", "in_train", "in_evaluation"), "text")
+        self.canonical = cut(distinct.mapInArrow(_ordered(*frequent_words(self.rows)), "text bigint, in_train boolean, in_evaluation boolean, words array<bigint>"))
+
+    def similar(self, meets: int = MEETS, deepest: int = DEEPEST) -> DataFrame:
+        """``(a, b, covered, common, either)``: texts of train and of evaluation with enough words in common, not the same words.
+
+        ``covered`` is the length of the merged spans that the suffixes show, ``common`` all words in common.
+        """
+        merge = F.aggregate(F.array_sort(F.collect_set(F.struct("low", "high"))), F.struct(F.lit(0).alias("covered"), F.lit(0).alias("upto")), lambda s, x: F.struct((s["covered"] + F.greatest(F.lit(0), x["high"] - F.greatest(s["upto"], x["low"]))).alias("covered"), F.greatest(s["upto"], x["high"]).alias("upto")))
+        pairs = cut(spans(self.canonical, meets, deepest).groupBy("a", "b").agg(merge["covered"].alias("covered")))
+        side = lambda x, name: self.canonical.select(F.col("text").alias(x), F.col("words").alias(name))
+        common = F.size(F.array_intersect("wa", "wb"))
+        compared = pairs.join(side("b", "wb"), "b").join(side("a", "wa"), "a").select("a", "b", "covered", common.alias("common"), (F.size("wa") + F.size("wb")).alias("both"))
+        return compared.where(F.col("common") * 100 >= SIMILAR * (F.col("both") - F.col("common"))).select("a", "b", "covered", "common", (F.col("both") - F.col("common")).alias("either"))
+
+    def links(self) -> DataFrame:
+        """``(a, b)``: texts of train and of evaluation with the same or with enough common words."""
+        same = self.groups.where("in_train and in_evaluation").select(F.col("text").alias("a"), F.col("text").alias("b"))
+        return self.similar().select("a", "b").unionByName(same)
+
+
+def _cleaned(df: DataFrame) -> DataFrame:
+    """``(row_id, train, ca, cb)``: the key of ``cleaned_msg`` of the rows that take part and have one."""
+    a, b = key128(F.col("cleaned_msg"))
+    kept = df.select("row_id", "split", "cleaned_msg").where(F.col("split").isin("train", *EVALUATION) & has_text(F.col("cleaned_msg")))
+    return kept.select("row_id", (F.col("split") == "train").alias("train"), a.alias("ca"), b.alias("cb"))
 
 
 def found(df: DataFrame) -> DataFrame:
     """``(row_a, row_b)``: a train row and an evaluation row with equal ``cleaned_msg`` or similar ``msg``."""
-    rows = cut(texts(df).select("row_id", "train", "text"))
-    train = rows.where("train").select(F.col("row_id").alias("i"), F.col("text").alias("a"))
-    other = rows.where("not train").select(F.col("row_id").alias("j"), F.col("text").alias("b"))
-    near = similar_texts(df).select("a", "b").join(train, "a").join(other, "b").select("i", "j")
-    same = train.join(other, F.col("a") == F.col("b")).select("i", "j")
-    a, b = key128(F.col("cleaned_msg"))
-    kept = df.select("row_id", "split", "cleaned_msg").where(F.col("split").isin("train", *EVALUATION) & has_text(F.col("cleaned_msg"))).select("row_id", "split", a.alias("ca"), b.alias("cb"))
-    cleaned = kept.where("split = 'train'").select(F.col("row_id").alias("i"), "ca", "cb").join(kept.where("split <> 'train'").select(F.col("row_id").alias("j"), "ca", "cb"), ["ca", "cb"]).select("i", "j")
-    pairs = near.unionByName(same).unionByName(cleaned).distinct()
+    texts = Texts(df)
+    side = lambda rows, train, name: rows.where("train" if train else "not train").withColumnRenamed("row_id", name).drop("train")
+    members = cut(texts.members)
+    near = texts.links().join(side(members, True, "i").withColumnRenamed("text", "a"), "a").join(side(members, False, "j").withColumnRenamed("text", "b"), "b").select("i", "j")
+    kept = _cleaned(df)
+    cleaned = side(kept, True, "i").join(side(kept, False, "j"), ["ca", "cb"]).select("i", "j")
+    pairs = near.unionByName(cleaned).distinct()
     return pairs.select(F.least("i", "j").alias("row_a"), F.greatest("i", "j").alias("row_b"))
 
 
+def classes(df: DataFrame) -> DataFrame:
+    """``(row_id, class_row_id, n_links)``: every row that takes part with the smallest row of the same words, and its number of partners.
+
+    No pair of rows is formed: partners are counted class by class - rows of the texts linked to the
+    row's own, rows of the other side with its ``cleaned_msg``, less those that are both.
+    """
+    texts = Texts(df)
+    both = texts.members.withColumnRenamed("train", "t").join(_cleaned(df), "row_id", "full")
+    rows = cut(both.select("row_id", F.coalesce("t", "train").alias("train"), "text", "ca", "cb"))
+    one_way = cut(texts.links())
+    links = one_way.select(F.col("a").alias("text"), F.col("b").alias("other"), F.lit(True).alias("train")).unionByName(one_way.select(F.col("b").alias("text"), F.col("a").alias("other"), F.lit(False).alias("train")))
+    per_text = rows.where("text is not null").groupBy(F.col("text").alias("other"), (~F.col("train")).alias("train")).agg(F.count("*").alias("k"))
+    near = links.join(per_text, ["other", "train"]).groupBy("text", "train").agg(F.sum("k").alias("near"))
+    cleaned = rows.where("ca is not null").groupBy("ca", "cb", (~F.col("train")).alias("train")).agg(F.count("*").alias("alike"))
+    joint = rows.where("text is not null and ca is not null").groupBy("text", "ca", "cb", "train").agg(F.count("*").alias("k"))
+    across = joint.select(F.col("text").alias("other"), "ca", "cb", (~F.col("train")).alias("train"), "k")
+    twice = links.join(joint.drop("k"), ["text", "train"]).join(across, ["other", "ca", "cb", "train"]).groupBy("text", "ca", "cb", "train").agg(F.sum("k").alias("twice"))
+    counted = rows.join(near, ["text", "train"], "left").join(cleaned, ["ca", "cb", "train"], "left").join(twice, ["text", "ca", "cb", "train"], "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return counted.select("row_id", F.coalesce("text", "row_id").alias("class_row_id"), (number("near") + number("alike") - number("twice")).alias("n_links"))
+
+
 def report(df: DataFrame) -> DataFrame:
     """Per evaluation split and source: rows, rows that overlap with train, and pairs."""
-    pairs = cut(found(df))
-    ids = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).groupBy("row_id").agg(F.count("*").alias("n"))
+    linked = classes(df).where("n_links > 0").select("row_id", "n_links")
     held_out = df.select("row_id", "split", "source").where(F.col("split").isin(*EVALUATION))
-    joined = held_out.join(ids, "row_id", "left")
-    return joined.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+    joined = held_out.join(linked, "row_id", "left")
+    return joined.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("n_links").alias("n_overlapping"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_pairs"))

@@ -35,6 +35,7 @@ def queries() -> dict[str, Query]:
         "p5_terms": _of("processed", p5_terms.counted),
         "p6_found": _of("processed", p6_overlap.found),
         "p6_report": _of("processed", p6_overlap.report),
+        "p6_classes": _of("processed", p6_overlap.classes),
         "p7_found": _of("processed", p7_splits.found, "senders"),
         "p7_splits": _of("processed", p7_splits.assigned, "senders", "split_targets"),
         "p7_report": _of("processed", p7_splits.report, "senders", "split_targets"),

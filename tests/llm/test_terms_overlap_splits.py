@@ -149,3 +149,37 @@ def test_overlap_of_random_texts(rows):
         data.append((i, " ".join(w if r.random() > 0.12 else f"v{r.randrange(400)}" for w in r.sample(base, len(base))), None, r.choice(["train", "test", "validation"])))
     df = rows("row_id bigint, msg string, cleaned_msg string, split string", data)
     assert pairs(p6_overlap.found(df)) == overlap_truth(data)
+
+
+def test_hot_runs_are_split_and_nothing_is_lost(rows):
+    import random
+
+    r = random.Random(8)
+    data = [(i, " ".join(r.sample([f"w{k}" for k in range(9)], r.randrange(3, 8))), r.choice([f"c{i % 5}", None, f"d{i}"]), r.choice(["train", "test", "validation"])) for i in range(160)]
+    df = rows("row_id bigint, msg string, cleaned_msg string, split string", data)
+    texts = p6_overlap.Texts(df)
+    whole = texts.similar().select("a", "b", "common", "either").collect()
+    assert whole
+    for meets, deepest in ((1, 3), (3, 3), (2, 2), (0, 1)):
+        assert sorted(texts.similar(meets, deepest).select("a", "b", "common", "either").collect()) == sorted(whole)
+    truth = overlap_truth(data)
+    assert pairs(p6_overlap.found(df)) == truth
+    partners = Counter(i for pair in truth for i in pair)
+    got = {x.row_id: x for x in p6_overlap.classes(df).collect()}
+    assert {i: x.n_links for i, x in got.items() if x.n_links} == partners and len(got) == len(data)
+    sets = {i: words(m) for i, m, *_ in data}
+    assert all(x.class_row_id == min(i for i, w in sets.items() if w == sets[x.row_id]) for x in got.values())
+
+
+def test_long_runs_go_in_blocks(rows, monkeypatch):
+    monkeypatch.setattr(p6_overlap, "BLOCK", 4)
+    data = [(i, f"same start here x{i} y{i % 3}" if i % 4 else f"same start here again z{i}", None, "train" if i % 2 else "test") for i in range(60)]
+    data += [(100 + i, "alpha beta gamma delta" + " epsilon" * (i % 2), None, "train" if i % 3 else "test") for i in range(9)]
+    df = rows("row_id bigint, msg string, cleaned_msg string, split string", data)
+    assert pairs(p6_overlap.found(df)) == overlap_truth(data)
+
+
+def test_spans_are_merged(rows):
+    data = [(1, "a1 a2 a3 a4 a5 a6 a7 a8 a9 b1", None, "train"), (2, "a1 a2 a3 a4 a5 a6 a7 a8 a9 b2", None, "test")]
+    (one,) = p6_overlap.Texts(rows("row_id bigint, msg string, cleaned_msg string, split string", data)).similar().collect()
+    assert (one.a, one.b, one.common, one.either) == (1, 2, 9, 11) and 1 <= one.covered <= 9
