@@ -147,7 +147,7 @@ def _meetings(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         left_over = np.minimum(rows["n"][left] - rows["at"][left], rows["n"][right] - rows["at"][right])
         kept = (left_over * (100 + SIMILAR) >= both * SIMILAR) 
         kept &= (rows["text"][left] != rows["text"][right]) | (rows["sketch"][left] != rows["sketch"][right])
-        kept &= np.bitwise_count(rows["sketch"][left] ^ rows["sketch"][right]) * (100 + SIMILAR) <= both * (100 - SIMILAR)
+        kept &= np.bitwise_count((rows["sketch"][left] ^ rows["sketch"][right]).view(np.uint64)).astype(np.int64) * (100 + SIMILAR) <= both * (100 - SIMILAR)
         left, right = left[kept], right[kept]
         if not len(left):
             continue
