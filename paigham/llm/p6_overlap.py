@@ -41,7 +41,8 @@ FREQUENT_PARTS = 100_000
 SIMILAR = 70
 EVALUATION = ("validation", "test")
 #: Suffixes of the rarer side that a run may have before it is split by a further word, and leading words at most.
-MEETS, DEEPEST = 1_000, 3
+#: A split suffix becomes several that are written and sorted again, so it must save thousands of meetings.
+MEETS, DEEPEST = 4_000, 3
 #: Suffixes of one side in a block.
 BLOCK = 20_000
 #: Pairs of suffixes looked at together.
