@@ -2,12 +2,13 @@
 
 Canonical bytes: the lower-cased words in order; where a message is an opening with labelled
 fields, the opening and then the fields in sorted order, each with its own value. Rows are split by
-the leading bytes (radix), oversized buckets by further bytes until each fits; every bucket is then
-counted in a trie whose terminals hold the number of copies and the first row. A bucket of one text
-alone cannot be split by bytes: its rows are counted with partial sums before any shuffle.
+the leading bytes (radix), oversized buckets by twice as many bytes and so on until each fits; every
+bucket is then counted in a trie whose terminals hold the number of copies and the first row. A
+bucket of one text alone cannot be split by bytes: its rows are counted by partial sums.
 
-A level of the radix directory lists only oversized prefixes; with ``fits`` at least a
-``MOST_OVERSIZED``-th of the rows there are at most ``MOST_OVERSIZED`` of them, whatever the input.
+The radix directory is a written table per level, of the oversized prefixes only; rows find theirs by
+joins, which Spark broadcasts where a level is small and shuffles where it is not. The number of
+tasks follows the rows and bytes, so a task's tries stay of one size, whatever the input.
 
 Defined results: null, empty and blank messages are no messages and come out nowhere; messages
 without a word are copies if equal; ties go to the smallest ``row_id``; an empty table gives an
@@ -18,21 +19,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paigham.llm.common import has_text, width
+from paigham.llm.common import has_text, key128, width
 from paigham.storage import cut, spread
 
 WORD = re.compile(r"[^\W_]+")
 FIELD = re.compile(r"([^\W\d_]\w*)\s*[:=](?!//)")
-#: Depths in bytes at which oversized buckets are split.
-LADDER = (8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512)
-MOST_OVERSIZED = 2000
+#: Bytes by which rows are split at first; oversized buckets are split by twice as many, and so on.
+DEPTH = 8
+#: Rows that fit into a bucket, and rows and bytes of the buckets of one task.
 FITS = 20_000
+TASK_ROWS, TASK_BYTES = 100_000, 64 << 20
 
 
 def canonical(msg: str) -> bytes:
@@ -100,39 +103,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + 50_000]), pa.array(first[t]), pa.array(counts[t])], ["row_id", "first_row_id", "n_copies"])
 
 
+def directory(rows: DataFrame, fits: int = FITS) -> tuple[list[tuple[int, DataFrame]], list[DataFrame]]:
+    """Levels ``(depth, oversized prefixes)`` of the radix directory, and the oversized buckets of one text: ``(x, y, n_copies, first_row_id)``."""
+    levels, alone, left, depth = [], [], rows, DEPTH
+    while True:
+        ends = [F.min(c).alias(f"{c}0") for c in "xy"] + [F.max(c).alias(f"{c}1") for c in "xy"]
+        counted = left.groupBy(F.substring("canon", 1, depth).alias("prefix")).agg(F.count("*").alias("n"), F.min("row_id").alias("first"), *ends).where(F.col("n") > fits)
+        oversized = cut(counted.withColumn("one", (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))))
+        many = oversized.where("not one").select("prefix")
+        alone.append(oversized.where("one").select(F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("n").alias("n_copies"), F.col("first").alias("first_row_id")))
+        if many.isEmpty():
+            return levels, alone
+        levels.append((depth, many))
+        left = left.withColumn("prefix", F.substring("canon", 1, depth)).join(many, "prefix", "left_semi").drop("prefix")
+        depth *= 2
+
+
 def grouped(df: DataFrame, fits: int = FITS) -> DataFrame:
     """``(row_id, first_row_id, n_copies)`` of every row with text."""
     spark = df.sparkSession
-    rows = cut(spread(df.select("row_id", "msg")).where(has_text(F.col("msg"))).mapInArrow(_canonicals, "row_id bigint, canon binary"))
-    total = rows.count()
-    fits = max(fits, total // MOST_OVERSIZED)
-    levels: list[tuple[int, list[bytes]]] = []
-    left = rows
-    for depth in LADDER if total > fits else ():
-        counted = left.groupBy(F.substring("canon", 1, depth).alias("p")).count().where(F.col("count") > fits)
-        oversized = [bytes(r[0]) for r in counted.select("p").collect()]
-        if not oversized:
-            break
-        levels.append((depth, oversized))
-        left = left.where(F.substring("canon", 1, depth).isin(oversized))
-    leaf = F.lit(None).cast("binary")
-    hot = None
-    if levels:
-        # One text alone in an oversized bucket: counted by partial sums, no task gets all its rows.
-        alone = left.where(F.substring("canon", 1, levels[-1][0]).isin(levels[-1][1])).groupBy("canon").agg(F.count("*").alias("n_copies"), F.min("row_id").alias("first_row_id")).where(F.col("n_copies") > fits)
-        singles = alone.collect() if len(levels) == len(LADDER) or any(len(p) < d for d, ps in levels for p in ps) else []
-        leaf = F.col("canon")
-        for depth, oversized in reversed(levels):
-            leaf = F.when(~F.substring("canon", 1, depth).isin(oversized), F.substring("canon", 1, depth)).otherwise(leaf)
-        if singles:
-            table = spark.createDataFrame([(bytes(r["canon"]), r["first_row_id"], r["n_copies"]) for r in singles], "canon binary, first_row_id bigint, n_copies bigint")
-            hot = rows.join(F.broadcast(table), "canon").select("row_id", "first_row_id", "n_copies")
-            rows = rows.where(~F.col("canon").isin([bytes(r["canon"]) for r in singles]))
-    else:
-        leaf = F.substring("canon", 1, LADDER[0])
-    buckets = max(width(spark), -(-2 * total // fits))
-    counted = rows.repartition(buckets, F.xxhash64(leaf)).mapInArrow(_count, "row_id bigint, first_row_id bigint, n_copies bigint")
-    return counted.unionByName(hot) if hot is not None else counted
+    canon = spread(df.select("row_id", "msg")).where(has_text(F.col("msg"))).mapInArrow(_canonicals, "row_id bigint, canon binary")
+    x, y = key128(F.col("canon"))
+    rows = cut(canon.withColumns({"x": x, "y": y}))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("canon")), F.lit(0)).alias("bytes")).first()
+    levels, alone = directory(rows, fits) if size["n"] > fits else ([], [])
+    # The leaf of a row: the shortest prefix whose bucket fits.
+    placed = rows.withColumn("leaf", F.substring("canon", 1, DEPTH))
+    for at, many in levels:
+        seen = many.select(F.col("prefix").alias("leaf"), F.lit(True).alias("deeper"))
+        placed = placed.join(seen, "leaf", "left").withColumn("leaf", F.when(F.col("deeper"), F.substring("canon", 1, at * 2)).otherwise(F.col("leaf"))).drop("deeper")
+    out = None
+    if alone:
+        single = reduce(DataFrame.unionByName, alone)
+        out = rows.join(single, ["x", "y"]).select("row_id", "first_row_id", "n_copies")
+        placed = placed.join(single.select("x", "y"), ["x", "y"], "left_anti")
+    tasks = max(width(spark), -(-size["n"] // min(TASK_ROWS, 5 * fits)), -(-size["bytes"] // TASK_BYTES))
+    counted = placed.select("row_id", "canon", F.xxhash64("leaf").alias("leaf")).repartition(tasks, "leaf").select("row_id", "canon").mapInArrow(_count, "row_id bigint, first_row_id bigint, n_copies bigint")
+    return counted.unionByName(out) if out is not None else counted
 
 
 def collapsed(df: DataFrame, fits: int = FITS) -> DataFrame:

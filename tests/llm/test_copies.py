@@ -49,3 +49,21 @@ def test_edges_and_a_hot_text(rows):
     counts = {r.row_id: r.n_copies for r in p.collapsed(df, 20).collect()}
     assert counts[4] == 2 and counts[102] == 100
     assert p.found(df.limit(0)).count() == 0
+
+
+def test_splitting_goes_on_until_buckets_fit(rows):
+    # Long common openings, which only many levels tell apart, and one text a third of the rows.
+    data = [(i, "same " * 150 + f"end{i % 90}") for i in range(270)] + [(1000 + i, "Hot, text!" if i % 2 else "hot text") for i in range(130)] + [(2000 + i, f"other {i}") for i in range(50)]
+    df = rows(SCHEMA, data)
+    for fits in (2, 7, 1000):
+        assert pairs(p.found(df, fits)) == brute(data)
+    from pyspark.sql import functions as F
+
+    from paigham.llm.common import key128
+    from paigham.storage import cut
+
+    x, y = key128(F.col("canon"))
+    canon = cut(df.select("row_id", "msg").mapInArrow(p._canonicals, "row_id bigint, canon binary").withColumns({"x": x, "y": y}))
+    levels, alone = p.directory(canon, 7)
+    assert [d for d, _ in levels] == [8, 16, 32, 64, 128, 256, 512]
+    assert sorted((r.n_copies, r.first_row_id) for a in alone for r in a.collect()) == [(130, 1000)]
