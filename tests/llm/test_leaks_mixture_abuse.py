@@ -65,6 +65,27 @@ def test_mixture(rows, spark):
     assert p9_mixture.mixture(d.limit(0), targets).count() == 0
 
 
+def test_mixture_over_many_shards(rows, spark):
+    """Quotas are kept whatever the number of shards, and add up to the shares."""
+    docs = [(i, " ".join(["word"] * (1 + i % 9)), "big" if i % 3 else "mid") for i in range(1500)] + [(9000 + i, "tiny text here", "small") for i in range(30)]
+    d = rows("doc_id bigint, text string, source string", docs)
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.4, 2), ("small", 0.1, 4)], "source string, target_share double, max_repeats int")
+    for shard_rows in (20_000, 200, 25):
+        got = p9_mixture.mixture(d, targets, shard_rows=shard_rows).collect()
+        used = {s: sum(r.n_tokens * r.repeats for r in got if r.source == s) for s in ("big", "mid", "small")}
+        total = sum(used.values())
+        assert all(abs(used[s] / total - x) < 0.02 for s, x in (("big", 0.5), ("mid", 0.4), ("small", 0.1)))
+        assert all(1 <= r.repeats <= {"big": 1, "mid": 2, "small": 4}[r.source] for r in got) and len(got) == len({r.doc_id for r in got})
+
+
+def test_blocks_of_groups_add_up():
+    groups = [(s, g, 1000 + 37 * g) for s in "ab" for g in range(40)]
+    given, size, total = p9_mixture.plan(groups, {"a": (0.7, 1), "b": (0.3, 1)})
+    of = {s: sum(b for (x, _), b in given.items() if x == s) for s in "ab"}
+    assert sum(of.values()) == total // size and abs(of["a"] / sum(of.values()) - 0.7) < 1e-3
+    assert all(b * size <= n + size for (s, g), b in given.items() for x, h, n in groups if (s, g) == (x, h))
+
+
 @pytest.mark.parametrize(("text", "want"), [("your whole family is t.r.a.s.h", "trash"), ("Yeh log k33r@y makoray", "keeray"), ("You filthy l***r", "liar|loser"), ("full sexxxx now", "sex"), ("j a c k a s s", "jackass"), ("Oye vllv", "ullu")])
 def test_disguises(text, want):
     assert re.search(want, p10_abuse.plain(text)) or "***" in text
