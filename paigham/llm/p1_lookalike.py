@@ -3,10 +3,13 @@
 Every token that holds a look-alike, a combining accent or an ignorable character walks a trie of
 the corpus vocabulary with a weighted edit automaton: look-alikes and ignorables cost nothing,
 other edits cost one. At the default bound 0 only spellings that look the same are accepted, so
-messages that look different stay different. A token the vocabulary lacks is spelled by the table.
+messages that look different stay different. Some characters are drawn like more than one letter (a
+bar is a capital I or a small l): of the words that a token may be, the most frequent is its
+spelling. A token the vocabulary lacks is spelled by the table.
 
-The vocabulary grows with the corpus, so it is never broadcast: vocabulary and odd tokens meet in
-blocks of equal length and equal first letters, and each group of blocks has its own trie.
+The vocabulary grows with the corpus, so it is never broadcast: vocabulary and odd tokens meet by
+their skeleton - the table's form with all letters that are drawn alike as one - in tries of about
+``TRIE_TOKENS`` odd tokens each, however many there are. A skeleton has few words, so no trie has a hot block.
 
 Defined results: null stays null; empty and blank texts come out by the table alone and are never
 cases; repeated rows come out alike; columns other than ``row_id`` and ``msg`` are ignored.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paigham.llm.common import has_text, key128, width
@@ -31,6 +34,8 @@ from paigham.storage import cut, spread
 CYRILLIC = "аa еe оo рp сc уy хx іi јj ѕs һh ӏl ԁd ԛq ԝw АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ԚQ ԜW ӀI"
 GREEK = "οo νv ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ"
 OTHER = "ɡg ɑa օo Օo ꓮA ꓐB ꓚC ꓰE"
+#: Characters that are drawn like more than one letter, with all of them; the table gives the first.
+BARS = "ІIl ӀIl ӏlI ΙIl ⅠIl ⅼlI"
 #: Hyphens drawn as the plain one.
 HYPHENS = [0x2010, 0x2011]
 #: Spaces drawn as a space: no-break, fixed-width and ideographic ones.
@@ -38,14 +43,21 @@ SPACES = [0x00A0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 #: Characters that are not drawn at all: soft hyphen, joiners, direction marks, word joiners, byte order mark.
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), 0xFEFF]
 
-#: Code point -> what it is spelled as. Full-width forms and Roman numerals follow by compatibility mapping.
+#: Code point -> what it is spelled as. Full-width forms, Roman numerals and upright letters of the
+#: mathematical blocks (sans-serif, fixed width) follow by compatibility mapping.
 TABLE: dict[int, str] = (
     {ord(a): b for a, b in (CYRILLIC + " " + GREEK + " " + OTHER).split()}
     | dict.fromkeys(HYPHENS, "-")
     | dict.fromkeys(SPACES, " ")
     | dict.fromkeys(INVISIBLE, "")
-    | {c: unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFF01, 0xFFEF), *range(0x2160, 0x2180)] if unicodedata.category(chr(c)) != "Cn"}
+    | {c: unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFF01, 0xFFEF), *range(0x2160, 0x2180), *range(0x1D5A0, 0x1D5D4), *range(0x1D670, 0x1D6A4), *range(0x1D7E2, 0x1D7EC), *range(0x1D7F6, 0x1D800)] if unicodedata.category(chr(c)) != "Cn"}
 )
+#: Code point -> all letters it may be.
+READINGS: dict[int, str] = {ord(x[0]): x[1:] for x in BARS.split()}
+#: Letters that some character may be both of, as one: the skeleton of a word.
+SKELETON = {ord(b): min(x[1:]) for x in BARS.split() for b in x[1:]}
+#: Odd tokens to a trie.
+TRIE_TOKENS = 50_000
 TOKEN = regex.compile(r"[\p{L}\p{N}\p{M}\p{Cf}]+")
 #: Joiners shape emoji sequences and Arabic-script words: between those they are drawn.
 ZWNJ, ZWJ, EMOJI_STYLE = chr(0x200C), chr(0x200D), chr(0xFE0F)
@@ -115,14 +127,15 @@ class VocabularyTrie:
         for letter in unicodedata.normalize("NFD", token):
             after: dict[tuple[int, int, int], int] = {}
             drawn = TABLE.get(ord(letter))
+            spelled = READINGS.get(ord(letter)) or (drawn and [drawn])
             for node, cost in states.items():
                 if drawn == "":
                     put(after, node, cost)
                     continue
                 put(after, self.child(node, letter), cost)
-                if drawn is not None:
+                for form in spelled or ():
                     nxt: tuple[int, int, int] | None = node
-                    for x in drawn:
+                    for x in form:
                         nxt = nxt and self.child(nxt, x)
                     put(after, nxt, cost)
                 if cost < bound:
@@ -171,8 +184,10 @@ def _spell(vocabulary: pd.DataFrame, odd: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"raw": odd["raw"].to_numpy(), "canon": canon})
 
 
-def _block(c):
-    return F.concat(F.substring(c, 1, 3), F.length(c))
+def _skeleton(c: Column) -> Column:
+    """Equal for all words that one token may be: letters that are drawn alike are one letter."""
+    alike = {chr(a): b for a, b in SKELETON.items() if chr(a) != b}
+    return F.xxhash64(F.translate(c, "".join(alike), "".join(alike.values())))
 
 
 def normalized(df: DataFrame) -> DataFrame:
@@ -182,16 +197,17 @@ def normalized(df: DataFrame) -> DataFrame:
     is_odd = F.coalesce(F.col("msg").rlike(r"[^\x00-\x7F]"), F.lit(False))
     odd_rows = cut(base.where(is_odd).mapInArrow(_split, "row_id bigint, msg string, parts array<string>, raw array<string>, fold array<string>"))
     tokens = odd_rows.select("row_id", F.explode(F.arrays_zip("raw", "fold")).alias("t")).select("row_id", "t.raw", "t.fold")
-    shard = F.pmod(F.xxhash64("block"), F.lit(width(spark, 4)))
-    odd = tokens.select("raw", "fold").distinct().withColumn("block", _block(F.col("fold"))).withColumn("shard", shard)
+    odd = cut(tokens.select("raw", "fold").distinct().withColumn("skeleton", _skeleton(F.col("fold"))))
+    shard = F.pmod("skeleton", F.lit(max(width(spark), odd.count() // TRIE_TOKENS)))
+    odd = odd.withColumn("shard", shard)
     vocabulary = (
         base.where(F.col("msg").isNotNull())
         .select(F.explode(F.regexp_extract_all("msg", F.lit(TOKENS_JVM), F.lit(0))).alias("token"))
         .groupBy("token")
         .agg(F.count("*").alias("n"))
         .where(F.col("token").rlike(PLAIN))
-        .withColumn("block", _block(F.col("token")))
-        .join(odd.select("block").distinct(), "block", "left_semi")
+        .withColumn("skeleton", _skeleton(F.col("token")))
+        .join(odd.select("skeleton").distinct(), "skeleton", "left_semi")
         .withColumn("shard", shard)
     )
     spelled = vocabulary.groupBy("shard").cogroup(odd.groupBy("shard")).applyInPandas(_spell, "raw string, canon string")
@@ -212,9 +228,22 @@ def found(df: DataFrame) -> DataFrame:
     the hash of that form; a hot form is split by adaptive skew handling of the join.
     """
     a, b = key128(F.col("canon"))
-    m = F.xxhash64("msg")
-    keyed = cut(normalized(df).where(has_text(F.col("canon"))).select("row_id", a.alias("a"), b.alias("b"), m.alias("m"), "changed"))
-    left = keyed.where("changed").select(F.col("row_id").alias("i"), "a", "b", F.col("m").alias("mi"))
-    right = keyed.select(F.col("row_id").alias("j"), "a", "b", F.col("m").alias("mj"), F.col("changed").alias("both"))
-    pairs = left.join(right, ["a", "b"]).where((F.col("mi") != F.col("mj")) & (~F.col("both") | (F.col("i") < F.col("j"))))
+    x, y = key128(F.col("msg"))
+    keyed = cut(normalized(df).where(has_text(F.col("canon"))).select("row_id", a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y"), "changed"))
+    left = keyed.where("changed").select(F.col("row_id").alias("i"), "a", "b", F.col("x").alias("xi"), F.col("y").alias("yi"))
+    right = keyed.select(F.col("row_id").alias("j"), "a", "b", F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("changed").alias("both"))
+    pairs = left.join(right, ["a", "b"]).where(((F.col("xi") != F.col("xj")) | (F.col("yi") != F.col("yj"))) & (~F.col("both") | (F.col("i") < F.col("j"))))
     return pairs.select(F.least("i", "j").alias("row_a"), F.greatest("i", "j").alias("row_b"))
+
+
+def classes(df: DataFrame) -> DataFrame:
+    """``(row_id, class_row_id, n_rows, n_links)``: each row with text, the smallest row that looks the same, how many do, and how many of them are spelled with other characters.
+
+    Counted with partial sums: no pair of rows is formed, however hot a form is.
+    """
+    a, b = key128(F.col("canon"))
+    x, y = key128(F.col("msg"))
+    keyed = cut(normalized(df).where(has_text(F.col("canon"))).select("row_id", a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y")))
+    forms = keyed.groupBy("a", "b").agg(F.min("row_id").alias("class_row_id"), F.count("*").alias("n_rows"))
+    spelled = keyed.groupBy("a", "b", "x", "y").agg(F.count("*").alias("same"))
+    return keyed.join(spelled, ["a", "b", "x", "y"]).join(forms, ["a", "b"]).select("row_id", "class_row_id", "n_rows", (F.col("n_rows") - F.col("same")).alias("n_links"))

@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _of("processed", p1_lookalike.found),
         "p1_normalized": _of("processed", lambda df: p1_lookalike.normalized(df).select("row_id", "canon", "changed")),
+        "p1_classes": _of("processed", p1_lookalike.classes),
         "p2_found": _with_names(p2_personal.found),
         "p2_redacted": _with_names(p2_personal.redacted),
         "p3_found": _of("processed", p3_copies.found),

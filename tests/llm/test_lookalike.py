@@ -71,3 +71,29 @@ def test_found_by_brute_force(spark, sf):
 def test_hot_form(rows):
     data = [(i, "same text" if i % 3 else f"same te{SHY}xt") for i in range(60)]
     assert p.found(rows(SCHEMA, data)).count() == 20 * 40
+
+
+BAR, CAPITAL = chr(0x4CF), chr(0x406)
+
+
+def test_vocabulary_decides_between_readings(rows):
+    """A bar may be a capital I or a small l: the table has one reading, the frequent word is right."""
+    assert p.by_table(f"{BAR}NAM") == "lNAM" and p.by_table(f"be{CAPITAL}a") == "beIa"
+    trie = p.VocabularyTrie({"INAM": 3, "lNAM": 1, "bela": 2})
+    assert trie.nearest(f"{BAR}NAM") == "INAM" and trie.nearest(f"be{CAPITAL}a") == "bela"
+    data = [(1, "Jeeto INAM abhi"), (2, f"Jeeto {BAR}NAM abhi"), (3, "INAM lNAM INAM"), (4, f"be{CAPITAL}a aaj"), (5, "bela aaj"), (6, f"xy{BAR}"), (7, "beIa"), (8, "bela")]
+    df = rows(SCHEMA, data)
+    canon = {r.row_id: r.canon for r in p.normalized(df).collect()}
+    assert canon[2] == "Jeeto INAM abhi" and canon[4] == "bela aaj" and canon[6] == "xyl" and canon[7] == "beIa"
+    assert pairs(p.found(df)) == [(1, 2), (4, 5)]
+
+
+def test_classes_count_without_pairs(rows):
+    data = [(i, "same text" if i % 3 else f"same te{SHY}xt") for i in range(60)] + [(90, None), (91, " "), (92, "other")]
+    got = {r.row_id: r for r in p.classes(rows(SCHEMA, data)).collect()}
+    assert len(got) == 61 and all(got[i].class_row_id == 0 and got[i].n_rows == 60 and got[i].n_links == (20 if i % 3 else 40) for i in range(60))
+    assert got[92].n_links == 0
+
+
+def test_upright_mathematical_letters():
+    assert p.by_table("".join(chr(0x1D5BA + k) for k in range(3))) == "abc" and p.by_table(chr(0x1D7F9)) == "3"
