@@ -4,7 +4,8 @@ Patterns find candidates, validators keep those that have the form of the kind;
 a placeholder that names its kind. Phone and identity numbers and dates keep their format: their
 digits are permuted within the format by a keyed Feistel network, so equal values get equal
 pseudonyms in every document, whatever separators they are written with, and no value can be read
-off its pseudonym without the key. Addresses, e-mail addresses and names get a keyed tag.
+off its pseudonym without the key. Phone numbers of the country are first brought to their national
+form. Addresses, e-mail addresses and names get a keyed tag of 64 bits. The key comes from the configuration.
 
 Look-alike, full-width and invisible characters are seen through: patterns run on a folded view
 whose positions lead back to the text, and only the item itself is replaced.
@@ -18,17 +19,20 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from calendar import monthrange
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paigham.llm.p1_lookalike import TABLE
 from paigham.storage import spread
 
-DEFAULT_KEY = "paigham-demo-key"
+#: The setting that names the key; where it is unset the session draws one, and pseudonyms link within the session only.
+KEY_SETTING = "spark.paigham.pseudonym.key"
+_drawn: dict[str, str] = {}
 KINDS = ("email", "phone", "identity", "address", "name")
 
 # ---------------------------------------------------------------- folded view
@@ -75,7 +79,7 @@ def unfeistel(digits: str, key: bytes, tweak: str, rounds: int = 8) -> str:
 
 
 def tag(kind: str, value: str, key: bytes) -> str:
-    return hmac.new(key, f"{kind}|{value}".encode(), hashlib.sha256).hexdigest()[:8]
+    return hmac.new(key, f"{kind}|{value}".encode(), hashlib.sha256).hexdigest()[:16]
 
 
 # ---------------------------------------------------------------- patterns
@@ -100,6 +104,9 @@ NATIONAL_ID = re.compile(r"(?<![\w+\-.])\d{5}[\s.\-]{0,3}\d{7}[\s.\-]{0,3}\d(?![
 #: What a run of 13 digits is called when it is something else.
 NOT_ID = re.compile(r"(?:order|tracking|track|tid|trx|txn|transaction|ref|reference|slip|bill|voucher|invoice|raseed|parcel|file|token|ticket|case|consignment|iban|account|a/c)\W{0,3}(?:no|number|id|#)?\W{0,3}$", re.I)
 PASSPORT = re.compile(r"\bpassport\b(?:\s*(?:no|number|#|num)\b\.?)?\s*[:#-]?\s*([a-z]{2}\s?-?\d{7})(?!\w)", re.I)
+#: Numbers in another country's groups of three, three and four, and ten digits after a word that calls for a number.
+GROUPED = re.compile(r"(?<![\w*#+.\-/])(?:\([2-9]\d\d\)\s?|[2-9]\d\d[-.\s])\d{3}[-.]\d{4}(?![\w*#])(?!-\d)")
+CALLED = re.compile(r"\b(?:call|phone|tel|telephone|mobile|cell)\b[:.]?\s+(?:me\s+|us\s+)?(?:at\s+|on\s+)?([2-9]\d{9})(?![\w*#-])", re.I)
 STREET = r"(?:road|street|avenue|lane|boulevard|highway|bazaar|colony)"
 UNIT = r"(?:house|makan|ghar|flat|plot|quarter|apartment|apt|building|bungalow|villa|kothi)"
 PLACE = r"[a-z؀-ۿ][\w-]*"
@@ -112,6 +119,8 @@ ADDRESS = re.compile(
     re.I,
 )
 BARE_UNIT = re.compile(rf"\b(?:{UNIT}[\"'*]?(?:\s*(?:no\b\.?|number\b|nambar\b|#))|house|flat|plot|quarter|h\s?#)\s*[:#]?\s*\d{{1,4}}(?:\s?[-/]\s?[a-z]|[a-z])?\b", re.I)
+#: A number, a name of one or two words with a capital, and a further word for a street.
+WRITTEN_STREET = re.compile(r"(?<![\w.,/-])\d{1,4}[A-Za-z]?\s+(?:[A-Z][a-z]+\s+){1,2}(?:Close|Crescent|Terrace|Court|Drive|Square|Way|Grove|Gardens|Rd|Ave|Ln|Blvd)\b\.?(?:,\s+[A-Z][a-z]+\b)?")
 #: Dates, whose digits are permuted too; a date is none of the five kinds and keeps its looks.
 DATE = re.compile(r"(?<![\w./-])(?:(?:0?[1-9]|[12]\d|3[01])([/-])(?:0?[1-9]|1[0-2])\1(?:19|20)\d\d|(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))(?![\w/-])")
 
@@ -125,6 +134,7 @@ FRAMES = re.compile(
     rf"|\b(?:mr|mrs|ms|miss)\.?\s+(?P<e>{PERSON}?)\s+(?:ke\s+naam|ko\b|se\b|ne\b|ki\b|ka\b)"
     rf"|(?:^|(?<=[.,!?;|>*\[\(\n\-\x00\x01]))\s*(?P<f>{PERSON}?)\s+(?:ne\s+bheja\s+hai|ko\s+bukhar\s+hai|ka\s+bet[ai]\s+school|ki\s+beti\s+school)\b"
     rf"|\b(?:(?:naam|name)\s*[:=]|account\s+title\s*[:=]?)\s*(?P<g>{PERSON})"
+    rf"|\b(?:my|mera|meri)\s+(?:name|naam)\s+(?:is\s+)?(?P<i>{PERSON})"
     rf"|\b(?:dear|shukriya|mr|mrs|ms|miss|janab)\.?\s+(?P<h>{PERSON})",
     re.I,
 )
@@ -152,7 +162,7 @@ def persons(text: str, given: frozenset[str], seen: set[str]) -> Iterator[tuple[
         tokens = [(start + x.start(), start + x.end(), x[0].lower()) for x in re.finditer(r"[^\W\d_]+", text[start:end])]
         if not tokens or tokens[0][2] in NO_PERSON:
             continue
-        open_ended = kind in "gh"
+        open_ended = kind in "ghi"
         if not open_ended:
             if any(t[2] in NO_PERSON for t in tokens):
                 continue
@@ -169,7 +179,7 @@ def persons(text: str, given: frozenset[str], seen: set[str]) -> Iterator[tuple[
                 continue
             stops = re.match(r"\s*(?:$|[.,!?;|\n*\]\)\-–\x00\x01])", text[end:])
             family = tokens[1][2] not in NO_PERSON
-            if tokens[0][2] in given or stops or kind == "g":
+            if tokens[0][2] in given or stops or kind in "gi":
                 yield start, (end if family else tokens[0][1])
             elif family and re.search(r"(?:ani|ari|ozi|azi|oni|uvi|ari|ozai|azai|mani|uli|eri|tuni|hani|rani|vani|ashi|ondi|khari)$", tokens[1][2]):
                 yield start, end
@@ -190,6 +200,15 @@ def persons(text: str, given: frozenset[str], seen: set[str]) -> Iterator[tuple[
                 yield m.start(), end
 
 
+def national(digits: str, plus: bool) -> str:
+    """One form for a number of the country, however its prefix is written: mobiles and landlines start with 0."""
+    if digits.startswith("0092"):
+        return "0" + digits[4:]
+    if digits.startswith("92") and (plus or len(digits) == 12):
+        return "0" + digits[2:]
+    return digits
+
+
 def luhn_free_identity(digits: str) -> bool:
     """National id numbers: 13 digits that do not start with 0 and are not all alike."""
     return digits[0] != "0" and len(set(digits)) > 2
@@ -227,11 +246,17 @@ def items(text: str, given: frozenset[str] = frozenset()) -> list[tuple[int, int
         for m in PHONE.finditer(rest):
             digits = re.sub(r"\D", "", m[0])
             if 9 <= len(digits) <= 15 and not NOT_ID.search(rest[max(0, m.start() - 30) : m.start()]):
-                local = re.sub(r"^(?:0092|92|0)(?=3\d{9}$)", "0", digits)
-                take(*m.span(), "phone", local)
+                take(*m.span(), "phone", national(digits, "+" in m[0]))
+        rest = "".join(blank)
+        for pattern, group in ((GROUPED, 0), (CALLED, 1)):
+            for m in pattern.finditer(rest):
+                if not NOT_ID.search(rest[max(0, m.start() - 30) : m.start()]):
+                    take(*m.span(group), "phone", re.sub(r"\D", "", m[group]))
         rest = "".join(blank)
         for m in DATE.finditer(rest):
             take(*m.span(), "date", m[0])
+        for m in WRITTEN_STREET.finditer("".join(blank)):
+            take(*m.span(), "address", re.sub(r"\W+", " ", m[0].lower()).strip())
         for pattern in (ADDRESS, BARE_UNIT) if not ADDRESS_WORDS.isdisjoint(seen) else ():
             for m in pattern.finditer("".join(blank)):
                 take(*m.span(), "address", re.sub(r"\W+", " ", m[0].lower()).strip())
@@ -257,12 +282,15 @@ def placeholder(kind: str, value: str, written: str, key: bytes) -> str:
             number = int(feistel(f"{number:03d}", key, "date"))
             if number < 372 and exists(number) == exists(start):
                 break
-        parts[day], parts[month] = f"{number % 31 + 1:02d}", f"{number // 31 + 1:02d}"
+        # Places without a leading zero stay without one where the value has one digit.
+        bare = {p for p in (day, month) if len(parts[p]) == 1}
+        for p, v in ((day, number % 31 + 1), (month, number // 31 + 1)):
+            parts[p] = f"{v}" if p in bare else f"{v:02d}"
         return "".join(parts)
     if kind == "identity" and not value.isdigit():
         return f"[IDENTITY:{value[:2]}{feistel(value[2:], key, 'passport')}]"
     if kind in ("phone", "identity"):
-        keep = 2 if kind == "phone" and value.startswith("03") else 0
+        keep = (2 if value.startswith("03") else 1 if value.startswith("0") else 0) if kind == "phone" else 0
         digits = value[:keep] + feistel(value[keep:], key, kind)
         if kind == "identity":
             digits = f"{digits[:5]}-{digits[5:12]}-{digits[12]}"
@@ -294,9 +322,14 @@ def given_names(df: DataFrame, most: int = 100_000) -> frozenset[str]:
     return frozenset(x.strip().lower() for x in rows if x.strip())
 
 
-def redacted(df: DataFrame, names: frozenset[str] = frozenset(), key: str = DEFAULT_KEY) -> DataFrame:
+def configured_key(spark: SparkSession) -> str:
+    """The key of the session's configuration, else one drawn for the session."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
+def redacted(df: DataFrame, names: frozenset[str] = frozenset(), key: str | None = None) -> DataFrame:
     """``(row_id, redacted, kinds)`` of all rows; one narrow pass, nothing is shuffled."""
-    secret = key.encode()
+    secret = (key or configured_key(df.sparkSession)).encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,6 +343,6 @@ def redacted(df: DataFrame, names: frozenset[str] = frozenset(), key: str = DEFA
     return spread(df.select("row_id", "msg")).mapInArrow(run, "row_id bigint, redacted string, kinds array<string>")
 
 
-def found(df: DataFrame, names: frozenset[str] = frozenset(), key: str = DEFAULT_KEY) -> DataFrame:
+def found(df: DataFrame, names: frozenset[str] = frozenset(), key: str | None = None) -> DataFrame:
     """``(row_id, kind)``: the kinds of items each row holds."""
     return redacted(df, names, key).select("row_id", F.explode("kinds").alias("kind"))

@@ -44,6 +44,11 @@ def test_feistel_is_a_permutation():
         ("Dear user, Danish Khither Sweets se order", set()),
         ("Chamakcell Wallet ne bheja hai. Shukriya", set()),
         ("due 12/03/2024", set()),
+        ("call 555-123-4567 or (555) 123-4567", {"phone"}),
+        ("call 9876543210 today", {"phone"}),
+        ("My name is Bilal Ahmed", {"name"}),
+        ("12 Park Close, Leeds", {"address"}),
+        ("drive 12 km, close at 5", set()),
         ("", set()),
     ],
 )
@@ -75,3 +80,27 @@ def test_different_dates_stay_different():
         assert set(got.values()) == written
         exists = lambda w: int(w[:2]) <= monthrange(int(w[6:]), int(w[3:5]))[1]
         assert all(exists(w) == exists(v) for w, v in got.items()) and sum(map(exists, got.values())) == days
+
+
+@pytest.mark.parametrize("same", [("042-1234567", "+92 42 1234567", "0092421234567", "+92421234567"), ("0300 1234567", "+92 300 1234567", "00923001234567", "923001234567")])
+def test_one_pseudonym_however_the_prefix_is_written(same):
+    got = {p.redact(f"x {w} y", KEY)[0] for w in same}
+    assert len(got) == 1 and next(iter(got)).startswith("x [PHONE:0")
+
+
+def test_key_comes_from_the_configuration(spark, rows):
+    df = rows("row_id bigint, msg string", [(1, "x 0392-6379472")])
+    text = lambda: p.redacted(df).first()["redacted"]
+    drawn = text()
+    assert drawn == text()
+    spark.conf.set(p.KEY_SETTING, "configured")
+    try:
+        assert text() == p.redact("x 0392-6379472", b"configured")[0] != drawn
+    finally:
+        spark.conf.unset(p.KEY_SETTING)
+
+
+def test_tags_are_long_and_dates_keep_their_form():
+    assert len(p.tag("name", "x", KEY)) == 16
+    bare = p.placeholder("date", "3/3/2024", "3/3/2024", KEY)
+    assert bare == "/".join(str(int(x)) for x in bare.split("/"))
