@@ -2,13 +2,17 @@
 
 Characters are mapped back to the bytes they have in a legacy encoding; an automaton over the
 structure of UTF-8 finds the maximal well-formed multibyte spans among them, and only those spans
-are decoded. This is repeated until nothing changes, so text garbled twice, or in parts by several
-encodings, comes out whole. A span counts only if what it decodes to is expected in the corpus
-(Latin and Arabic letters, marks, currency, emoji) and if it is not itself right as it stands:
-look-alike letters, Arabic words and no-break spaces can form byte sequences by chance.
+are decoded. This is repeated until nothing changes - every step shortens the text, so it ends - and
+text garbled twice, or in parts by several encodings, comes out whole. A span counts if what it
+decodes to is expected in the corpus (Latin and Arabic letters, marks, currency, emoji), or is a word
+of any one script: some letters, or six bytes, of it at least, or a shorter piece in a text with such
+words. A span that one encoding reads as letters of another script, too few to be
+sure, is left as it is: no other encoding rewrites a part of it. And a span counts only if it is not
+itself right as it stands: look-alike letters, Arabic words and no-break spaces can form byte sequences by chance.
 
 Replacement characters and control characters of the C1 range mark a row as affected; what a
-replacement character stood for is not known, and it stays.
+replacement character stood for is not known, and it stays. Text of one single-byte encoding read as
+another has no structure to tell it by and is not found.
 
 Defined results: null, empty and pure ASCII texts are never affected and come out unchanged;
 repeated rows come out alike; columns other than ``row_id`` and ``msg`` are ignored.
@@ -17,7 +21,9 @@ repeated rows come out alike; columns other than ``row_id`` and ``msg`` are igno
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,6 +99,31 @@ def _expected(text: str) -> bool:
     return all(any(a <= ord(c) <= b for a, b in EXPECTED) or 0x80 <= ord(c) < 0xA0 for c in text)
 
 
+#: Scripts that are written together.
+TOGETHER = {"HIRAGANA": "CJK", "KATAKANA": "CJK", "KATAKANA-HIRAGANA": "CJK", "IDEOGRAPHIC": "CJK"}
+#: Letters, or bytes, from which on a span is a word of its script.
+WORD_LETTERS, WORD_BYTES = 3, 6
+
+
+@cache
+def _script(c: str) -> str:
+    """The script of a letter or mark by the first word of its name; empty for what any script uses."""
+    if not (c.isalpha() or unicodedata.category(c)[0] == "M"):
+        return ""
+    first = unicodedata.name(c, "UNKNOWN").split()[0]
+    return TOGETHER.get(first, first)
+
+
+def _one_script(decoded: str) -> tuple[str, bool]:
+    """The script of a span with letters beyond the expected ones, if it is only one; and whether it is a word of it."""
+    scripts = {_script(c) for c in decoded} - {"", "COMBINING", "ZERO", "VARIATION"}
+    if len(scripts) != 1 or scripts <= {"UNKNOWN", "LATIN", "ARABIC"} or any(not _script(c) and not _expected(c) and unicodedata.category(c)[0] not in "PN" for c in decoded):
+        return "", False
+    letters = [c for c in decoded if _script(c)]
+    size = sum(len(c.encode()) for c in letters)
+    return next(iter(scripts)), len(letters) >= WORD_LETTERS or (len(letters) >= 2 and size >= WORD_BYTES)
+
+
 def _weak(source: str, encoding: str) -> bool:
     """Could stand there by right: look-alike letters, or Arabic letters and their punctuation."""
     if all(ord(c) in TABLE or c in QUOTES for c in source):
@@ -109,13 +140,18 @@ def _beside_latin(text: str, a: int, b: int) -> bool:
     return (before.isascii() and before.isalpha()) or (after.isascii() and after.isalpha())
 
 
-def _candidates(text: str, encoding: str) -> list[tuple[int, int, str]]:
-    table, out = BYTES[encoding], []
+def _candidates(text: str, encoding: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """Spans that may be decoded (an empty text: right as they stand, maybe), and spans that are to be left whole."""
+    table, out, other = BYTES[encoding], [], []
     for m in NON_ASCII.finditer(text):
         data = [table.get(c) for c in m[0]]
         for a, b in spans(data):
             source, decoded = m[0][a:b], bytes(data[a:b]).decode()  # type: ignore[arg-type]
             if not _expected(decoded):
+                script, word = _one_script(decoded) if not _weak(source, encoding) else ("", False)
+                if script:
+                    other.append((m.start() + a, m.start() + b, decoded, script, word))
+                    continue
                 # Of a longer span keep the characters that are expected.
                 k = a
                 for c in decoded:
@@ -130,7 +166,9 @@ def _candidates(text: str, encoding: str) -> list[tuple[int, int, str]]:
                 out.append((m.start() + a, m.start() + b, decoded))
             else:
                 out.append((m.start() + a, m.start() + b, ""))
-    return out
+    sure = {script for *_, script, word in other if word}
+    out += [(a, b, decoded) for a, b, decoded, script, _ in other if script in sure]
+    return sorted(out), [(a, b) for a, b, decoded, script, _ in other if script not in sure and sum(map(bool, map(_script, decoded))) > 1]
 
 
 def _apply(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -172,16 +210,16 @@ def restore(text: str) -> tuple[str, bool]:
     if text.isascii():
         return text, False
     affected = MARKS.search(text) is not None
-    for _ in range(12):
+    while NON_ASCII.search(text):
         best: tuple[int, list[tuple[int, int, str]]] = (0, [])
-        if NON_ASCII.search(text):
-            for encoding in ENCODINGS:
-                found = _candidates(text, encoding)
-                if found:
-                    found = _settle(text, found, encoding)
-                    covered = sum(b - a for a, b, _ in found)
-                    if covered > best[0]:
-                        best = (covered, found)
+        read = [(encoding, *_candidates(text, encoding)) for encoding in ENCODINGS]
+        left = [span for _, _, whole in read for span in whole]
+        for encoding, found, _ in read:
+            if found:
+                found = [x for x in _settle(text, found, encoding) if not any(a <= x[0] and x[1] <= b and x[1] - x[0] < b - a for a, b in left)]
+                covered = sum(b - a for a, b, _ in found)
+                if covered > best[0]:
+                    best = (covered, found)
         if not best[0]:
             break
         text, affected = _apply(text, best[1]), True

@@ -43,3 +43,29 @@ def test_rows(rows):
     assert pairs(p.found(df)) == [(3,), (4,)]
     assert p.restored(df).count() == 6
     assert p.found(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Привет, как дела", "Γειά σου Κόσμε", "नमस्ते दुनिया", "你好世界", "こんにちは", "안녕하세요", "שלום עולם"])
+@pytest.mark.parametrize("encoding", ["cp1252", "latin1", "cp437", "mac_roman"])
+def test_other_scripts_come_out_whole_or_stay(encoding, text):
+    garbled = "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in text.encode())
+    assert p.restore(f"ab {garbled} cd") == (f"ab {text} cd", True)
+
+
+@pytest.mark.parametrize("text", ["Привет, как дела, ёлка, Ёж", "Γειά σου Κόσμε, Όχι", "नमस्ते", "你好世界", "안녕하세요"])
+def test_other_scripts_that_are_right_stay(text):
+    assert p.restore(text) == (text, False)
+
+
+def test_few_letters_of_another_script_are_left_whole():
+    for c in ("Пр", "Ωη", "ж"):
+        garbled = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in c.encode())
+        got = p.restore(f"x {garbled} y")[0]
+        assert got in (f"x {garbled} y", f"x {c} y")
+
+
+def test_garbled_more_than_a_dozen_times():
+    text = "é"
+    for _ in range(14):
+        text = text.encode().decode("latin1")
+    assert p.restore(f"caf{text}") == ("café", True)
