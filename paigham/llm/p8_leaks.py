@@ -3,14 +3,14 @@
 Every window of a document, as long as the passages that count, has a SimHash of its words. The
 fingerprints of the items' windows are indexed in blocks: two 64-bit fingerprints within ``RADIUS``
 bits agree in at least one of ``RADIUS + 1`` blocks, so looking up each block finds all of them.
-Candidates are verified exactly: a passage if the words are the same in the same order, a near
+Candidates are verified exactly: a passage if its words are the same, one by one, in the same order, a near
 passage if their weighted shingles of five words are similar enough. Equal windows have equal
 fingerprints, so no passage is missed. The method takes windows as long as the items; a document
 that holds a part of an item would lie beyond any radius then, so windows here have the length of
 the shortest passage that counts.
 
 The items are a fixed table: its size is checked before it is sent to the tasks, and a larger one
-is looked up in parts. Documents take one narrow pass; nothing is shuffled but the cases.
+is looked up in parts, for which the documents' words are written once. Documents take one narrow pass; nothing is shuffled but the cases.
 
 Defined results: null, empty and blank texts and texts shorter than a window are never cases; very
 long texts are read whole; repeated documents each come out; further columns are ignored.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paigham.llm.common import has_text, word_hashes
-from paigham.storage import spread
+from paigham.storage import cut, spread
 
 WINDOW = 10
 RADIUS = 3
@@ -75,7 +75,10 @@ class Items:
         self.item = cat([np.full(len(w) - window + 1, i, np.int64) for i, w in kept], np.int64)
         self.at = cat([np.arange(len(w) - window + 1) for _, w in kept], np.int64)
         self.prints = cat([simhashes(w, window) for _, w in kept], np.uint64)
-        self.exact = cat([window_hashes(w, window) for _, w in kept], np.uint64)
+        #: The words of all items, and where in them each window starts.
+        self.words = cat([w for _, w in kept], np.uint64)
+        starts = np.cumsum([0, *(len(w) for _, w in kept)])
+        self.start = cat([a + np.arange(len(w) - window + 1) for a, (_, w) in zip(starts, kept, strict=False)], np.int64)
         self.length = {i: len(w) for i, w in kept}
         per = window - SHINGLE + 1
         self.shingles = cat([np.lib.stride_tricks.sliding_window_view(window_hashes(w, SHINGLE), per) for _, w in kept], np.uint64).reshape(-1, per)
@@ -135,7 +138,10 @@ def _match(items: Items):
                 left, right = left[kept], right[kept]
                 if not len(left):
                     continue
-                same = window_hashes(words, size)[left] == items.exact[right]
+                # Word by word, in order.
+                same = np.ones(len(left), bool)
+                for k in range(size):
+                    same &= words[left + k] == items.words[items.start[right] + k]
                 alike = np.ones(len(left))
                 rest = np.flatnonzero(~same)
                 if len(rest):
@@ -157,6 +163,8 @@ def matches(documents: DataFrame, eval_items: DataFrame, most_words: int = MOST_
     total = listed.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     parts = 1 + total // most_words
     docs = spread(documents.select("doc_id", "text").where(has_text(F.col("text")))).select("doc_id", words.alias("words"))
+    if parts > 1:
+        docs = cut(docs)
     out: DataFrame | None = None
     for k in range(parts):
         rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
