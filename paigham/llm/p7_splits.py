@@ -1,12 +1,13 @@
 """Problem 7: splits that keep related rows together.
 
 Rows are linked by author (aliases are one author), campaign and equal cleaned text. Components are
-found on the graph of these keys, not of the rows: every round each key hooks to its least
-neighbour, and the edges are contracted; a hub with a third of all edges only ever takes part in
-partial minima. The components' label vectors then go through grouped iterative stratification:
-components with the rarest outstanding label first, into the split that needs that label most. The
-few large components are placed one by one; small ones of the same vector are placed in bulk and
-told apart by their seeded rank.
+found on the graph of these keys, not of the rows: every round each key hooks to one neighbour, and
+the edges are contracted; a hub with a third of all edges only ever takes part in partial minima.
+The neighbour is the one with the least hash of the round, so whatever the keys a share of them goes
+with every round, and the number of rounds follows the logarithm of theirs. Keys are told apart by 123 bits.
+The components' label vectors then go through grouped iterative stratification: components with the
+rarest outstanding label first, into the split that needs that label most. The few large components
+are placed one by one; small ones of the same vector are placed in bulk and told apart by their seeded rank.
 
 Defined results: null, empty and blank keys link nothing; a row without keys is its own component;
 ties go to the smallest ``row_id``; further columns are ignored; an empty table gives none.
@@ -21,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paigham.llm.common import has_text
-from paigham.storage import cut
+from paigham.storage import cut, drop_cut
 
 LABELS = ("Scam", "Genuine")
 #: Components above a LARGE-th of all rows are placed one by one; there are fewer than LARGE.
@@ -30,8 +31,14 @@ LARGE = 1000
 SALT_ROWS = 10_000
 
 
+#: Splits that a plan may have.
+MOST_SPLITS = 1000
+
+
 def _key(kind: str, c: Column) -> Column:
-    return F.xxhash64(F.lit(kind), c)
+    """A decimal of fixed width, which aggregates by hash as a number does: 64 bits of one hash and 18 digits of another."""
+    high = F.xxhash64(F.lit(kind), c).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
+    return (high + F.pmod(F.xxhash64(F.lit(0x5EED), F.lit(kind), c), F.lit(10**18)).cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def keys_of(df: DataFrame) -> DataFrame:
@@ -48,17 +55,27 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of ``edges(u, v)``; equal roots, one component."""
     edges = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     labels: DataFrame | None = None
+    turn = 0
     while not edges.isEmpty():
+        turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooked = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")))
+        # The order of the nodes is a new one every round: no chain can be laid out so that it falls one by one.
+        place = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: E731, B023
+        nearest = both.groupBy("u").agg(F.min_by("v", place(F.col("v"))).alias("v"))
+        root = F.when((place(F.col("v")) < place(F.col("u"))) | ((place(F.col("v")) == place(F.col("u"))) & (F.col("v") < F.col("u"))), F.col("v")).otherwise(F.col("u"))
+        hooked = cut(nearest.select(F.col("u").alias("node"), root.alias("root")))
         if labels is None:
             labels = hooked
         else:
             step = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = cut(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            older, labels = labels, cut(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            drop_cut(older)
         a = hooked.select(F.col("node").alias("u"), F.col("root").alias("a"))
         b = hooked.select(F.col("node").alias("v"), F.col("root").alias("b"))
-        edges = cut(edges.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        done, edges = edges, cut(edges.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        drop_cut(done)
+        if turn > 1:
+            drop_cut(hooked)
     return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -125,7 +142,9 @@ def _plan(large: Iterable, classes: Iterable, shares: dict[str, float], totals:
 def assigned(df: DataFrame, senders: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """``(row_id, split)`` of every row."""
     spark = df.sparkSession
-    shares = {r["split"]: float(r["share"]) for r in targets.where("split is not null and share is not null").orderBy("split").limit(LARGE).collect()}
+    shares = {r["split"]: float(r["share"]) for r in targets.where("split is not null and share is not null").orderBy("split").limit(MOST_SPLITS + 1).collect()}
+    if len(shares) > MOST_SPLITS:
+        raise ValueError("too many splits for a plan on the driver")
     shares = {s: x / sum(shares.values()) for s, x in shares.items()}
     groups = cut(grouped(df, senders))
     labelled = groups.join(df.select("row_id", "status"), "row_id")
@@ -146,7 +165,7 @@ def assigned(df: DataFrame, senders: DataFrame, targets: DataFrame, seed: int =
     offsets = small.groupBy("class", "salt").agg(F.count("*").alias("m")).withColumn("offset", F.sum("m").over(W.partitionBy("class").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))).select("class", "salt", F.coalesce("offset", F.lit(0)).alias("offset"))
     ranked = small.join(offsets, ["class", "salt"]).withColumn("rank", F.col("offset") + F.row_number().over(W.partitionBy("class", "salt").orderBy("order", "root")) - 1)
     table = spark.createDataFrame(ranges, "class string, low bigint, high bigint, split string")
-    by_rank = ranked.join(F.broadcast(table), (ranked["class"] == table["class"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("root", "split")
+    by_rank = ranked.join(table, (ranked["class"] == table["class"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("root", "split")
     by_name = spark.createDataFrame(list(placed.items()), "root bigint, split string")
     chosen = by_rank.unionByName(by_name)
     return groups.join(chosen, groups["first_row_id"] == chosen["root"]).select("row_id", "split")
@@ -156,4 +175,4 @@ def report(df: DataFrame, senders: DataFrame, targets: DataFrame) -> DataFrame:
     """Shares reached of each split: rows and rows of each status."""
     done = assigned(df, senders, targets).join(df.select("row_id", "status"), "row_id").groupBy("split").agg(F.count("*").alias("n_rows"), F.count_if(F.col("status") == "Scam").alias("n_scam"), F.count_if(F.col("status") == "Genuine").alias("n_genuine"))
     total = done.agg(F.sum("n_rows").alias("t"))
-    return done.crossJoin(F.broadcast(total)).join(F.broadcast(targets.select("split", "share")), "split", "left").select("split", "n_rows", "n_scam", "n_genuine", (F.col("n_rows") / F.col("t")).alias("actual_share"), F.col("share").alias("target_share"))
+    return done.crossJoin(F.broadcast(total)).join(targets.select("split", "share"), "split", "left").select("split", "n_rows", "n_scam", "n_genuine", (F.col("n_rows") / F.col("t")).alias("actual_share"), F.col("share").alias("target_share"))

@@ -183,3 +183,21 @@ def test_spans_are_merged(rows):
     data = [(1, "a1 a2 a3 a4 a5 a6 a7 a8 a9 b1", None, "train"), (2, "a1 a2 a3 a4 a5 a6 a7 a8 a9 b2", None, "test")]
     (one,) = p6_overlap.Texts(rows("row_id bigint, msg string, cleaned_msg string, split string", data)).similar().collect()
     assert (one.common, one.either) == (9, 11) and 1 <= one.covered <= 9
+
+
+def test_long_falling_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = p7_splits.cut
+    monkeypatch.setattr(p7_splits, "cut", lambda df, *a: rounds.append(1) or real(df, *a))
+    n = 3000
+    edges = spark.range(n).selectExpr("cast(id as decimal(38,0)) u", "cast(id + 1 as decimal(38,0)) v")
+    got = p7_splits.components(edges).collect()
+    assert len(got) == n + 1 and len({r.root for r in got}) == 1
+    assert len(rounds) < 3 * 25
+
+
+def test_keys_are_wide(spark):
+    from pyspark.sql import functions as F
+
+    keys = [r[0] for r in spark.range(2000).select(p7_splits._key("text", F.col("id").cast("string"))).collect()]
+    assert len(set(keys)) == 2000 and max(abs(int(k)) for k in keys) > 10**35 and len({int(k) % 10**18 for k in keys}) == 2000
