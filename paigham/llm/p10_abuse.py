@@ -1,10 +1,11 @@
 """Problem 10: abusive, hateful or sexual language, by weak supervision.
 
 Voters - lexicons and patterns, some for and some against - vote on each sentence. A generative
-label model estimates by EM how often each voter votes what on abusive and on other sentences,
-without labels; voters that agree more than their accuracies explain are correlated, and their
-evidence is shared out. The posteriors train a linear classifier on hashed words and pairs of
-words, which scores every sentence; a document's score is that of its worst sentence.
+label model estimates by EM how often each voter votes, and keeps silent, on abusive and on other
+sentences, without labels; voters that agree more than their accuracies explain are correlated, and their
+evidence is shared out. What is believed of the voters beforehand weighs as much as ``BELIEF`` sentences,
+so the votes of a corpus overrule it. The posteriors train a linear classifier on hashed words and pairs
+of words - it does not see the votes - which scores every sentence; a document's score is that of its worst sentence.
 
 Only vote patterns and their counts go to the driver (at most 3 to the number of voters), and at
 most ``SAMPLE`` sentences to fit the classifier; votes and scores cover all documents.
@@ -35,12 +36,12 @@ from paigham.storage import cut, spread
 SAMPLE = 40_000
 DIMENSIONS = 1 << 16
 THRESHOLD = 0.5
-#: The probability of a sentence that no voter holds to be abusive.
-SILENT = 0.001
-#: Weight of the prior belief about the voters against their votes, on abusive and on other sentences.
-BELIEF, BELIEF_BENIGN = 2.0, 0.05
-#: Of sentences of everyday words or no vote at all, one in so many is kept for the classifier.
-QUIET = 50
+#: Sentences of each side that the belief about a voter weighs as much as.
+BELIEF = 30.0
+#: How much a voter's silence says of what it would if its words were all there are.
+SILENCE = 0.5
+#: Of the sample, shares of sentences voted for and against, voted for only, held to be mentions or blame of oneself, and others.
+PARTS = (1 / 8, 3 / 8, 1 / 8, 3 / 8)
 
 # ---------------------------------------------------------------- lexicons
 
@@ -83,18 +84,35 @@ EVERYDAY_WORDS = frozenset(
     "gari dukan sale saman lineman meter battery cricket exam bill slip receipt bank account balance branch fee shop order customs helpline safar meeting class raseed".split()
 )
 EVERYDAY = re.compile(r"\b(?:gali mein|rider wapas|dog bit|cold killed|farm smells|clinic offers)\b|رسید|دفتر|بجلی|کتاب|قسط|درخواست|ہسپتال")
-MENTION = re.compile(r"\b(?:poster says|sign says|no nudity|no insults|workshop|awareness|seminar|training|helpline now|records abusive|abusive calls|two warnings|was fined|does not repeat|hate speech|harassment|community centre|neighbours cooked|welcomes everyone|he joked|policy|moderat\w+)\b")
+MENTION = re.compile(r"\b(?:poster says|sign says|no nudity|no insults|workshop|awareness|seminar|training|helpline now|records abusive|abusive calls|two warnings|was fined|does not repeat|hate speech|harassment|reported that|notice (?:says|does)|community centre|neighbours cooked|welcomes everyone|he joked|policy|moderat\w+)\b")
 SELF = re.compile(r"\bi (?:was|am|felt like|feel like|have been) (?:such )?(?:an? |so )?\w+\b|\bmyself\b|\blesson learned\b|\bmy own fault\b|\bmain (?:hi )?(?:bewaqoof|gadha|ullu)\b")
 
+#: Contempt for the reader in words that alone say nothing of a person.
+CONTEMPT = re.compile(
+    r"\b(?:you|ur|u)(?:'re| are| were| r)? (?:(?:such|just|so|all|an?|the|really|nothing but|as|too|and|\w+ly) ){0,3}(?:\w+ (?:and )?)?(?:stupid|worthless|pathetic|disgusting|useless|brainless|shameless|spineless|filthy|ugly|dumb|idiotic|moronic|vile|repulsive|despicable|miserable)\b"
+    r"|\byour (?:stupid|worthless|pathetic|disgusting|filthy|ugly|dumb|vile|miserable) (?:\w+ )?(?:face|head|mouth|self|family|mother|kind|people|life|brain)\b"
+)
+CURSE = re.compile(
+    r"\b(?:burn|rot|go(?: straight)?) (?:in|to) hell\b|\b(?:screw|damn|curse|fuck) you\b|\bfuck off\b|\bi(?:'ll| will| am going to| swear i will) (?:end|finish|destroy|ruin|bury) you\b|\bwatch your back\b"
+    r"|\byou(?:'re| are) (?:a )?dead(?: man| meat)?$|\byou(?:'ll| will)(?: all)? (?:pay for|regret|suffer)\b|\bmake you (?:pay|suffer|regret)\b"
+)
+EXCLUSION = re.compile(
+    r"\bgo back to (?:your|where you|where they|their)\b|\bdo(?:es)?(?: not|n't) belong (?:here|in (?:this|our))\b|\b(?:all|those|these|every) (?:of )?(?:them|\w+s) (?:are|is) (?:all )?(?:thieves|criminals|terrorists|rapists|murderers|liars)\b"
+    r"|\bshould (?:all )?be (?:shot|hanged|killed|deported|gassed|burned)\b|\bdeserves? to (?:die|be (?:shot|hanged|killed|burned))\b"
+)
+
 #: Of each lexicon or pattern what some word must hold, or it cannot match: one entry at least for every alternative.
 GATES = tuple(
     re.compile(x)
     for x in (
         r"wipe|driven|drive|coffin|^rid$|born|breathe|waste|burn|exterminate|clean|send|locked|lock$|paida|nafrat|nasl|wajood|nikal|inhen|breed|stupid|vermin|filth|animals|cockroaches|trust|deserves",
         r"^(?:kill|beat|break|cut|stab|shoot|burn|smash|hurt|find)$|(?:break|smash|crack)$|^dead|urself|yourself|^(?:die|rot)|(?:choke|hope|cut|beat|burn|nobody|zinda|doob|joote|gala|goli|mar)$|^knife|^tod|^maar|haddi",
-        r"poster|sign|nudity|insults|workshop|awareness|seminar|training|helpline|abusive|warnings|fined|repeat|speech|harassment|centre|neighbours|everyone|joked|policy|moderat",
+        r"poster|sign|nudity|insults|workshop|awareness|seminar|training|helpline|abusive|warnings|fined|repeat|speech|harassment|reported|notice|centre|neighbours|everyone|joked|policy|moderat",
         r"(?:^|\W)i$|myself|lesson$|^own|main$",
         r"gali$|rider$|dog$|cold$|^smells|^offers",
+        r"stupid|worthless|pathetic|disgusting|useless|brainless|shameless|spineless|filthy|ugly|dumb|idiotic|moronic|vile|repulsive|despicable|miserable",
+        r"^hell|^you$|^off$|^end$|^back$|^dead|^pay|^regret|^suffer",
+        r"^back$|^belong|thieves|criminals|terrorists|rapists|murderers|liars|shot|hanged|killed|deported|gassed|burned|^die",
     )
 )
 #: Of each word seen the gates it opens; those that open none.
@@ -111,7 +129,7 @@ def _open(words: set[str]) -> int:
             if len(_opened) + len(_closed) > MOST_TOKENS:
                 _opened.clear()
                 _closed.clear()
-            bits = sum(1 << k for k, g in enumerate(GATES) if g.search(w)) | (32 if w in INSULTS else 0) | (64 if w in SEXUAL else 0) | (128 if w in DEHUMANIZING else 0)
+            bits = sum(1 << k for k, g in enumerate(GATES) if g.search(w)) | sum(1 << len(GATES) + k for k, words in enumerate((INSULTS, SEXUAL, DEHUMANIZING)) if w in words)
             if not bits:
                 _closed.add(w)
                 continue
@@ -120,10 +138,13 @@ def _open(words: set[str]) -> int:
     return out
 
 
-VOTERS = ("insult", "directed insult", "threat", "hate", "sexual", "soliciting", "dehumanizing", "everyday", "mention", "self")
+VOTERS = ("insult", "directed insult", "threat", "hate", "sexual", "soliciting", "dehumanizing", "everyday", "mention", "self", "contempt", "curse", "exclusion")
 AGAINST = (7, 8, 9)
+MENTIONS = slice(8, 10)
+#: Kinds of abuse, and the voters that are for them.
+KINDS = ((0, 1, 10, 11), (2, 11), (3, 6, 12), (4, 5))
 #: How often each voter is believed to vote on sentences of the other side: words alone slip more than phrases.
-SLIPS = (0.003, 0.002, 0.0003, 0.0003, 0.002, 0.0005, 0.002, 0.005, 0.005, 0.0003)
+SLIPS = (0.003, 0.002, 0.0003, 0.0003, 0.002, 0.0005, 0.002, 0.005, 0.005, 0.0003, 0.0005, 0.0003, 0.0003)
 
 # ---------------------------------------------------------------- disguises
 
@@ -193,13 +214,16 @@ def plain(sentence: str) -> str:
     return " ".join(plain_tokens(sentence))
 
 
+#: White space beyond the plain one, as the engine's words know it.
+OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 ENDS = (". ", "! ", "? ", "۔ ", "؟ ")
+LINES = frozenset(map(chr, (0x0D, 0x85, 0x2028, 0x2029)))
 SPEAKER = re.compile(r"(?:[AB]|\w{1,12}):\s")
 
 
 def sentences(text: str) -> list[str]:
     """Sentences; a text without marks is one."""
-    text = text.replace("\t", " ").replace(" - ", "\n")
+    text = OTHER_SPACE.sub(lambda m: "\n" if m[0] in LINES else " ", text.replace("\t", " ")).replace(" - ", "\n")
     for end in ENDS:
         if end in text:
             text = text.replace(end, end[0] + "\n")
@@ -221,7 +245,7 @@ def votes(tokens: list[str], urdu: bool | None = None) -> str:
     opened = _open(seen)
     if not urdu and not opened:
         return QUIET_PATTERN if EVERYDAY_WORDS.isdisjoint(seen) else QUIET_EVERYDAY
-    hate, harm, mention, own, scene, insult, sexual, dehumanizing = (bool(opened >> k & 1) for k in range(8))
+    hate, harm, mention, own, scene, contempt, curse, exclusion, insult, sexual, dehumanizing = (bool(opened >> k & 1) for k in range(len(GATES) + 3))
     everyday = not EVERYDAY_WORDS.isdisjoint(seen)
     sentence = " ".join(tokens)
     v = ["-"] * len(VOTERS)
@@ -235,7 +259,7 @@ def votes(tokens: list[str], urdu: bool | None = None) -> str:
         v[3] = "1"
     if sexual or (urdu and SEXUAL_URDU.search(sentence)):
         v[4] = "1"
-        if SOLICIT.search(sentence) or (urdu and SEXUAL_URDU.search(sentence)):
+        if SOLICIT.search(sentence) or urdu:
             v[5] = "1"
     if dehumanizing:
         v[6] = "1"
@@ -245,6 +269,9 @@ def votes(tokens: list[str], urdu: bool | None = None) -> str:
         v[8] = "0"
     if own and SELF.search(sentence) and "you" not in seen and "your" not in seen:
         v[9] = "0"
+    for k, pattern, opens in ((10, CONTEMPT, contempt), (11, CURSE, curse), (12, EXCLUSION, exclusion)):
+        if opens and pattern.search(sentence):
+            v[k] = "1"
     return "".join(v)
 
 
@@ -256,53 +283,70 @@ QUIET_EVERYDAY = "".join("0" if v == "everyday" else "-" for v in VOTERS)
 
 
 class LabelModel:
-    """Voters' accuracies and correlations from their votes alone."""
+    """Voters' accuracies and correlations from their votes alone.
 
-    def __init__(self, patterns: list[str], counts: np.ndarray, rounds: int = 50):
+    The hidden class of a sentence is none or one of the kinds of abuse; a voter's accuracy is how
+    much oftener it votes on its side than on the other. A voter that the votes of the others show to
+    be worse than chance is held to say nothing.
+    """
+
+    def __init__(self, patterns: list[str], counts: np.ndarray, rounds: int = 100, belief: float = BELIEF):
         self.width = len(VOTERS)
-        at = {"-": 0, "0": 1, "1": 2}
-        x = np.array([[at[c] for c in p] for p in patterns], np.int64).reshape(-1, self.width)
         counts = np.asarray(counts, float)
-        one = np.eye(3)[x]  # patterns x voters x outcomes
-        cast = one * [0.0, 1.0, 1.0]  # a voter that keeps silent says nothing
+        one = np.eye(3)[self._outcomes(patterns)]  # patterns x voters x outcomes; silence is one of them
         share = np.ones(self.width)
-        voted = np.array([bool(set(p) & {"1"}) for p in patterns])
-        # Prior belief: on sentences of its side a voter votes one in ten times, on others as rarely as SLIPS says.
-        prior = np.zeros((2, self.width, 3))
+        # Belief: a voter votes on two in five sentences of its kind, on one in ten of other kinds, on others as rarely as SLIPS says.
+        prior = np.zeros((1 + len(KINDS), self.width, 3))
         for j in range(self.width):
-            own, outcome = (0, 1) if j in AGAINST else (1, 2)
-            prior[own, j, outcome], prior[1 - own, j, outcome] = 0.1, SLIPS[j]
-            prior[:, j, 3 - outcome] = 0.001
-            prior[:, j, 0] = 1 - prior[:, j].sum(1)
-        theta = prior / prior.sum(2, keepdims=True)
-        pi = 0.05
+            if j in AGAINST:
+                prior[0, j, 1], prior[1:, j, 1] = 0.2, SLIPS[j]
+            else:
+                prior[0, j, 2], prior[1:, j, 2] = SLIPS[j], [0.4 if j in own else 0.1 for own in KINDS]
+            prior[:, j, 2 if j in AGAINST else 1] = 1e-4
+            prior[:, j, 0] = 1 - prior[:, j, 1:].sum(1)
+        theta, pi = prior, np.array([1 - 0.01, *[0.01 / len(KINDS)] * len(KINDS)])
         for turn in range(rounds):
-            logs = np.log(theta)
-            score = np.einsum("pjv,yjv,j->py", cast, logs, share) + np.log([1 - pi, pi])
-            post = np.exp(score - score.max(1, keepdims=True))
-            post /= post.sum(1, keepdims=True)
-            post[~voted] = (1.0 - SILENT, SILENT)
+            post = self._posterior(one, theta, pi, share)
             weight = post * counts[:, None]
             table = np.einsum("py,pjv->yjv", weight, one)
-            # The belief weighs as much as BELIEF times the sentences of its side, so that rare voters keep theirs.
-            scale = 1.0 + np.array([BELIEF_BENIGN, BELIEF])[:, None, None] * weight.sum(0)[:, None, None]
-            theta = (table + prior * scale) / (table.sum(2, keepdims=True) + scale)
-            pi = float(np.clip(weight[:, 1].sum() / max(counts.sum(), 1.0), 1e-4, 0.5))
+            theta = (table + prior * belief) / (table.sum(2, keepdims=True) + belief)
+            self._no_worse_than_chance(theta, weight.sum(0))
+            pi = (weight.sum(0) + 1) / (weight.sum() + len(pi))
             if turn == rounds // 2:
                 share = self._shares(one, weight)
         self.theta, self.pi, self.share = theta, pi, share
-        self.posterior = {p: float(q) for p, q in zip(patterns, post[:, 1], strict=True)}
+
+    @staticmethod
+    def _posterior(one: np.ndarray, theta: np.ndarray, pi: np.ndarray, share: np.ndarray) -> np.ndarray:
+        score = np.einsum("pjv,yjv,j,v->py", one, np.log(theta), share, [SILENCE, 1.0, 1.0]) + np.log(pi)
+        post = np.exp(score - score.max(1, keepdims=True))
+        return post / post.sum(1, keepdims=True)
+
+    @staticmethod
+    def _no_worse_than_chance(theta: np.ndarray, size: np.ndarray) -> None:
+        """Where a voter votes oftener on the other side than on its own, it votes alike on both."""
+        for j in range(theta.shape[1]):
+            outcome = 1 if j in AGAINST else 2
+            kinds = np.array([k + 1 for k, own in enumerate(KINDS) if j in AGAINST or j in own])
+            rate = np.average(theta[kinds, j, outcome], weights=size[kinds] + 1e-9)
+            if (rate > theta[0, j, outcome]) == (j in AGAINST):
+                theta[kinds, j] = theta[0, j]
+
+    @staticmethod
+    def _outcomes(patterns: list[str]) -> np.ndarray:
+        at = {"-": 0, "0": 1, "1": 2}
+        return np.array([[at[c] for c in p] for p in patterns], np.int64).reshape(-1, len(VOTERS))
 
     def _shares(self, one: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Of each voter the share of its evidence that voters correlated with it do not give already."""
         voted = 1.0 - one[:, :, 0]
         excess = np.zeros((self.width, self.width))
-        for y in (0, 1):
+        for y in range(weight.shape[1]):
             w = weight[:, y] / max(weight[:, y].sum(), 1e-9)
             mean = w @ voted
             both = (voted * w[:, None]).T @ voted
             spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-            excess += np.clip((both - np.outer(mean, mean)) / np.outer(spread, spread), 0, 1) / 2
+            excess += np.clip((both - np.outer(mean, mean)) / np.outer(spread, spread), 0, 1) / weight.shape[1]
         np.fill_diagonal(excess, 0)
         side = np.array([j in AGAINST for j in range(self.width)])
         excess[side[:, None] != side[None, :]] = 0
@@ -310,14 +354,12 @@ class LabelModel:
         self.correlations = excess
         return 1.0 / (1.0 + 0.5 * excess.sum(1))
 
+    def probabilities(self, patterns: list[str]) -> np.ndarray:
+        """Of each pattern of votes the probability that the sentence is abusive, of whatever kind."""
+        return 1 - self._posterior(np.eye(3)[self._outcomes(patterns)], self.theta, self.pi, self.share)[:, 0]
+
     def probability(self, pattern: str) -> float:
-        if "1" not in pattern:
-            return SILENT
-        if pattern in self.posterior:
-            return self.posterior[pattern]
-        at = [{"-": 0, "0": 1, "1": 2}[c] for c in pattern]
-        score = [sum(self.share[j] * np.log(self.theta[y, j, v]) for j, v in enumerate(at) if v) + np.log([1 - self.pi, self.pi][y]) for y in (0, 1)]
-        return float(1 / (1 + np.exp(min(50.0, score[0] - score[1]))))
+        return float(self.probabilities([pattern])[0])
 
 
 # ---------------------------------------------------------------- classifier
@@ -336,29 +378,33 @@ def _place(gram: str) -> int:
     return at
 
 
-def features(tokens: list[str], pattern: str) -> list[int]:
-    """Hashed words, pairs of words and votes of a sentence."""
+def features(tokens: list[str]) -> list[int]:
+    """Hashed words and pairs of words of a sentence."""
     words = [t for t in tokens if len(t) > 1 and t.isalpha()]
     found = {_place(w) for w in words}
     found.update(zlib.crc32(f"{a} {b}".encode()) % (DIMENSIONS - 1) + 1 for a, b in pairwise(words))
-    if pattern not in (QUIET_PATTERN, QUIET_EVERYDAY):
-        found.update(_place(f"={j}{v}") for j, v in enumerate(pattern) if v != "-")
-    found.add(_place(f"=={pattern}"))
     return list(found)
 
 
-def fit(rows: list[list[int]], targets: np.ndarray, weights: np.ndarray, epochs: int = 20, l2: float = 1e-6, seed: int = 7) -> np.ndarray:
-    """Logistic regression by adaptive gradients on soft targets; entry 0 is the intercept."""
+def fit(rows: list[list[int]], targets: np.ndarray, weights: np.ndarray, epochs: int = 30, l2: float = 1e-4, rate: float = 0.1, batch: int = 128, seed: int = 7) -> np.ndarray:
+    """Logistic regression by adaptive gradients on soft targets, in batches; entry 0 is the intercept."""
     w, g2 = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-6)
+    share = float(np.clip(np.average(targets, weights=weights), 1e-4, 0.5)) if len(rows) else 0.5
+    w[0] = np.log(share / (1 - share))  # a sentence of unknown words is as likely as any
     index = [np.array([0, *r]) for r in rows]
     random = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in random.permutation(len(index)):
-            at = index[i]
-            z = w[at].sum()
-            g = weights[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - targets[i]) + l2 * w[at]
-            g2[at] += g * g
-            w[at] -= 0.2 * g / np.sqrt(g2[at])
+        order = random.permutation(len(index))
+        for k in range(0, len(order), batch):
+            some = order[k : k + batch]
+            at = np.concatenate([index[i] for i in some])
+            of = np.repeat(np.arange(len(some)), [len(index[i]) for i in some])
+            z = np.bincount(of, weights=w[at], minlength=len(some))
+            slope = weights[some] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - targets[some])
+            places, where = np.unique(at, return_inverse=True)
+            g = np.bincount(where, weights=slope[of]) + l2 * w[places]
+            g2[places] += g * g
+            w[places] -= rate * g / np.sqrt(g2[places])
     return w
 
 
@@ -367,15 +413,14 @@ class Model:
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights.astype(np.float32)
-        self.quiet = {p: float(self.weights[_place(f"=={p}")]) for p in (QUIET_PATTERN, QUIET_EVERYDAY)}
-        self.known: dict[str, float] = {}
+        self.known: dict[str, float | None] = {}
         self.pairs: dict[tuple[str, str], float] = {}
 
-    def _keep(self, token: str) -> float:
-        """The weight of a word, kept for the next time."""
+    def _keep(self, token: str) -> float | None:
+        """The weight of a word, kept for the next time; none if it is no word."""
         if len(self.known) > MOST_TOKENS:
             self.known.clear()
-        w = self.known[token] = float(self.weights[_place(token)]) if len(token) > 1 and token.isalpha() else 0.0
+        w = self.known[token] = float(self.weights[_place(token)]) if len(token) > 1 and token.isalpha() else None
         return w
 
     def _keep_pair(self, pair: tuple[str, str]) -> float:
@@ -388,56 +433,110 @@ class Model:
     def score(self, text: str) -> tuple[float, int]:
         """The probability of the worst sentence, and which it is."""
         best, which = -30.0, -1
-        quiet, known, pairs = self.quiet, self.known, self.pairs
+        known, pairs = self.known, self.pairs
         for k, s in enumerate(sentences(text)):
-            tokens = plain_tokens(s)
-            pattern = votes(tokens, not s.isascii())
-            if pattern == QUIET_PATTERN or pattern == QUIET_EVERYDAY:
-                z = quiet[pattern]
-                for t in set(tokens):
-                    w = known.get(t)
-                    z += self._keep(t) if w is None else w
-                for p in set(pairwise([t for t in tokens if len(t) > 1 and t.isalpha()])):
-                    w = pairs.get(p)
-                    z += self._keep_pair(p) if w is None else w
-            else:
-                z = float(self.weights[features(tokens, pattern)].sum())
+            words, z = [], 0.0
+            for t in plain_tokens(s):
+                w = known[t] if t in known else self._keep(t)
+                if w is not None:
+                    words.append(t)
+            for t in set(words):
+                z += known[t] if t in known else self._keep(t)
+            for p in set(pairwise(words)):
+                w = pairs.get(p)
+                z += self._keep_pair(p) if w is None else w
             if z > best:
                 best, which = z, k
         return 1 / (1 + float(np.exp(-min(30.0, best + float(self.weights[0]))))), which
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        patterns, kept, quiet = [], [], Counter()
-        for text in batch.column("text").to_pylist():
-            for s in sentences(text):
-                tokens = plain_tokens(s)
-                pattern = votes(tokens, not s.isascii())
-                if "1" in pattern or pattern[8:] != "--" or zlib.crc32(s.encode()) % QUIET == 0:
-                    patterns.append(pattern)
-                    kept.append(" ".join(tokens))
-                else:
-                    quiet[pattern] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*patterns, *quiet], pa.string()), pa.array([*kept, *[None] * len(quiet)], pa.string()), pa.array([*[1] * len(kept), *quiet.values()], pa.int64())], ["pattern", "sentence", "n"])
+def _part(pattern: str) -> int:
+    """The part of the sample a sentence belongs to."""
+    if "1" in pattern:
+        return 0 if "0" in pattern else 1
+    return 2 if "0" in pattern[MENTIONS] else 3
+
+
+class Sample:
+    """Of each part the sentences of least hash of themselves and their text: the same whatever the order of the texts, and as few as asked for."""
+
+    def __init__(self, most: tuple[int, ...]):
+        self.most = most
+        self.kept: list[list[tuple[int, str, str]]] = [[] for _ in most]
+        self.limit = [1 << 32] * len(most)
+
+    def add(self, order: int, pattern: str, tokens: list[str]) -> None:
+        part = _part(pattern)
+        if order <= self.limit[part]:
+            self.kept[part].append((order, pattern, " ".join(tokens)))
+            if len(self.kept[part]) > 2 * self.most[part] + 1000:
+                self.prune(part)
+
+    def prune(self, part: int) -> None:
+        self.kept[part] = sorted(self.kept[part])[: self.most[part]]
+        if len(self.kept[part]) == self.most[part]:
+            self.limit[part] = self.kept[part][-1][0] if self.kept[part] else -1
+
+    def rows(self) -> list[tuple[int, str, str]]:
+        for part in range(len(self.most)):
+            self.prune(part)
+        return [r for part in self.kept for r in part]
+
+
+VOTE = pa.schema([("pattern", pa.string()), ("n", pa.int64()), ("sentence", pa.string()), ("o", pa.int64())])
+
+
+def _vote(sample: int):
+    """Patterns with their numbers, and a sample of sentences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, kept = Counter(), Sample(tuple(int(x * sample) for x in PARTS))
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                start = zlib.crc32(text.encode())
+                for s in sentences(text):
+                    tokens = plain_tokens(s)
+                    pattern = votes(tokens, not s.isascii())
+                    patterns[pattern] += 1
+                    kept.add(zlib.crc32(s.encode(), start), pattern, tokens)
+        rows = [(p, n, None, 0) for p, n in patterns.items()] + [(p, 0, s, o) for o, p, s in kept.rows()]
+        for k in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 10_000], strict=True), VOTE.types, strict=True)], schema=VOTE)
+
+    return run
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[Model, LabelModel]:
     """Votes on all documents, the label model on their patterns, the classifier on a bounded sample."""
     texts = spread(documents.select("text").where(has_text(F.col("text"))))
-    cast = cut(texts.mapInArrow(_vote, "pattern string, sentence string, n bigint"))
-    counted = cast.groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    cast = cut(texts.mapInArrow(_vote(sample), "pattern string, n bigint, sentence string, o bigint"))
+    counted = cast.groupBy("pattern").agg(F.sum("n").alias("n")).where("n > 0").orderBy("pattern").toPandas()
     if not len(counted):
         return Model(np.zeros(DIMENSIONS)), LabelModel(["-" * len(VOTERS)], np.ones(1))
     labels = LabelModel(counted["pattern"].tolist(), counted["n"].to_numpy())
-    # Distinct sentences; a quarter of the sample at most is of those no voter holds to be abusive.
-    distinct = cast.where("sentence is not null").groupBy("sentence").agg(F.first("pattern").alias("pattern"), F.count("*").alias("n")).withColumn("o", F.xxhash64("sentence"))
-    suspect = F.col("pattern").contains("1")
-    chosen = [r for side, most in ((suspect, sample // 2), (~suspect, sample // 4)) for r in distinct.where(side).orderBy(F.col("pattern").endswith("--"), "o").limit(most).collect()]
-    targets = np.array([labels.probability(r["pattern"]) for r in chosen])
-    # Sentences that got a vote are few and differ in the words that matter; repeated ones weigh a little more.
-    weights = np.array([1.0 if "1" not in r["pattern"] else 4.0 * (1 + np.log2(r["n"])) for r in chosen])
-    return Model(fit([features(r["sentence"].split(), r["pattern"]) for r in chosen], targets, weights)), labels
+    suspect, opposed = F.col("pattern").contains("1"), F.col("pattern").contains("0")
+    mention = F.substring("pattern", MENTIONS.start + 1, MENTIONS.stop - MENTIONS.start).contains("0")
+    parts = zip((suspect & opposed, suspect & ~opposed, ~suspect & mention, ~suspect & ~mention), PARTS, strict=True)
+    chosen = Counter((r["sentence"], r["pattern"]) for part, share in parts for r in cast.where(F.col("sentence").isNotNull() & part).orderBy("o", "sentence").limit(int(share * sample)).collect())
+    return learn(chosen, dict(zip(counted["pattern"], counted["n"].tolist(), strict=True)), labels), labels
+
+
+def learn(chosen: dict[tuple[str, str], int], patterns: dict[str, int], labels: LabelModel) -> Model:
+    """The classifier of plain sentences, from what the label model holds of their votes.
+
+    ``chosen`` are the sentences and patterns of the sample with their numbers, ``patterns`` those of all
+    sentences: a part of which the sample has one in ten weighs ten times, so the sample stands for the
+    corpus whatever its size.
+    """
+    keys = sorted(chosen)
+    drawn, there = Counter(), Counter()
+    for (_, p), n in chosen.items():
+        drawn[_part(p)] += n
+    for p, n in patterns.items():
+        there[_part(p)] += n
+    # Repeated sentences weigh a little more.
+    weights = np.array([(1 + np.log2(chosen[k])) * there[_part(k[1])] / drawn[_part(k[1])] for k in keys])
+    return Model(fit([features(s.split()) for s, _ in keys], labels.probabilities([p for _, p in keys]), weights))
 
 
 def scored(documents: DataFrame, model: Model | None = None, sample: int = SAMPLE) -> DataFrame:

@@ -91,17 +91,57 @@ def test_disguises(text, want):
     assert re.search(want, p10_abuse.plain(text)) or "***" in text
 
 
+def pattern(*votes):
+    return "".join(dict(votes).get(v, "-") for v in p10_abuse.VOTERS)
+
+
+ON = {v: (v, "0" if k in p10_abuse.AGAINST else "1") for k, v in enumerate(p10_abuse.VOTERS)}
+QUIET = pattern()
+
+
 def test_label_model_learns_sides():
-    quiet = "-" * len(p10_abuse.VOTERS)
     # As in text: everyday words stand in many sentences, and now and then beside a word of the lexicon.
-    patterns = [quiet, "-------0--", "11--------", "111-------", "----11----", "1------0--", "--------0-"]
-    model = p10_abuse.LabelModel(patterns, np.array([5000, 3000, 100, 80, 60, 100, 100]))
-    assert model.probability("111-------") > 0.9 > 0.5 > model.probability("1------0--")
-    assert model.probability(quiet) < 0.01
+    seen = {QUIET: 5000, pattern(ON["everyday"]): 3000, pattern(ON["insult"], ON["directed insult"]): 100, pattern(ON["insult"], ON["directed insult"], ON["threat"]): 80, pattern(ON["sexual"], ON["soliciting"]): 60, pattern(ON["insult"], ON["everyday"]): 100, pattern(ON["mention"]): 100}
+    model = p10_abuse.LabelModel(list(seen), np.array(list(seen.values())))
+    assert model.probability(pattern(ON["insult"], ON["directed insult"], ON["threat"])) > 0.9 > 0.5 > model.probability(pattern(ON["insult"], ON["everyday"]))
+    assert model.probability(QUIET) < 0.05 and model.probability(pattern(ON["mention"])) < 0.01
+
+
+def drawn(rates, share=0.05, n=60_000, seed=3):
+    """Patterns of voters with the given rates (on insulting, on other sentences), and the share of insults among those the voter marks alone."""
+    random = np.random.default_rng(seed)
+    bad = random.random(n) < share
+    seen = {}
+    for y in bad:
+        p = pattern(*(ON[v] for v, (on, off) in rates.items() if random.random() < (on if y else off)))
+        seen.setdefault(p, [0, 0])[int(y)] += 1
+    return seen
+
+
+def test_a_bad_voter_is_found_out():
+    """Two voters are believed alike beforehand; the votes of the others tell which of them is bad."""
+    good = {"insult": (0.8, 0.002), "directed insult": (0.7, 0.0005), "everyday": (0.05, 0.4)}
+    for contempt, curse in (((0.6, 0.001), (0.05, 0.05)), ((0.05, 0.05), (0.6, 0.001))):
+        seen = drawn(good | {"contempt": contempt, "curse": curse})
+        model = p10_abuse.LabelModel(list(seen), np.array([sum(x) for x in seen.values()]))
+        ratio = {v: model.theta[1, p10_abuse.VOTERS.index(v), 2] / model.theta[0, p10_abuse.VOTERS.index(v), 2] for v in ("contempt", "curse")}
+        right, wrong = ("contempt", "curse") if contempt[0] > 0.5 else ("curse", "contempt")
+        assert ratio[right] > 50 > 3 > ratio[wrong]
+        assert model.probability(pattern(ON[wrong])) < 0.5 < model.probability(pattern(ON[right], ON["insult"]))
+        # Rates are estimated, not believed: they come near the true ones, which the belief is not.
+        assert abs(model.theta[0, p10_abuse.VOTERS.index(wrong), 2] - 0.05) < 0.01
+        assert abs(model.theta[1, p10_abuse.VOTERS.index("directed insult"), 2] - 0.7) < 0.25  # silence counts half, so it is the lower end
+
+
+def test_posteriors_are_calibrated():
+    seen = drawn({"insult": (0.8, 0.01), "directed insult": (0.7, 0.002), "threat": (0.3, 0.001), "everyday": (0.05, 0.4), "mention": (0.01, 0.05)})
+    model = p10_abuse.LabelModel(list(seen), np.array([sum(x) for x in seen.values()]))
+    right = sum(n[int(q >= 0.5)] for (_, n), q in zip(seen.items(), model.probabilities(list(seen)), strict=True))
+    assert right / sum(map(sum, seen.values())) > 0.985
 
 
 def test_abuse(spark, sf, rows):
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
     model, _ = p10_abuse.train(docs)
     bad = ["You are a worthless piece of garbage and your whole family is trash.", "Shut up you m0r0n, one more word and I will break your teeth.", "Send me your nude pictures tonight, I want to see you naked in my bed."]
     good = ["The dog bit the postman, so the parcel came late.", "Naked wires near the meter must be reported to the lineman.", "A workshop on hate speech and harassment will be held for the counter staff.", "", "   "]
@@ -125,8 +165,11 @@ MATCHES = {
     "paida hota hai|nafrat farz|nasl hi|wajood mita|nikal phenko|inhen maar|inhen nikal|inhen khatam|in se nafrat|whole breed|too stupid to|are vermin|are filth|are animals|are cockroaches|never trust an X that|no one deserves|put them back in a coffin!",
     2: "I will kill you|we would find all of you|i'll hurt your|i beat you|i stab you|i shoot you|break your teeth|crack your skull|smash your face|drop dead|hang yourself|drown urself|go die|go and rot|choke on your|hope you suffer|cut you open|with a knife|"
     "nobody wants to see you alive|burn it down|munh tod|haddi todunga|haddiyan tod|zinda nahi chhorunga|jaan se maarunga|mar ja|doob maro|joote maro|gala ghont|gala kaat|goli maar|drop dead!",
-    8: "poster says|sign says|no nudity|no insults|workshop|awareness|seminar|training|helpline now|records abusive|abusive calls|two warnings|was fined|does not repeat|hate speech|harassment|community centre|neighbours cooked|welcomes everyone|he joked|policy|moderates",
+    8: "poster says|sign says|no nudity|no insults|workshop|awareness|seminar|training|helpline now|records abusive|abusive calls|two warnings|was fined|does not repeat|hate speech|harassment|reported that|notice says|notice does|the helpline now takes|moderate|moderating|community centre|neighbours cooked|welcomes everyone|he joked|policy|moderates",
     9: "i was an idiot|i am so sorry|myself|lesson learned|my own fault|main hi bewaqoof|main gadha",
+    10: "you stupid|you are a worthless|you're pathetic|ur disgusting|you useless|you brainless|you shameless|you spineless|you filthy|you ugly|you dumb|you idiotic|you moronic|you vile|you repulsive|you despicable|your miserable face",
+    11: "burn in hell|rot in hell|go straight to hell|screw you|damn you|curse you|fuck you|fuck off|i will end you|i'll finish you|i swear i will ruin you|watch your back|you are dead|you will pay for|you'll regret|you will all suffer|make you pay|make you suffer|make you regret",
+    12: "go back to your|go back to where they|do not belong here|doesn't belong in our|all of them are thieves|those foreigners are criminals|these zubranis are terrorists|every zubranis is rapists|all zubranis are murderers|all zubranis are liars|should all be shot|should be hanged|should be killed|should be deported|should be gassed|should be burned|deserve to die|deserves to be killed",
     7: "gali mein|rider wapas|dog bit|cold killed|farm smells|clinic offers",
 }
 
@@ -134,8 +177,8 @@ MATCHES = {
 @pytest.mark.parametrize(("voter", "text"), [(v, t) for v, all_of in MATCHES.items() for t in all_of.split("|")])
 def test_no_gate_hides_a_pattern(voter, text):
     tokens = p10_abuse.plain_tokens(text)
-    pattern = {2: p10_abuse.THREAT, 3: p10_abuse.GROUP_HATE, 7: p10_abuse.EVERYDAY, 8: p10_abuse.MENTION, 9: p10_abuse.SELF}[voter]
-    assert pattern.search(" ".join(tokens)) and p10_abuse.votes(tokens)[voter] != "-"
+    matcher = {2: p10_abuse.THREAT, 3: p10_abuse.GROUP_HATE, 7: p10_abuse.EVERYDAY, 8: p10_abuse.MENTION, 9: p10_abuse.SELF, 10: p10_abuse.CONTEMPT, 11: p10_abuse.CURSE, 12: p10_abuse.EXCLUSION}[voter]
+    assert matcher.search(" ".join(tokens)) and p10_abuse.votes(tokens)[voter] != "-"
 
 
 @pytest.mark.parametrize("mark", list(" .-_*"))
@@ -143,11 +186,36 @@ def test_letters_set_apart_by_any_mark(mark):
     assert p10_abuse.plain(f"You are {mark.join('trash')} all") == "You are trash all".lower()
 
 
-def test_pairs_of_words_count_without_votes():
-    weights = np.zeros(p10_abuse.DIMENSIONS)
+def test_classifier_sees_words_and_pairs_only():
     tokens = p10_abuse.plain_tokens("the tall tree fell")
-    assert p10_abuse.votes(tokens) == p10_abuse.QUIET_PATTERN
-    both = set(p10_abuse.features(tokens, p10_abuse.QUIET_PATTERN)) - set(p10_abuse.features(["the", "fell"], p10_abuse.QUIET_PATTERN)) - {p10_abuse._place(t) for t in tokens}
-    assert len(both) == 3
+    assert len(p10_abuse.features(tokens)) == 7 and p10_abuse.votes(tokens) == QUIET
+    both = set(p10_abuse.features(tokens)) - {p10_abuse._place(t) for t in tokens}
+    weights = np.zeros(p10_abuse.DIMENSIONS)
     weights[list(both)] = 1
     assert p10_abuse.Model(weights).score("the tall tree fell")[0] == pytest.approx(1 / (1 + np.exp(-3)))
+
+
+@pytest.mark.parametrize("text", ["you stupid woman", "go back to your country", "burn in hell", "you are worthless and stupid", "I will end you", "You deserve to die", "all those Kelmars are thieves", "you will regret this", "fuck off", "your ugly face"])
+def test_voters_beyond_the_corpus(text):
+    assert "1" in p10_abuse.votes(p10_abuse.plain_tokens(text))
+
+
+@pytest.mark.parametrize("text", ["you look ugly weather up", "the back office will call you", "go back to the shop", "watch your back door", "the battery is dead"])
+def test_plain_talk_gets_no_contempt_or_curse(text):
+    assert "1" not in p10_abuse.votes(p10_abuse.plain_tokens(text))[12:]
+
+
+@pytest.mark.parametrize("space", [0x20, 0x0A, 0xA0, 0x2003, 0x3000, 0x2028, 0x85])
+def test_any_white_space_ends_a_sentence(space):
+    assert p10_abuse.sentences(f"One.{chr(space)}Two!{chr(space)}Three") == ["One.", "Two!", "Three"]
+
+
+def test_sample_is_the_same_in_any_order():
+    sentences = [(p10_abuse.zlib.crc32(f"{i}".encode()), pattern(ON["insult"]) if i % 3 else QUIET, [f"s{i}"]) for i in range(9000)]
+    draws = []
+    for order in (sentences, sentences[::-1]):
+        sample = p10_abuse.Sample((5, 100, 5, 40))
+        for x in order:
+            sample.add(*x)
+        draws.append(sorted(sample.rows()))
+    assert draws[0] == draws[1] and len(draws[0]) == 140
