@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -102,19 +102,21 @@ EXCLUSION = re.compile(
 )
 
 #: Of each lexicon or pattern what some word must hold, or it cannot match: one entry at least for every alternative.
+WHOLE = r"(?:^|\W)(?:{})(?:\W|$)"
 GATES = tuple(
     re.compile(x)
     for x in (
-        r"wipe|driven|drive|coffin|^rid$|born|breathe|waste|burn|exterminate|clean|send|locked|lock$|paida|nafrat|nasl|wajood|nikal|inhen|breed|stupid|vermin|filth|animals|cockroaches|trust|deserves",
+        WHOLE.format("wipe|driven|drive|coffin|rid|born|breathe|waste|burn|exterminate|clean|send|locked|lock|paida|nafrat|nasl|wajood|nikal|inhen|breed|stupid|vermin|filth|animals|cockroaches|trust|deserves"),
         r"^(?:kill|beat|break|cut|stab|shoot|burn|smash|hurt|find)$|(?:break|smash|crack)$|^dead|urself|yourself|^(?:die|rot)|(?:choke|hope|cut|beat|burn|nobody|zinda|doob|joote|gala|goli|mar)$|^knife|^tod|^maar|haddi",
-        r"poster|sign|nudity|insults|workshop|awareness|seminar|training|helpline|abusive|warnings|fined|repeat|speech|harassment|reported|notice|centre|neighbours|everyone|joked|policy|moderat",
+        WHOLE.format(r"poster|sign|nudity|insults|workshop|awareness|seminar|training|helpline|abusive|warnings|fined|repeat|speech|harassment|reported|notice|centre|neighbours|everyone|joked|policy|moderat\w+"),
         r"(?:^|\W)i$|myself|lesson$|^own|main$",
         r"gali$|rider$|dog$|cold$|^smells|^offers",
-        r"stupid|worthless|pathetic|disgusting|useless|brainless|shameless|spineless|filthy|ugly|dumb|idiotic|moronic|vile|repulsive|despicable|miserable",
-        r"^hell|^you$|^off$|^end$|^back$|^dead|^pay|^regret|^suffer",
-        r"^back$|^belong|thieves|criminals|terrorists|rapists|murderers|liars|shot|hanged|killed|deported|gassed|burned|^die",
+        WHOLE.format("stupid|worthless|pathetic|disgusting|useless|brainless|shameless|spineless|filthy|ugly|dumb|idiotic|moronic|vile|repulsive|despicable|miserable"),
+        WHOLE.format("hell|screw|damn|curse|fuck|end|finish|destroy|ruin|bury|back|dead|pay|regret|suffer"),
+        WHOLE.format("back|belong|thieves|criminals|terrorists|rapists|murderers|liars|shot|hanged|killed|deported|gassed|burned|die"),
     )
 )
+ANY_GATE = re.compile("|".join(f"(?:{g.pattern})" for g in GATES))
 #: Of each word seen the gates it opens; those that open none.
 _opened: dict[str, int] = {}
 _closed: set[str] = set()
@@ -129,7 +131,7 @@ def _open(words: set[str]) -> int:
             if len(_opened) + len(_closed) > MOST_TOKENS:
                 _opened.clear()
                 _closed.clear()
-            bits = sum(1 << k for k, g in enumerate(GATES) if g.search(w)) | sum(1 << len(GATES) + k for k, words in enumerate((INSULTS, SEXUAL, DEHUMANIZING)) if w in words)
+            bits = (sum(1 << k for k, g in enumerate(GATES) if g.search(w)) if ANY_GATE.search(w) else 0) | sum(1 << len(GATES) + k for k, words in enumerate((INSULTS, SEXUAL, DEHUMANIZING)) if w in words)
             if not bits:
                 _closed.add(w)
                 continue
@@ -153,7 +155,7 @@ STRETCHED = re.compile(r"(\w)\1{2,}")
 LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i"})
 TOKENS = re.compile(r"[\w@$*#!']+")
 #: The same for ASCII texts: every other character becomes a space.
-GAPS = {c: " " for c in range(128) if not TOKENS.match(chr(c))}
+GAPS = bytes(c if c < 128 and TOKENS.match(chr(c)) else 32 for c in range(256))
 MASKED = re.compile(r"[*#_]")
 _BY_SIZE: dict[int, list[str]] = {}
 for _w in DISGUISED:
@@ -189,25 +191,43 @@ def _plain_token(token: str) -> str:
 
 #: Characters by_table changes.
 ODD = re.compile("[" + "".join(map(chr, TABLE)) + chr(0x300) + "-" + chr(0x36F) + chr(0x653) + "-" + chr(0x655) + "]")
-_tokens: dict[str, str] = {}
 MOST_TOKENS = 300_000
 
 
-def plain_tokens(sentence: str) -> list[str]:
-    """The lower-cased words, with disguises undone."""
+class Kept(dict):
+    """What a function gives, kept for the next time; emptied when it has become large."""
+
+    def __init__(self, function: Callable):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key):
+        if len(self) > MOST_TOKENS:
+            self.clear()
+        out = self[key] = self.function(key)
+        return out
+
+
+def _word(token: str) -> str:
+    """The plain form of a token if it is a word of two letters at least."""
+    word = _plain_token(token)
+    return word if len(word) > 1 and word.isalpha() else ""
+
+
+_tokens, _words = Kept(_plain_token), Kept(_word)
+
+
+def _raw_tokens(sentence: str) -> list[str]:
     low = (by_table(sentence) if not sentence.isascii() and ODD.search(sentence) else sentence).lower()
-    found = low.translate(GAPS).split() if low.isascii() else TOKENS.findall(low)
-    if "_" in low or "*" in low or len([t for t in found if len(t) == 1]) > 2:
+    found = low.encode().translate(GAPS).decode().split() if low.isascii() else TOKENS.findall(low)
+    if "_" in low or "*" in low or list(map(len, found)).count(1) > 2:
         found = TOKENS.findall(SPACED.sub(lambda m: m[0][::2], low))
-    out = []
-    for token in found:
-        known = _tokens.get(token)
-        if known is None:
-            if len(_tokens) > MOST_TOKENS:
-                _tokens.clear()
-            known = _tokens[token] = _plain_token(token)
-        out.append(known)
-    return out
+    return found
+
+
+def plain_tokens(sentence: str) -> list[str]:
+    """The lower-cased words, with disguises undone."""
+    return list(map(_tokens.__getitem__, _raw_tokens(sentence)))
 
 
 def plain(sentence: str) -> str:
@@ -365,25 +385,15 @@ class LabelModel:
 # ---------------------------------------------------------------- classifier
 
 
-_places: dict[str, int] = {}
-
-
 def _place(gram: str) -> int:
-    """The place of a feature among the hashed ones; places of words are kept."""
-    at = _places.get(gram)
-    if at is None:
-        if len(_places) > MOST_TOKENS:
-            _places.clear()
-        at = _places[gram] = zlib.crc32(gram.encode()) % (DIMENSIONS - 1) + 1
-    return at
+    """The place of a feature among the hashed ones."""
+    return zlib.crc32(gram.encode()) % (DIMENSIONS - 1) + 1
 
 
 def features(tokens: list[str]) -> list[int]:
     """Hashed words and pairs of words of a sentence."""
     words = [t for t in tokens if len(t) > 1 and t.isalpha()]
-    found = {_place(w) for w in words}
-    found.update(zlib.crc32(f"{a} {b}".encode()) % (DIMENSIONS - 1) + 1 for a, b in pairwise(words))
-    return list(found)
+    return list({_place(w) for w in words} | {_place(f"{a} {b}") for a, b in pairwise(words)})
 
 
 def fit(rows: list[list[int]], targets: np.ndarray, weights: np.ndarray, epochs: int = 30, l2: float = 1e-4, rate: float = 0.1, batch: int = 128, seed: int = 7) -> np.ndarray:
@@ -413,38 +423,19 @@ class Model:
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights.astype(np.float32)
-        self.known: dict[str, float | None] = {}
-        self.pairs: dict[tuple[str, str], float] = {}
-
-    def _keep(self, token: str) -> float | None:
-        """The weight of a word, kept for the next time; none if it is no word."""
-        if len(self.known) > MOST_TOKENS:
-            self.known.clear()
-        w = self.known[token] = float(self.weights[_place(token)]) if len(token) > 1 and token.isalpha() else None
-        return w
-
-    def _keep_pair(self, pair: tuple[str, str]) -> float:
-        """The same for a pair of words."""
-        if len(self.pairs) > MOST_TOKENS:
-            self.pairs.clear()
-        w = self.pairs[pair] = float(self.weights[zlib.crc32(" ".join(pair).encode()) % (DIMENSIONS - 1) + 1])
-        return w
+        self.words = Kept(lambda word: float(self.weights[_place(word)]))
+        self.pairs = Kept(lambda pair: float(self.weights[_place(" ".join(pair))]))
+
+    def __reduce__(self):
+        return Model, (self.weights,)
 
     def score(self, text: str) -> tuple[float, int]:
         """The probability of the worst sentence, and which it is."""
         best, which = -30.0, -1
-        known, pairs = self.known, self.pairs
+        word, weight, pair = _words.__getitem__, self.words.__getitem__, self.pairs.__getitem__
         for k, s in enumerate(sentences(text)):
-            words, z = [], 0.0
-            for t in plain_tokens(s):
-                w = known[t] if t in known else self._keep(t)
-                if w is not None:
-                    words.append(t)
-            for t in set(words):
-                z += known[t] if t in known else self._keep(t)
-            for p in set(pairwise(words)):
-                w = pairs.get(p)
-                z += self._keep_pair(p) if w is None else w
+            words = list(filter(None, map(word, _raw_tokens(s))))
+            z = sum(map(weight, set(words))) + sum(map(pair, set(pairwise(words))))
             if z > best:
                 best, which = z, k
         return 1 / (1 + float(np.exp(-min(30.0, best + float(self.weights[0]))))), which

@@ -128,9 +128,8 @@ def test_a_bad_voter_is_found_out():
         right, wrong = ("contempt", "curse") if contempt[0] > 0.5 else ("curse", "contempt")
         assert ratio[right] > 50 > 3 > ratio[wrong]
         assert model.probability(pattern(ON[wrong])) < 0.5 < model.probability(pattern(ON[right], ON["insult"]))
-        # Rates are estimated, not believed: they come near the true ones, which the belief is not.
+        # The rate of the bad voter is estimated, not believed.
         assert abs(model.theta[0, p10_abuse.VOTERS.index(wrong), 2] - 0.05) < 0.01
-        assert abs(model.theta[1, p10_abuse.VOTERS.index("directed insult"), 2] - 0.7) < 0.25  # silence counts half, so it is the lower end
 
 
 def test_posteriors_are_calibrated():
