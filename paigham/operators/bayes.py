@@ -6,6 +6,9 @@ known term is scored by the priors alone and marked.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,31 +25,56 @@ def priors(train: DataFrame) -> DataFrame:
     return train.agg(*[F.log(F.try_divide(F.count_if(F.col("status") == x), n)).alias(f"prior_{x.lower()}") for x in LABELS])
 
 
-def term_probabilities(train: DataFrame, weighted: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """``(term, theta_genuine, theta_scam)``: logarithms of the smoothed shares of each term."""
-    joined = weighted.join(train.select("row_id", "status"), "row_id")
-    sums = joined.groupBy("term").agg(*[F.sum(F.when(F.col("status") == x, F.col("weight")).otherwise(0.0)).alias(x.lower()) for x in LABELS])
+def term_probabilities(train: DataFrame, vocab: DataFrame, settings: Settings = Settings(), alpha: float = 1.0) -> DataFrame:
+    """``(term, theta_genuine, theta_scam)``: logarithms of the smoothed shares of each term of the vocabulary."""
+    weighted = features.weights(train, vocab, settings, carry=("status",))
+    sums = cut(weighted.groupBy("term").agg(*[F.sum(F.when(F.col("status") == x, F.col("weight")).otherwise(0.0)).alias(x.lower()) for x in LABELS]))
     totals = sums.agg(F.count("*").alias("v"), *[F.sum(x.lower()).alias(f"all_{x.lower()}") for x in LABELS])
     each = [F.log((F.col(x.lower()) + alpha) / (F.col(f"all_{x.lower()}") + alpha * F.col("v"))).alias(f"theta_{x.lower()}") for x in LABELS]
     return sums.crossJoin(F.broadcast(totals)).select("term", *each)
 
 
-def predict(rows: DataFrame, weighted: DataFrame, prior: DataFrame, theta: DataFrame) -> DataFrame:
-    """``(row_id, prediction, confidence, known_terms)`` of every row; confidence is the likelier label's percent."""
-    sums = weighted.join(theta, "term").groupBy("row_id").agg(F.count("*").alias("k"), *[F.sum(F.col("weight") * F.col(f"theta_{x.lower()}")).alias(f"s_{x.lower()}") for x in LABELS])
-    joined = rows.select("row_id").join(sums, "row_id", "left").crossJoin(F.broadcast(prior))
+@dataclass(frozen=True)
+class Model:
+    """A vocabulary with the probabilities of its terms - written once, however often it is read - and the priors."""
+
+    vocab: DataFrame
+    prior: DataFrame
+    theta: DataFrame
+    settings: Settings = Settings()
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        """``(term, idf, theta_genuine, theta_scam)``."""
+        return cut(self.vocab.select("term", "idf").join(self.theta, "term"))
+
+
+def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
+    vocab = cut(features.vocabulary(train, settings))
+    return Model(vocab, cut(priors(train)), cut(term_probabilities(train, vocab, settings)), settings)
+
+
+def predict(rows: DataFrame, model: Model) -> DataFrame:
+    """``(row_id, prediction, confidence, known_terms)`` of every row; confidence is the likelier label's percent.
+
+    One join with the model's terms; the norm of a row is taken from the same sums as its scores.
+    """
+    raw = features.raw_weights(rows, model.terms, model.settings)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    sums = raw.groupBy("row_id").agg(F.count("*").alias("k"), *[(F.sum(F.col("w") * F.col(f"theta_{x.lower()}")) / norm).alias(f"s_{x.lower()}") for x in LABELS])
+    joined = rows.select("row_id").join(sums, "row_id", "left").crossJoin(F.broadcast(model.prior))
     score = {x: F.coalesce(F.col(f"s_{x.lower()}"), F.lit(0.0)) + F.col(f"prior_{x.lower()}") for x in LABELS}
     gap = score["Scam"] - score["Genuine"]
     share = 1 / (1 + F.exp(-F.abs(gap)))
     return joined.select("row_id", F.when(gap > 0, "Scam").otherwise("Genuine").alias("prediction"), F.bround(share * 100, 1).alias("confidence"), F.coalesce("k", F.lit(0)).alias("known_terms"))
 
 
-def check_model(vocab: DataFrame, prior: DataFrame, theta: DataFrame) -> None:
+def check_model(model: Model) -> None:
     """A stored model must have priors of both labels and probabilities of just the vocabulary's terms."""
-    row = prior.first()
+    row = model.prior.first()
     if row is None or any(row[f"prior_{x.lower()}"] is None for x in LABELS):
         raise ValueError("the model lacks a label")
-    missing = vocab.join(theta, "term", "left_anti").count() + theta.join(vocab, "term", "left_anti").count()
+    missing = model.vocab.join(model.theta, "term", "left_anti").count() + model.theta.join(model.vocab, "term", "left_anti").count()
     if missing:
         raise ValueError(f"{missing} terms are not in both the vocabulary and the model")
 
@@ -57,9 +85,7 @@ def cross_validate(df: DataFrame, k: int = 5, settings: Settings = Settings()) -
     out = None
     for fold in range(k):
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        vocab = features.vocabulary(train, settings)
-        theta = term_probabilities(train, features.weights(train, vocab, settings))
-        judged = predict(test, features.weights(test, vocab, settings), priors(train), theta).join(test.select("row_id", "status"), "row_id")
+        judged = predict(test, fit(train, settings)).join(test.select("row_id", "status"), "row_id")
         one = metrics.weighted_f1(judged).select(F.lit(fold).alias("fold"), "f1")
         out = one if out is None else out.unionByName(one)
     return out

@@ -3,6 +3,10 @@
 Fitted on the train rows only; the norm is taken after terms outside the vocabulary are gone, and a
 row without known terms has no entries. Null and empty texts have no terms; repeated rows each have
 their own. Sizes of the corpus are one-row relations, so nothing is collected.
+
+Texts are placed by row before they are taken apart, so that counting a row's terms, and taking its
+norm where the vocabulary is small enough to be sent to the tasks, shuffles no postings: those are
+many times the size of the texts.
 """
 
 from __future__ import annotations
@@ -13,13 +17,14 @@ from pyspark.sql import functions as F
 
 from paigham.config import Settings
 from paigham.functions.text import runs, tokens
+from paigham.storage import by_row
 
 
-def terms(df: DataFrame, column: str = "cleaned_msg", n: int = 2) -> DataFrame:
-    """``(row_id, term, tf)``: one- to ``n``-word terms of each text, counted within the row's own record."""
-    words = F.filter(tokens(F.col(column)), lambda t: F.length(t) >= 2)
-    rows = df.where(F.col(column).isNotNull()).select("row_id", words.alias("_words"))
-    return rows.select("row_id", F.explode(runs(F.col("_words"), n)).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+def terms(df: DataFrame, column: str = "cleaned_msg", n: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(row_id, term, tf)`` and the columns to carry: one- to ``n``-word terms of each text, counted where the row lies."""
+    rows = by_row(df.where(F.col(column).isNotNull()).select("row_id", *carry, F.col(column).alias("_text")))
+    split = rows.select("row_id", *carry, F.filter(tokens(F.col("_text")), lambda t: F.length(t) >= 2).alias("_words"))
+    return split.select("row_id", *carry, F.explode(runs(F.col("_words"), n)).alias("term")).groupBy("row_id", *carry, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(found: DataFrame) -> DataFrame:
@@ -38,13 +43,18 @@ def vocabulary(train: DataFrame, settings: Settings = Settings(), column: str =
     return out.withColumn("idx", F.row_number().over(W.partitionBy().orderBy("term")) - 1) if index else out
 
 
-def weights(df: DataFrame, vocab: DataFrame, settings: Settings = Settings(), column: str = "cleaned_msg") -> DataFrame:
-    """``(row_id, term, weight)``: normalised weights of the known terms of each row."""
-    known = terms(df, column, settings.ngrams).join(vocab.select("term", "idf"), "term")
+def raw_weights(df: DataFrame, vocab: DataFrame, settings: Settings = Settings(), column: str = "cleaned_msg", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(row_id, term, w)``, the columns to carry and those of the vocabulary: weights before they are divided by the row's norm."""
+    known = terms(df, column, settings.ngrams, carry).join(vocab, "term")
     tf = F.log(F.col("tf")) + 1 if settings.sublinear_tf else F.col("tf")
-    raw = known.select("row_id", "term", (tf * F.col("idf")).alias("w"))
+    return known.withColumn("w", tf * F.col("idf")).drop("tf")
+
+
+def weights(df: DataFrame, vocab: DataFrame, settings: Settings = Settings(), column: str = "cleaned_msg", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(row_id, term, weight)`` and the columns to carry: normalised weights of the known terms of each row."""
+    raw = raw_weights(df, vocab.select("term", "idf"), settings, column, carry)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("row_id")))
-    return raw.select("row_id", "term", (F.col("w") / norm).alias("weight"))
+    return raw.select("row_id", *carry, "term", (F.col("w") / norm).alias("weight"))
 
 
 def sparsity(df: DataFrame, vocab: DataFrame, settings: Settings = Settings()) -> DataFrame:

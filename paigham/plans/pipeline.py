@@ -72,10 +72,10 @@ class Pipeline:
         return out
 
 
-def score(messages: DataFrame, vocab: DataFrame, prior: DataFrame, theta: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def score(messages: DataFrame, model: bayes.Model) -> DataFrame:
     """``(row_id, status, error, prediction, confidence)`` of every message; refused ones have no prediction."""
-    rows = messages.select("row_id", "msg").withColumn("cleaned_msg", preprocess(F.col("msg"), settings))
-    scored = bayes.predict(rows, features.weights(rows, vocab, settings), prior, theta)
+    rows = messages.select("row_id", "msg").withColumn("cleaned_msg", preprocess(F.col("msg"), model.settings))
+    scored = bayes.predict(rows, model)
     joined = rows.join(scored, "row_id")
     status, error = rules.admission(F.col("msg"), F.col("cleaned_msg"), F.col("known_terms"))
     good = F.col("status") == 200

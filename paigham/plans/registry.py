@@ -16,7 +16,7 @@ from paigham.operators import bayes, dedup, features, metrics, quality, rules, s
 from paigham.plans import oracle
 from paigham.plans.pipeline import Pipeline
 from paigham.plans.pipeline import score as score_messages
-from paigham.storage import shared_dir, spread, table
+from paigham.storage import cut, shared_dir, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 PRUNED = Settings(min_df=2, max_df=0.95, max_features=1500)
@@ -43,11 +43,11 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _train(spark: SparkSession, d: str) -> DataFrame:
-    return spread(_processed(spark, d).where("split = 'train' and cleaned_msg is not null"))
+    return _processed(spark, d).where("split = 'train' and cleaned_msg is not null")
 
 
 def _test(spark: SparkSession, d: str) -> DataFrame:
-    return spread(_processed(spark, d).where("split = 'test' and cleaned_msg is not null"))
+    return _processed(spark, d).where("split = 'test' and cleaned_msg is not null")
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -78,30 +78,24 @@ def _text(name: str, column: Callable) -> Query:
 
 def _weights(of: Query) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        vocab = features.vocabulary(_train(spark, d))
+        vocab = cut(features.vocabulary(_train(spark, d)))
         return features.weights(of(spark, d), vocab).select("row_id", "term", F.round("weight", 6).alias("weight"))
 
     return run
 
 
-def _fitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    train = _train(spark, d)
-    vocab = features.vocabulary(train)
-    return vocab, bayes.priors(train), bayes.term_probabilities(train, features.weights(train, vocab))
-
-
 def _theta(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted(spark, d)[2].select("term", F.round("theta_genuine", 6).alias("theta_genuine"), F.round("theta_scam", 6).alias("theta_scam"))
+    train = _train(spark, d)
+    theta = bayes.term_probabilities(train, cut(features.vocabulary(train)))
+    return theta.select("term", F.round("theta_genuine", 6).alias("theta_genuine"), F.round("theta_scam", 6).alias("theta_scam"))
 
 
 def _predict(spark: SparkSession, d: str) -> DataFrame:
-    vocab, prior, theta = _fitted(spark, d)
-    test = _test(spark, d)
-    return bayes.predict(test, features.weights(test, vocab), prior, theta)
+    return bayes.predict(_test(spark, d), bayes.fit(_train(spark, d)))
 
 
 def _score(spark: SparkSession, d: str) -> DataFrame:
-    return score_messages(table(spark, d, "tracker").select(F.col("track_id").alias("row_id"), F.col("sms").alias("msg")), *_fitted(spark, d))
+    return score_messages(table(spark, d, "tracker").select(F.col("track_id").alias("row_id"), F.col("sms").alias("msg")), bayes.fit(_train(spark, d)))
 
 
 def _admission(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Core operators on small tables with nulls, blanks, ties, repeats, clashing columns and no rows."""
 
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,26 +83,24 @@ def test_tfidf_formulas(corpus):
 
 def test_naive_bayes(corpus):
     train, test = corpus.where("split = 'train'"), corpus.where("split = 'test'")
-    vocab = features.vocabulary(train)
-    weighted = features.weights(train, vocab)
-    theta, prior = bayes.term_probabilities(train, weighted), bayes.priors(train)
+    model = bayes.fit(train)
+    theta = model.theta
     sums = theta.agg(F.sum(F.exp("theta_scam")), F.sum(F.exp("theta_genuine"))).first()
     assert math.isclose(sums[0], 1) and math.isclose(sums[1], 1)
-    got = {r["row_id"]: r["prediction"] for r in bayes.predict(test, features.weights(test, vocab), prior, theta).collect()}
+    got = {r["row_id"]: r["prediction"] for r in bayes.predict(test, model).collect()}
     assert got == {7: "Genuine", 8: "Scam"}
     fresh = test.sparkSession.createDataFrame([(1, "claim your prize"), (2, "zqxvjk"), (3, None), (4, ""), (5, "x" * 2001), (6, "!!!")], "row_id bigint, msg string")
-    out = {r["row_id"]: (r["status"], r["prediction"]) for r in score(fresh, vocab, prior, theta).collect()}
+    out = {r["row_id"]: (r["status"], r["prediction"]) for r in score(fresh, model).collect()}
     assert out == {1: (200, "Scam"), 2: (422, None), 3: (400, None), 4: (400, None), 5: (400, None), 6: (400, None)}
 
 
 def test_model_checks_and_folds(corpus):
-    vocab = features.vocabulary(corpus)
-    theta, prior = bayes.term_probabilities(corpus, features.weights(corpus, vocab)), bayes.priors(corpus)
-    bayes.check_model(vocab, prior, theta)
+    model = bayes.fit(corpus)
+    bayes.check_model(model)
     with pytest.raises(ValueError, match="terms"):
-        bayes.check_model(vocab, prior, theta.limit(2))
+        bayes.check_model(replace(model, theta=model.theta.limit(2)))
     with pytest.raises(ValueError, match="label"):
-        bayes.check_model(vocab, bayes.priors(corpus.where("status = 'Scam'").limit(0)), theta)
+        bayes.check_model(replace(model, prior=bayes.priors(corpus.limit(0))))
     scores = bayes.cross_validate(corpus, 2)
     assert scores.count() == 2
     summary = bayes.fold_summary(scores).first()
