@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paigham.operators import ranks
+from paigham.storage import cut
+
 POSITIVE, NEGATIVE = "Scam", "Genuine"
 
 
@@ -57,34 +60,40 @@ def _per_score(df: DataFrame) -> DataFrame:
     return df.where(F.col("status").isin(POSITIVE, NEGATIVE) & F.col("score").isNotNull()).groupBy("score").agg(F.count_if(F.col("status") == POSITIVE).alias("p"), F.count_if(F.col("status") == NEGATIVE).alias("n"))
 
 
-def roc_points(df: DataFrame) -> DataFrame:
+def _steps(df: DataFrame, one_window: int) -> DataFrame:
+    """The steps of the curve, highest score first, with what lies ahead of each and what comes after."""
+    return ranks.running(_per_score(df), F.desc("score"), ("p", "n"), one_window)
+
+
+def roc_points(df: DataFrame, one_window: int = ranks.ONE_WINDOW) -> DataFrame:
     """``(fpr, tpr, threshold)`` from (0, 0) on; points on a straight line between their neighbours are left out.
 
-    One step per distinct score: the ordered window runs over those only.
+    One step per distinct score; no task gets more than ``one_window`` of them.
     """
-    steps = _per_score(df)
-    down = W.partitionBy().orderBy(F.desc("score"))
-    run = steps.select("score", F.sum("p").over(down.rowsBetween(W.unboundedPreceding, 0)).alias("tp"), F.sum("n").over(down.rowsBetween(W.unboundedPreceding, 0)).alias("fp"))
-    zero = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("score"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
+    steps = cut(_steps(df, one_window))
     totals = steps.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    order = W.partitionBy().orderBy(F.col("score").desc_nulls_first())
-    points = zero.unionByName(run).withColumns({"dt": F.col("tp") - F.lag("tp").over(order), "df": F.col("fp") - F.lag("fp").over(order), "nt": F.lead("tp").over(order) - F.col("tp"), "nf": F.lead("fp").over(order) - F.col("fp")})
-    corner = F.col("dt").isNull() | F.col("nt").isNull() | (F.col("dt") * F.col("nf") != F.col("nt") * F.col("df"))
-    return points.where(corner).crossJoin(F.broadcast(totals)).select(_ratio(F.col("fp"), F.col("all_n")).alias("fpr"), _ratio(F.col("tp"), F.col("all_p")).alias("tpr"), F.col("score").alias("threshold"))
+    corner = F.col("next_p").isNull() | (F.col("p") * F.col("next_n") != F.col("next_p") * F.col("n"))
+    run = steps.where(corner).select("score", (F.col("before_p") + F.col("p")).alias("tp"), (F.col("before_n") + F.col("n")).alias("fp"))
+    zero = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("score"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
+    return zero.unionByName(run).crossJoin(F.broadcast(totals)).select(_ratio(F.col("fp"), F.col("all_n")).alias("fpr"), _ratio(F.col("tp"), F.col("all_p")).alias("tpr"), F.col("score").alias("threshold"))
+
+
+def auc_by_rank(df: DataFrame, one_window: int = ranks.ONE_WINDOW) -> DataFrame:
+    """One row: the area under the ROC curve from ranks - how often a positive is above a negative - ties at half."""
+    lost = F.sum(F.col("p") * (F.col("before_n") + F.col("n") / 2))
+    pairs = F.sum("p") * F.sum("n")
+    return _steps(df, one_window).agg(_ratio(pairs - lost, pairs).alias("auc"))
 
 
-def auc_by_rank(df: DataFrame) -> DataFrame:
-    """One row: the area under the ROC curve from ranks, ties at half."""
-    steps = _per_score(df).withColumn("below", F.coalesce(F.sum("n").over(W.partitionBy().orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    won = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
-    return steps.agg(_ratio(won, F.sum("p") * F.sum("n")).alias("auc"))
+def auc_by_trapezoid(df: DataFrame, one_window: int = ranks.ONE_WINDOW) -> DataFrame:
+    """One row: the same area from the trapezoids under the curve's steps."""
+    under = F.sum(F.col("n") * (F.col("before_p") + F.col("p") / 2))
+    return _steps(df, one_window).agg(_ratio(under, F.sum("p") * F.sum("n")).alias("auc"))
 
 
-def auc_by_trapezoid(df: DataFrame) -> DataFrame:
-    """One row: the same area from the curve's points."""
-    order = W.partitionBy().orderBy("fpr", "tpr")
-    points = roc_points(df).select("fpr", "tpr", F.lag("fpr").over(order).alias("x"), F.lag("tpr").over(order).alias("y"))
-    return points.agg(F.coalesce(F.sum((F.col("fpr") - F.col("x")) * (F.col("tpr") + F.col("y")) / 2), F.lit(0.0)).alias("auc"))
+def mean_over_models(compared: DataFrame, metric: str = "f1") -> DataFrame:
+    """One row: the mean of a metric over the models of a comparison, and how many there are."""
+    return compared.agg(F.avg(metric).alias(f"mean_{metric}"), F.count(metric).alias("n_models"))
 
 
 def by_scenario(df: DataFrame, scenario: str = "scenario") -> DataFrame:

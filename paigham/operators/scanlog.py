@@ -6,10 +6,14 @@ written twice count once in summaries; unparseable times sort first; an empty lo
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paigham.operators import ranks
+
 SCAM, GENUINE = "Scam", "Genuine"
 RECENT = 20
 
@@ -68,15 +72,24 @@ def donut(log: DataFrame) -> DataFrame:
 
 
 def next_ids(log: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """New records with ids after the largest there is, in order of ``order``: ranks in two levels.
+    """New records with ids after the largest there is, in order of ``order``, a column of whole numbers.
 
     A single writer is assumed, as concurrent ones would need a transactional sink.
     """
     top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__next_id_top"))
-    bucketed = new.withColumn("__next_id_b", F.floor(F.col(order) / 4096))
-    before = bucketed.groupBy("__next_id_b").agg(F.count("*").alias("__next_id_m")).select("__next_id_b", F.coalesce(F.sum("__next_id_m").over(W.partitionBy().orderBy("__next_id_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__next_id_o"))
-    ranked = bucketed.join(before, "__next_id_b").withColumn("__next_id_r", F.col("__next_id_o") + F.row_number().over(W.partitionBy("__next_id_b").orderBy(order)))
-    return ranked.crossJoin(F.broadcast(top)).withColumn("id", F.col("__next_id_top") + F.col("__next_id_r")).drop("__next_id_b", "__next_id_o", "__next_id_r", "__next_id_top")
+    placed = ranks.ranked(new, order, name="__next_id_rank")
+    return placed.crossJoin(F.broadcast(top)).withColumn("id", F.col("__next_id_top") + F.col("__next_id_rank") + 1).drop("__next_id_rank", "__next_id_top")
+
+
+def append_scans(log: DataFrame, scans: DataFrame, order: str, now: datetime | None = None) -> DataFrame:
+    """Records ready to be appended: the next ids and one UTC stamp with microseconds, ``(id, prediction, confidence, scanned_at)``."""
+    stamp = (now or datetime.now(UTC)).astimezone(UTC).isoformat(timespec="microseconds")
+    return next_ids(log, scans.select(order, "prediction", "confidence"), order).select("id", "prediction", "confidence", F.lit(stamp).alias("scanned_at"))
+
+
+def in_zone(c: Column, zone: str, form: str = "yyyy-MM-dd HH:mm") -> Column:
+    """An ISO time as it is shown in another zone."""
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_micros(micros(c)).cast("timestamp_ntz")), form)
 
 
 def export_rows(log: DataFrame) -> DataFrame:

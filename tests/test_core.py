@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paigham.config import Settings
-from paigham.operators import bayes, dedup, features, metrics, quality, rules, scanlog, split, stats
+from paigham.operators import bayes, dedup, features, metrics, quality, ranks, rules, scanlog, split, stats
 from paigham.plans.pipeline import Pipeline, score
 
 ROWS = [
@@ -214,3 +214,59 @@ def test_registered_models_search_the_whole_grid(spark, sf, monkeypatch, name, c
         registry.queries()[name](spark, sf)
     iterations, searched, k, n_folds = seen.value.args
     assert searched == pytest.approx(costs) and k == n_folds == 5 and iterations >= 1000
+
+
+def test_ranges_give_what_one_window_gives(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice(["Scam", "Genuine"]), "Scam", r.choice([round(r.random(), 2), r.random()])) for _ in range(700)]
+    df = spark.createDataFrame(rows, "status string, prediction string, score double")
+    assert sorted(map(tuple, metrics.roc_points(df).collect()), key=repr) == sorted(map(tuple, metrics.roc_points(df, 0).collect()), key=repr)
+    assert math.isclose(metrics.auc_by_rank(df).first()[0], metrics.auc_by_rank(df, 0).first()[0])
+    better = sum((a > b) + (a == b) / 2 for s, _, a in rows if s == "Scam" for t, _, b in rows if t == "Genuine")
+    want = better / (sum(s == "Scam" for s, *_ in rows) * sum(s == "Genuine" for s, *_ in rows))
+    assert math.isclose(metrics.auc_by_rank(df, 0).first()[0], want) and math.isclose(metrics.auc_by_trapezoid(df, 0).first()[0], want)
+    assert metrics.roc_points(df.limit(0)).count() == 1 and metrics.auc_by_rank(df.limit(0)).first()[0] == 0.0
+
+
+def test_ranks_in_levels(spark):
+    ids = [i * i * 7 % 100_003 for i in range(900)]
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in set(ids)], "row_id bigint, __m string")
+    for bucket in (4096, 10, 2):
+        got = ranks.ranked(df, "row_id", bucket=bucket).collect()
+        assert [x.rank for x in sorted(got, key=lambda x: x.row_id)] == list(range(len(set(ids)))) and got[0].asDict().keys() == {"row_id", "__m", "rank"}
+        within = ranks.ranked(df.withColumnRenamed("__m", "status"), "row_id", ("status",), "r", bucket).collect()
+        for s in "ab":
+            assert [x.r for x in sorted((x for x in within if x.status == s), key=lambda x: x.row_id)] == list(range(sum(x.status == s for x in within)))
+
+
+def test_split_falls_back_and_is_checked(spark):
+    data = [(i, "Scam" if i else "Genuine") for i in range(20)]
+    df = spark.createDataFrame(data, "row_id bigint, status string")
+    got = split.train_test(df)
+    split.check_split(got)
+    assert {x["split"]: x["count"] for x in got.groupBy("split").count().collect()} == {"train": 16, "test": 4}
+    even = df.withColumn("status", F.when(F.col("row_id") % 2 == 0, "Scam").otherwise("Genuine"))
+    assert split.train_test(even).exceptAll(split.stratified(even)).isEmpty()
+    for bad in (got.where("split = 'train'"), got.unionByName(got.withColumn("split", F.lit("test"))), got.withColumn("split", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError, match="not a split"):
+            split.check_split(bad)
+    assert split.train_test(df.limit(0)).count() == 0
+
+
+def test_scans_are_appended_with_ids_and_a_stamp(spark):
+    from datetime import datetime, timedelta, timezone
+
+    log = spark.createDataFrame([(5, "Scam", 1.0, "x")], "id bigint, prediction string, confidence double, scanned_at string")
+    new = spark.createDataFrame([(9, "Scam", 80.0, "z"), (2, "Genuine", None, "z")], "k bigint, prediction string, confidence double, more string")
+    now = datetime(2024, 3, 1, 5, 0, 0, 250, timezone(timedelta(hours=5)))
+    got = scanlog.append_scans(log, new, "k", now).orderBy("id").collect()
+    assert [tuple(x) for x in got] == [(6, "Genuine", None, "2024-03-01T00:00:00.000250+00:00"), (7, "Scam", 80.0, "2024-03-01T00:00:00.000250+00:00")]
+    shown = spark.createDataFrame([("2024-03-01T00:00:00Z",), ("soon",)], "t string").select(scanlog.in_zone(F.col("t"), "Asia/Karachi")).collect()
+    assert [x[0] for x in shown] == ["2024-03-01 05:00", None]
+
+
+def test_mean_over_models(spark):
+    rows = spark.createDataFrame([("a", 0.5), ("b", 1.0), ("c", None)], "model string, f1 double")
+    assert metrics.mean_over_models(rows).first().asDict() == {"mean_f1": 0.75, "n_models": 2}
