@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paigham.config import Settings
 from paigham.functions import labels as L
 from paigham.functions import text as X
-from paigham.operators import bayes, dedup, features, metrics, quality, rules, scanlog, split, stats
+from paigham.operators import bayes, dedup, features, metrics, models, quality, rules, scanlog, split, stats
 from paigham.plans import oracle
 from paigham.plans.pipeline import Pipeline
 from paigham.plans.pipeline import score as score_messages
@@ -140,21 +140,18 @@ def _pipeline_report(spark: SparkSession, d: str) -> DataFrame:
     return Pipeline(_raw(spark, d)).report().select(F.to_json(F.struct("*")).alias("report"))
 
 
-def _library(tune: str) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        from paigham.operators import models
-
-        train, test = _train(spark, d).where("status in ('Scam', 'Genuine')"), _test(spark, d).where("status in ('Scam', 'Genuine')")
-        settings = PRUNED
-        vocab = features.vocabulary(train, settings, index=True)
-        size, n = vocab.count(), train.count()
-        fold = split.folds(train, 5).select("row_id", "fold")
-        data = models.vectors(train, features.weights(train, vocab, settings), vocab, size).join(fold, "row_id").cache()
-        fit = models.tune_logistic if tune == "logistic" else models.tune_svm
-        tuned = fit(data, n, fold="fold")
-        return models.predictions(tuned.bestModel, models.vectors(test, features.weights(test, vocab, settings), vocab, size))
+def _tuned(spark: SparkSession, d: str, kind: str) -> tuple[models.Tuned, DataFrame]:
+    """The whole grid of the reference with five folds, and the vectors of the test rows."""
+    train, test = _train(spark, d).where("status in ('Scam', 'Genuine')"), _test(spark, d).where("status in ('Scam', 'Genuine')")
+    vocab = cut(features.vocabulary(train, PRUNED, index=True))
+    folded = train.select("row_id", "status", "cleaned_msg").join(split.folds(train, 5).select("row_id", "fold"), "row_id")
+    data = models.vectors(folded, features.weights(train, vocab, PRUNED), vocab, "fold")
+    tuned = models.tune(data, vocab.count(), models.GRID if kind == "logistic" else models.SVM_GRID, kind=kind)
+    return tuned, models.vectors(test, features.weights(test, vocab, PRUNED), vocab)
 
-    return run
+
+def _linear(kind: str) -> Query:
+    return lambda spark, d: models.predictions(*_tuned(spark, d, kind))
 
 
 def _stream_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -265,8 +262,8 @@ def queries() -> dict[str, Query]:
         "tracker_summary": lambda spark, d: scanlog.tracker_summary(table(spark, d, "tracker")),
         "tracker_tail": lambda spark, d: scanlog.tracker_tail(table(spark, d, "tracker")),
         "pipeline_report": _pipeline_report,
-        "lr_cv": _library("logistic"),
-        "svm_linear": _library("svm"),
+        "lr_cv": _linear("logistic"),
+        "svm_linear": _linear("hinge"),
         "stream_scan_totals": _stream_totals,
     }
 

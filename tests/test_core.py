@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paigham.config import Settings
-from paigham.operators import bayes, dedup, features, metrics, quality, ranks, rules, scanlog, split, stats
+from paigham.operators import bayes, dedup, features, metrics, models, quality, ranks, rules, scanlog, split, stats
 from paigham.plans.pipeline import Pipeline, score
 
 ROWS = [
@@ -198,22 +198,74 @@ def test_pipeline(messages):
     assert strict.report().first()["overlap"]["n_overlap"] == 0
 
 
-@pytest.mark.parametrize(("name", "costs"), [("lr_cv", [0.001, 0.01, 0.1, 1.0, 10.0]), ("svm_linear", [0.1, 1.0, 10.0])])
+@pytest.mark.parametrize(("name", "costs"), [("lr_cv", (0.001, 0.01, 0.1, 1.0, 10.0)), ("svm_linear", (0.1, 1.0, 10.0))])
 def test_registered_models_search_the_whole_grid(spark, sf, monkeypatch, name, costs):
-    from paigham.operators import models
     from paigham.plans import registry
 
     class Seen(Exception):
         pass
 
-    def tuned(estimator, grid, train, fold, k, parallelism):
-        raise Seen(estimator.getMaxIter(), [1 / (next(iter(g.values())) * train.count()) for g in grid], k, train.select(fold).distinct().count())
+    def tuned(data, size, searched=None, k=5, kind="logistic", iterations=1000):
+        raise Seen(searched, k, iterations, data.select("fold").distinct().count(), size)
 
-    monkeypatch.setattr(models, "_tuned", tuned)
+    monkeypatch.setattr(models, "tune", tuned)
     with pytest.raises(Seen) as seen:
         registry.queries()[name](spark, sf)
-    iterations, searched, k, n_folds = seen.value.args
-    assert searched == pytest.approx(costs) and k == n_folds == 5 and iterations >= 1000
+    searched, k, iterations, n_folds, size = seen.value.args
+    assert searched == costs and k == n_folds == 5 and iterations == 1000 and size > 10
+
+
+@pytest.fixture()
+def points(spark):
+    """Rows of six features, two of them telling, and a row without any."""
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for i in range(240):
+        x = {k: r.random() for k in range(6) if r.random() < 0.6}
+        rows.append((i, float(x.get(0, 0) - x.get(1, 0) + r.gauss(0, 0.3) > 0), i % 3, sorted(x), [x[k] for k in sorted(x)]))
+    return spark.createDataFrame([*rows, (999, 1.0, 0, [], [])], "row_id bigint, label double, fold int, i array<int>, v array<double>").repartition(5)
+
+
+@pytest.mark.parametrize("kind", ["logistic", "hinge"])
+def test_models_in_step_are_each_at_their_minimum(points, kind):
+    import numpy as np
+
+    costs, fold = np.array([0.1, 0.1, 5.0]), np.array([-1, 1, 2])
+    weights = models.minimized(points, 6, costs, fold, kind)
+    rows = points.collect()
+    x = np.zeros((len(rows), 7))
+    for at, r in enumerate(rows):
+        x[at, r.i], x[at, 6] = r.v, 1
+    side, folds = np.array([2 * r.label - 1 for r in rows]), np.array([r.fold for r in rows])
+
+    def objective(w, c, f):
+        loss, _ = models._loss((x @ w * side)[folds != f], kind)
+        return (w[:6] @ w[:6]) / 2 / c + loss.sum()
+
+    random = np.random.default_rng(1)
+    for w, c, f in zip(weights, costs, fold, strict=True):
+        least = objective(w, c, f)
+        assert all(objective(w + random.normal(0, s, 7), c, f) >= least - 1e-3 for s in (0.5, 0.05, 0.01) for _ in range(50))
+
+
+def test_tuned_models(points):
+    tuned = models.tune(points, 6, k=3)
+    assert tuned.cost in models.GRID and {c: len(s) for c, s in tuned.scores.items()} == dict.fromkeys(models.GRID, 3)
+    got = models.predictions(tuned, points).collect()
+    assert sum(r.status == r.prediction for r in got) / len(got) > 0.8 and all((r.score > 0.5) == (r.prediction == "Scam") for r in got)
+    empty = models.tune(points.limit(0), 6, costs=(1.0,), k=2)
+    assert not empty.weights.any()
+    with pytest.raises(ValueError, match="max_features"):
+        models.tune(points, models.MOST_WEIGHTS)
+
+
+def test_vectors_keep_rows_without_terms(corpus):
+    vocab = features.vocabulary(corpus, index=True)
+    got = models.vectors(corpus.unionByName(corpus.limit(1).withColumns({"row_id": F.lit(99).cast("bigint"), "cleaned_msg": F.lit(None).cast("string")})), features.weights(corpus, vocab), vocab, "split").collect()
+    assert len(got) == 9 and all(list(r.i) == sorted(r.i) and len(r.i) == len(r.v) for r in got)
+    assert next(r for r in got if r.row_id == 99).i == [] and {r.label for r in got} == {0.0, 1.0}
 
 
 def test_ranges_give_what_one_window_gives(spark):

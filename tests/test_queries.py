@@ -45,6 +45,6 @@ def test_entry(spark, sf):
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"lr_cv", "svm_linear"}))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, sf, name):
     assert entry.queries()[name](spark, sf).columns
