@@ -156,6 +156,12 @@ def shorten(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
 
 
+def console_safe(c: Column, limit: int | None = None) -> Column:
+    """Text that any console shows: other characters than ASCII as question marks, shortened if asked."""
+    safe = F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    return safe if limit is None else shorten(safe, limit)
+
+
 def contains_any(c: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for w in words:

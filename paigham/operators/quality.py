@@ -80,3 +80,11 @@ def describe(df: DataFrame) -> DataFrame:
     """Counts of labels and sources as they are written, only stripped; missing is ``nan``."""
     written = F.explode(F.array(F.struct(F.lit("status").alias("field"), F.coalesce(strip(F.col("status")), F.lit("nan")).alias("value")), F.struct(F.lit("source").alias("field"), F.coalesce(strip(F.col("source")), F.lit("nan")).alias("value"))))
     return df.select(written.alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+
+
+def differences(df: DataFrame, golden: DataFrame, column: str, key: str = "row_id") -> DataFrame:
+    """``(key, found, wanted)`` of rows whose column differs from the golden one's, or that only one table has; nulls are equal."""
+    ours = df.select(key, F.col(column).alias("found"), F.lit(True).alias("_here"))
+    theirs = golden.select(key, F.col(column).alias("wanted"), F.lit(True).alias("_there"))
+    joined = ours.join(theirs, key, "full")
+    return joined.where(F.col("_here").isNull() | F.col("_there").isNull() | ~F.col("found").eqNullSafe(F.col("wanted"))).select(key, "found", "wanted")

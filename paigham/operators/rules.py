@@ -62,10 +62,20 @@ def batch(df: DataFrame, message: str, *predictions: str) -> DataFrame:
     return voted.withColumns({"sms": F.substring(message, 1, 50), "confidence_text": F.format_string("%.0f%%", F.col("confidence")), "risk_score": F.least(score, F.lit(100)), "risk_level": risk_level(score)})
 
 
-def admission(message: Column, cleaned: Column, known_terms: Column | None = None, ready: bool = True, bytes_most: int = 32 * 1024) -> tuple[Column, Column]:
-    """Status and error of a message, the first check that fails; 200 for one that can be scored."""
+def batch_totals(scored: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """One row: messages of a batch, and those of each label."""
+    n, scam = F.count("*"), F.count_if(F.col(prediction) == "Scam")
+    return scored.agg(n.alias("total"), scam.alias("scam"), (n - scam).alias("genuine"))
+
+
+def admission(message: Column, cleaned: Column, known_terms: Column | None = None, ready: bool = True, bytes_most: int = 32 * 1024, is_json: Column | None = None, prediction: Column | None = None) -> tuple[Column, Column]:
+    """Status and error of a message, the first check that fails; 200 for one that can be scored.
+
+    ``is_json`` tells whether a request was sent as JSON, ``prediction`` what the model said: anything but a label is a failure.
+    """
     ladder = [
         (F.coalesce(F.octet_length(message) > bytes_most, F.lit(False)), 413, "request too large"),
+        *([] if is_json is None else [(~F.coalesce(is_json, F.lit(False)), 415, "request is not JSON")]),
         (message.isNull(), 400, "message must be text"),
         (F.length(message) > MAX_LENGTH, 400, "message too long"),
         (strip(message) == "", 400, "message is blank"),
@@ -74,6 +84,8 @@ def admission(message: Column, cleaned: Column, known_terms: Column | None = Non
     ]
     if known_terms is not None:
         ladder.append((F.coalesce(known_terms, F.lit(0)) == 0, 422, "no known words"))
+    if prediction is not None:
+        ladder.append((~F.coalesce(prediction.isin(*lexicon.LABELS), F.lit(False)), 500, "scoring failed"))
     status, error = F, F
     for condition, code, text in ladder:
         status, error = status.when(condition, code), error.when(condition, text)

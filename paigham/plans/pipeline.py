@@ -18,6 +18,10 @@ from paigham.operators import bayes, dedup, features, quality, rules, split, sta
 from paigham.storage import cut
 
 
+class EmptyDatasetError(Exception):
+    """No row is left to prepare."""
+
+
 @dataclass
 class Pipeline:
     """Lazy stages over one table ``(row_id, msg, status, source)``; the prepared table is written once."""
@@ -36,11 +40,14 @@ class Pipeline:
     @cached_property
     def cleaned(self) -> DataFrame:
         done = cut(self.distinct.withColumn("cleaned_msg", preprocess(F.col("msg"), self.settings)).where("cleaned_msg <> ''"))
+        if done.isEmpty():
+            raise EmptyDatasetError("no message with text and label is left")
         return dedup.remove_duplicates(done, self.settings.conflicts, F.col("cleaned_msg")) if self.settings.strict else done
 
     @cached_property
     def split(self) -> DataFrame:
-        return self.cleaned.join(split.stratified(self.cleaned, self.settings.test_size, self.settings.seed).select("row_id", "split"), "row_id")
+        parts = split.train_test(self.cleaned, self.settings.test_size, self.settings.seed).select("row_id", "split")
+        return cut(self.cleaned.join(parts, "row_id"))
 
     @cached_property
     def train(self) -> DataFrame:
@@ -48,7 +55,11 @@ class Pipeline:
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return features.vocabulary(self.train, self.settings)
+        return cut(features.vocabulary(self.train, self.settings))
+
+    @cached_property
+    def model(self) -> bayes.Model:
+        return bayes.fit(self.train, self.settings)
 
     def weights(self, rows: DataFrame) -> DataFrame:
         return features.weights(rows, self.vocabulary, self.settings)
@@ -72,6 +83,23 @@ class Pipeline:
         return out
 
 
+    def examples(self, n: int = 5) -> list[tuple[str, str]]:
+        """A few messages before and after."""
+        return [(r["msg"], r["cleaned_msg"]) for r in self.cleaned.orderBy("row_id").limit(n).collect()]
+
+    def save(self, folder: str) -> dict[str, str]:
+        """The prepared table, its parts, the vocabulary, the model and the report; where each is."""
+        from paigham.sources import sinks, stored
+
+        spark = self.raw.sparkSession
+        sinks.write_csv(self.cleaned.select(*sinks.PREPARED), f"{folder}/cleaned.csv")
+        paths = {"cleaned": f"{folder}/cleaned.csv", **sinks.write_split_csv(self.split, folder), "vocabulary": f"{folder}/vocabulary", "model": f"{folder}/model", "report": f"{folder}/report.json"}
+        stored.save_vocabulary(self.vocabulary, paths["vocabulary"])
+        stored.save_model(self.model, paths["model"])
+        sinks.write_json(spark, paths["report"], self.report().first().asDict(recursive=True) | {"files": paths})
+        return paths
+
+
 def score(messages: DataFrame, model: bayes.Model) -> DataFrame:
     """``(row_id, status, error, prediction, confidence)`` of every message; refused ones have no prediction."""
     rows = messages.select("row_id", "msg").withColumn("cleaned_msg", preprocess(F.col("msg"), model.settings))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paigham.operators import scanlog
+from paigham.sources import worksheets
 
 REQUIRED = ("msg", "status", "source")
 SUFFIXES = (".csv", ".parquet", ".json", ".xlsx", ".xlsm")
@@ -39,15 +40,14 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def _excel(spark: SparkSession, path: str, sheet: str | None) -> DataFrame:
-    try:
-        import pandas as pd
-
-        frame = pd.read_excel(path, sheet_name=sheet or 0, dtype=str)
-    except ImportError as e:
-        raise DatasetError("reading worksheets needs openpyxl") from e
-    except ValueError as e:
-        raise DatasetError(f"no worksheet {sheet!r} in {path}") from e
-    return spark.createDataFrame(frame)
+    """A worksheet as text columns named by its first row. Worksheets have 1,048,576 rows at most, by their format."""
+    rows = worksheets.read(bytes(spark.sparkContext.binaryFiles(path, 1).values().first()), sheet)
+    header, body = ([str(c or "") for c in rows[0]], rows[1:]) if rows else ([], [])
+    if not header:
+        raise DatasetError(f"{path} has no header")
+    width = len(header)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return spark.createDataFrame([tuple((r + [None] * width)[:width]) for r in body], schema)
 
 
 def load_messages(spark: SparkSession, path: str, sheet: str | None = None, rename: dict[str, str] | None = None) -> DataFrame:
@@ -68,6 +68,8 @@ def load_messages(spark: SparkSession, path: str, sheet: str | None = None, rena
             df = _excel(spark, path, sheet)
     except DatasetError:
         raise
+    except worksheets.NoSheet as e:
+        raise DatasetError(f"no worksheet {e} in {path}") from e
     except Exception as e:
         raise DatasetError(f"cannot read {path}: {e}") from e
     for old, new in (rename or {}).items():

@@ -1,6 +1,7 @@
 """The scan log as streams: score and append, running totals, the latest records.
 
-Retries are not deduplicated. A sink that fails is reported to ``on_error`` and does not stop scoring.
+Retries are not deduplicated. A sink that fails is reported to ``on_error`` and does not stop scoring;
+an error of scoring itself stops the stream, which takes the batch again when it is restarted.
 """
 
 from __future__ import annotations
@@ -41,12 +42,17 @@ def append_scored(messages: DataFrame, score: Callable[[DataFrame], DataFrame],
     """Scores each batch and appends the records with status 200."""
 
     def write(batch: DataFrame, _: int) -> None:
+        scored = score(batch).where("status = 200").persist()
         try:
-            score(batch).where("status = 200").write.mode("append").parquet(path)
-        except Exception as e:
-            if on_error is None:
-                raise
-            on_error(e)
+            scored.count()  # scored here, where an error stops the stream and the batch is not lost
+            try:
+                scored.write.mode("append").parquet(path)
+            except Exception as e:
+                if on_error is None:
+                    raise
+                on_error(e)
+        finally:
+            scored.unpersist()
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -120,6 +120,10 @@ def test_hosts_of_many_labels(spark):
     assert one(spark, X.replace_urls, [f"x {host}/y z", "b." * 3000 + "odd"]) == ["x urltoken z", "b." * 3000 + "odd"]
 
 
+def test_console_safe(spark):
+    assert one(spark, lambda c: X.console_safe(c, 4), ["čaj 🎉 ok", None, "ab"]) == ["?aj ...", None, "ab"]
+
+
 def test_very_long_text(spark):
     long = "a." * 20_000 + "com " + "x" * 100_000
     assert one(spark, lambda c: F.length(X.preprocess(c)), [long])[0] > 0
