@@ -136,6 +136,34 @@ ONCE = "once AS (SELECT DISTINCT id, prediction, confidence, scanned_at FROM sca
 RECENT = f"{ONCE}, timed AS (SELECT *, {MICROS} AS \"at\" FROM once), latest AS (SELECT * FROM timed ORDER BY \"at\" DESC, id DESC LIMIT 20), placed AS (SELECT row_number() OVER (ORDER BY \"at\", id) AS place, count(*) OVER () AS c, id, prediction, confidence, \"at\" FROM latest)"
 
 
+ADMIT = lambda known: f"CASE WHEN msg IS NULL THEN 400 WHEN strlen(msg) > 32768 THEN 413 WHEN length(msg) > 2000 THEN 400 WHEN {strip('msg')} = '' THEN 400 WHEN coalesce(cleaned_msg, '') = '' THEN 400{known} ELSE 200 END"
+ADMIT_TEXT = lambda known: f"CASE WHEN msg IS NULL THEN 'message must be text' WHEN strlen(msg) > 32768 THEN 'request too large' WHEN length(msg) > 2000 THEN 'message too long' WHEN {strip('msg')} = '' THEN 'message is blank' WHEN coalesce(cleaned_msg, '') = '' THEN 'no usable text'{known} END"
+GRAMS = "list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))"
+SCORED = f"""WITH {BAYES}, m0 AS (SELECT track_id AS row_id, sms AS msg, {clean('sms')} AS x FROM tracker), m1 AS (SELECT row_id, msg, array_to_string({stopped(tokens(spelling('x')))}, ' ') AS cleaned_msg FROM m0),
+m2 AS (SELECT row_id, list_filter({tokens('cleaned_msg')}, lambda t: length(t) >= 2) AS t FROM m1), m3 AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest({GRAMS}) AS term FROM m2) GROUP BY ALL),
+m4 AS (SELECT row_id, (ln(tf) + 1) * idf AS w, theta_genuine, theta_scam FROM m3 JOIN vocab USING (term) JOIN theta USING (term)),
+m5 AS (SELECT row_id, count(*) AS k, sum(w * theta_genuine) / sqrt(sum(w * w)) AS g, sum(w * theta_scam) / sqrt(sum(w * w)) AS s FROM m4 GROUP BY row_id),
+m6 AS (SELECT row_id, msg, cleaned_msg, coalesce(k, 0) AS k, coalesce(s, 0) + prior_scam - coalesce(g, 0) - prior_genuine AS gap FROM m1 LEFT JOIN m5 USING (row_id), prior),
+m7 AS (SELECT row_id, {ADMIT(" WHEN k = 0 THEN 422")} AS status, {ADMIT_TEXT(" WHEN k = 0 THEN 'no known words'")} AS error, gap FROM m6)
+SELECT row_id, status, error, CASE WHEN status = 200 THEN CASE WHEN gap > 0 THEN 'Scam' ELSE 'Genuine' END END AS prediction, CASE WHEN status = 200 THEN round_even(100 / (1 + exp(-abs(gap))), 1) END AS confidence FROM m7"""
+CROSS = f"""WITH base AS (SELECT row_id, status, cleaned_msg FROM processed WHERE split = 'train' AND cleaned_msg IS NOT NULL AND status IN ('Scam', 'Genuine')),
+per AS (SELECT status, count(*) AS n, min(row_id) AS f FROM base GROUP BY status), places AS (SELECT status, n, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM per),
+pos AS (SELECT status, unnest(range(s, s + n)) % 5 AS fold FROM places), sz AS (SELECT status, fold, count(*) AS c FROM pos GROUP BY ALL), ends AS (SELECT status, fold, sum(c) OVER (PARTITION BY status ORDER BY fold) AS high, c FROM sz),
+r AS (SELECT row_id, status, cleaned_msg, row_number() OVER (PARTITION BY status ORDER BY row_id) - 1 AS k FROM base), rows AS (SELECT row_id, r.status, cleaned_msg, fold FROM r JOIN ends ON r.status = ends.status AND k >= high - c AND k < high),
+folds AS (SELECT unnest(range(5)) AS f), d AS (SELECT row_id, status, fold, list_filter({tokens('cleaned_msg')}, lambda t: length(t) >= 2) AS t FROM rows),
+tf AS (SELECT row_id, status, fold, term, count(*) AS tf FROM (SELECT row_id, status, fold, unnest({GRAMS}) AS term FROM d) GROUP BY ALL),
+size AS (SELECT f, count(*) AS n FROM rows JOIN folds ON fold <> f GROUP BY f), vocab AS (SELECT f, term, ln((max(n) + 1) / (count(*) + 1)) + 1 AS idf FROM tf JOIN size ON fold <> f GROUP BY f, term),
+w AS (SELECT f, row_id, status, fold, term, (ln(tf) + 1) * idf AS w FROM tf JOIN vocab USING (term)), wn AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY f, row_id)) AS weight FROM w),
+sums AS (SELECT f, term, sum(CASE WHEN status = 'Genuine' THEN weight ELSE 0 END) AS g, sum(CASE WHEN status = 'Scam' THEN weight ELSE 0 END) AS s FROM wn WHERE fold <> f GROUP BY f, term),
+totals AS (SELECT f, count(*) AS v, sum(g) AS tg, sum(s) AS ts FROM sums GROUP BY f), theta AS (SELECT f, term, ln((g + 1) / (tg + v)) AS theta_genuine, ln((s + 1) / (ts + v)) AS theta_scam FROM sums JOIN totals USING (f)),
+prior AS (SELECT f, ln(count(*) FILTER (status = 'Genuine') / count(*)) AS pg, ln(count(*) FILTER (status = 'Scam') / count(*)) AS ps FROM rows JOIN folds ON fold <> f GROUP BY f),
+sc AS (SELECT f, row_id, sum(weight * theta_genuine) AS g, sum(weight * theta_scam) AS s FROM wn JOIN theta USING (f, term) WHERE fold = f GROUP BY f, row_id),
+judged AS (SELECT rows.fold, status, CASE WHEN coalesce(s, 0) + ps - coalesce(g, 0) - pg > 0 THEN 'Scam' ELSE 'Genuine' END AS prediction FROM rows JOIN prior ON prior.f = fold LEFT JOIN sc ON sc.row_id = rows.row_id AND sc.f = fold),
+c AS (SELECT fold, count(*) FILTER (status = 'Scam' AND prediction = 'Scam') AS tp, count(*) FILTER (status = 'Genuine' AND prediction = 'Scam') AS fp, count(*) FILTER (status = 'Scam' AND prediction = 'Genuine') AS fn, count(*) FILTER (status = 'Genuine' AND prediction = 'Genuine') AS tn FROM judged GROUP BY fold),
+f1 AS (SELECT (2 * tp / (2 * tp + fp + fn) * (tp + fn) + 2 * tn / (2 * tn + fp + fn) * (tn + fp)) / (tp + fp + fn + tn) AS f1 FROM c)
+SELECT min(f1) AS low, max(f1) AS high, avg(f1) AS mean, stddev_pop(f1) AS spread FROM f1"""
+
+
 TEXT_OR_NAN = strip("coalesce(msg, 'nan')")
 
 
@@ -153,6 +181,26 @@ def _nested(inner: str, outer: str) -> str:
     return f"WITH a AS (SELECT row_id, {inner} AS x FROM processed) SELECT row_id, {outer} AS cleaned FROM a"
 
 
+def _pipeline(quota: str) -> str:
+    """The pipeline's counters, stage by stage, each from the rows of the stage before."""
+    stage = lambda name, columns: ", ".join(f"{name}.{c} AS {name}_{c}" for c in columns.split())
+    return f"""WITH {GROUPS}, validation AS (SELECT * FROM ({_quality('drop')})),
+invalid AS (SELECT count(*) FILTER (msg IS NULL) AS missing, count(*) FILTER (msg IS NOT NULL AND {strip('msg')} = '') AS empty, count(*) FILTER (status IS NULL) AS bad_label, count(*) FILTER (msg IS NOT NULL AND {strip('msg')} <> '' AND status IS NOT NULL) AS kept FROM labelled),
+duplicates AS (SELECT coalesce(sum(CASE WHEN clash THEN 0 ELSE n - 1 END), 0)::BIGINT AS duplicates_removed, count(*) FILTER (clash) AS conflicting_keys, coalesce(sum(CASE WHEN clash THEN n ELSE 0 END), 0)::BIGINT AS conflicting_rows_removed, count(*) FILTER (NOT clash) AS rows_left FROM groups),
+c0 AS (SELECT row_id, status, source, {clean('msg')} AS x FROM valid JOIN groups ON row_id = f WHERE NOT clash),
+cleaned AS (SELECT * FROM (SELECT row_id, status, source, array_to_string({stopped(tokens(spelling('x')))}, ' ') AS cleaned_msg FROM c0) WHERE cleaned_msg <> ''),
+tg AS (SELECT cleaned_msg, count(*) AS n FROM cleaned GROUP BY 1), templates AS (SELECT count(*) AS unique_texts, sum(n - 1)::BIGINT AS duplicate_rows, count(*) FILTER (n > 1) AS groups, coalesce(max(n) FILTER (n > 1), 0) AS largest FROM tg),
+statistics AS (SELECT count(*) AS total, count(*) FILTER (status = 'Scam') AS scam, count(*) FILTER (status = 'Genuine') AS genuine, count(*) FILTER (source = 'Authentic') AS authentic, count(*) FILTER (source = 'Synthetic') AS synthetic FROM cleaned),
+{quota.replace('FROM processed', 'FROM cleaned')}, pr AS (SELECT row_id, status, row_number() OVER (PARTITION BY status ORDER BY md5('42-' || row_id), row_id) AS rank FROM cleaned),
+parts AS (SELECT cleaned.*, CASE WHEN rank <= n_train THEN 'train' ELSE 'test' END AS split FROM cleaned JOIN pr USING (row_id) JOIN quota ON quota.status = cleaned.status),
+tk AS (SELECT DISTINCT cleaned_msg AS k FROM parts WHERE split = 'train'), ov AS (SELECT count(*) AS n_test, count(k) AS n_overlap FROM parts LEFT JOIN tk ON cleaned_msg = k WHERE split = 'test'),
+overlap AS (SELECT n_test, n_overlap, CASE WHEN n_test > 0 THEN round_even(n_overlap / n_test * 100, 2) ELSE 0.0 END AS percent FROM ov),
+ft AS (SELECT list_filter({tokens('cleaned_msg')}, lambda t: length(t) >= 2) AS t FROM parts WHERE split = 'train'), features AS (SELECT count(DISTINCT term) AS n_features FROM (SELECT unnest({GRAMS}) AS term FROM ft))
+SELECT {stage('validation', 'total_rows missing_messages empty_messages missing_labels invalid_labels duplicate_rows conflicting_keys surviving_rows')}, {stage('invalid', 'missing empty bad_label kept')}, {stage('duplicates', 'duplicates_removed conflicting_keys conflicting_rows_removed rows_left')},
+{stage('templates', 'unique_texts duplicate_rows groups largest')}, {stage('statistics', 'total scam genuine authentic synthetic')}, {stage('overlap', 'n_test n_overlap percent')}, {stage('features', 'n_features')}
+FROM validation, invalid, duplicates, templates, statistics, overlap, features"""
+
+
 def sql() -> dict[str, str]:
     histogram = f"""WITH sized AS (SELECT 'raw' AS text, len({tokens('msg')}) AS x FROM processed WHERE msg IS NOT NULL UNION ALL SELECT 'cleaned', len({tokens('cleaned_msg')}) FROM processed WHERE cleaned_msg IS NOT NULL),
 ends AS (SELECT text, min(x) AS low, max(x) AS high FROM sized GROUP BY text)
@@ -224,6 +272,13 @@ r AS (SELECT row_id, status, row_number() OVER (PARTITION BY status ORDER BY row
         "nb_theta": f"WITH {BAYES} SELECT term, round(theta_genuine, 6) AS theta_genuine, round(theta_scam, 6) AS theta_scam FROM theta",
         "nb_predict": f"WITH {BAYES}, s AS (SELECT row_id, count(*) AS k, sum(weight * theta_genuine) AS g, sum(weight * theta_scam) AS s FROM weights JOIN theta USING (term) WHERE split = 'test' GROUP BY row_id), j AS (SELECT row_id, coalesce(k, 0) AS known_terms, coalesce(s, 0) + prior_scam - coalesce(g, 0) - prior_genuine AS gap FROM docs LEFT JOIN s USING (row_id), prior WHERE split = 'test') SELECT row_id, CASE WHEN gap > 0 THEN 'Scam' ELSE 'Genuine' END AS prediction, round_even(100 / (1 + exp(-abs(gap))), 1) AS confidence, known_terms FROM j",
         "score_admission": f"SELECT row_id, CASE WHEN msg IS NULL THEN 400 WHEN strlen(msg) > 32768 THEN 413 WHEN length(msg) > 2000 THEN 400 WHEN {strip('msg')} = '' THEN 400 WHEN coalesce(cleaned_msg, '') = '' THEN 400 ELSE 200 END AS code, CASE WHEN msg IS NULL THEN 'message must be text' WHEN strlen(msg) > 32768 THEN 'request too large' WHEN length(msg) > 2000 THEN 'message too long' WHEN {strip('msg')} = '' THEN 'message is blank' WHEN coalesce(cleaned_msg, '') = '' THEN 'no usable text' END AS error FROM processed",
+        "score_messages": SCORED,
+        "nb_cv": CROSS,
+        "pipeline_report": _pipeline(quota),
+        "batch_totals": f"WITH {VOTED} SELECT count(*) AS total, count(*) FILTER (prediction = 'Scam') AS scam, count(*) FILTER (prediction <> 'Scam') AS genuine FROM voted",
+        "console_safe": "SELECT row_id, CASE WHEN length(msg) > 60 THEN left(regexp_replace(msg, '[^\\x00-\\x7F]', '?', 'g'), 60) || '...' ELSE regexp_replace(msg, '[^\\x00-\\x7F]', '?', 'g') END AS shown FROM processed",
+        "scan_local_time": f"WITH t AS (SELECT id, {MICROS} AS us FROM scan_log) SELECT id, strftime(make_timestamp(us) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') AS shown FROM t",
+        "stream_scan_totals": "SELECT count(*) AS total, count(*) FILTER (prediction = 'Scam') AS scam FROM scan_log",
         "keyword_risk": f"WITH s AS (SELECT row_id, {risk('msg')} AS s FROM processed) SELECT row_id, least(s, 100) AS risk_score, {level('s')} AS risk_level FROM s",
         "keyword_hits": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS category, array_to_string(list_filter({list(w)!r}, lambda w: contains(lower(msg), w)), ',') AS words FROM processed WHERE msg IS NOT NULL" for c, w in lexicon.RISK_KEYWORDS.items()) + ") WHERE words <> ''",
         "expected_label": f"SELECT row_id, {expected('msg')} AS label FROM processed",
@@ -244,6 +299,10 @@ r AS (SELECT row_id, status, row_number() OVER (PARTITION BY status ORDER BY row
 c AS (SELECT model, place, count(*) FILTER (s = 'Scam' AND p = 'Scam') AS tp, count(*) FILTER (s = 'Genuine' AND p = 'Scam') AS fp, count(*) FILTER (s = 'Scam' AND p = 'Genuine') AS fn, count(*) FILTER (s = 'Genuine' AND p = 'Genuine') AS tn FROM long GROUP BY ALL),
 m AS (SELECT model, place, (tp + tn) / (tp + fp + fn + tn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c)
 SELECT model, accuracy, precision, recall, f1, CAST(row_number() OVER (ORDER BY f1 DESC, place) AS INT) AS rank FROM m""",
+        "mean_over_models": f"""WITH {CASES}, long AS (SELECT 'by_risk' AS model, 0 AS place, expected AS s, by_risk AS p FROM cases UNION ALL SELECT 'by_words', 1, expected, by_words FROM cases UNION ALL SELECT 'by_links', 2, expected, by_links FROM cases),
+c AS (SELECT model, place, count(*) FILTER (s = 'Scam' AND p = 'Scam') AS tp, count(*) FILTER (s = 'Genuine' AND p = 'Scam') AS fp, count(*) FILTER (s = 'Scam' AND p = 'Genuine') AS fn, count(*) FILTER (s = 'Genuine' AND p = 'Genuine') AS tn FROM long GROUP BY ALL),
+m AS (SELECT model, place, (tp + tn) / (tp + fp + fn + tn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c)
+SELECT avg(f1) AS mean_f1, count(f1) AS n_models FROM m""",
         "scan_validate": f"SELECT count(*) AS n, count(*) FILTER (id IS NULL OR id < 1) AS bad_id, count(id) - count(DISTINCT id) AS repeated_id, count(*) FILTER (NOT coalesce(prediction IN ('Scam', 'Genuine'), false)) AS bad_prediction, count(*) FILTER (confidence IS NOT NULL AND NOT (confidence BETWEEN 0 AND 100)) AS bad_confidence, count(*) FILTER (({MICROS}) IS NULL) AS bad_time FROM scan_log",
         "scan_summary": f"WITH {ONCE}, c AS (SELECT count(*) AS total, count(*) FILTER (prediction = 'Scam') AS scam FROM once) SELECT total, scam, total - scam AS authentic, CASE WHEN total > 0 THEN round_even(scam / total * 100, 1) ELSE 0 END AS scam_percent, CASE WHEN total > 0 THEN round_even((total - scam) / total * 100, 1) ELSE 0 END AS authentic_percent FROM c",
         "scan_recent20": f"WITH {RECENT} SELECT CAST(place AS INT) AS place, id, prediction, confidence, \"at\" FROM placed",

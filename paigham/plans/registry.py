@@ -137,7 +137,8 @@ def _ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pipeline_report(spark: SparkSession, d: str) -> DataFrame:
-    return Pipeline(_raw(spark, d)).report().select(F.to_json(F.struct("*")).alias("report"))
+    report = Pipeline(_raw(spark, d)).report()
+    return report.select(*[F.col(f"{stage.name}.{c}").alias(f"{stage.name}_{c}") for stage in report.schema for c in stage.dataType.names])
 
 
 def _tuned(spark: SparkSession, d: str, kind: str) -> tuple[models.Tuned, DataFrame]:
@@ -243,6 +244,8 @@ def queries() -> dict[str, Query]:
         "display_formats": lambda spark, d: table(spark, d, "tracker").select("track_id", X.sentence_case(F.lower("risk_level")).alias("level"), X.thousands(F.col("row_id")).alias("number"), F.upper("prediction").alias("label")),
         "final_verdict": _verdicts,
         "batch_detect": _batch,
+        "batch_totals": lambda spark, d: rules.batch_totals(rules.ensemble(_cases(spark, d), "by_risk", "by_words", "by_links")),
+        "console_safe": lambda spark, d: _processed(spark, d).select("row_id", X.console_safe(F.col("msg"), 60).alias("shown")),
         "confusion": _over(_judged, metrics.confusion),
         "prf": _over(_judged, metrics.scores),
         "classification_report": _over(_judged, metrics.classification_report),
@@ -258,6 +261,8 @@ def queries() -> dict[str, Query]:
         "scan_display": _over(_log, scanlog.display),
         "donut_arcs": _over(_log, scanlog.donut),
         "scan_ids": _ids,
+        "scan_local_time": lambda spark, d: _log(spark, d).select("id", scanlog.in_zone(F.col("scanned_at"), "Asia/Karachi").alias("shown")),
+        "mean_over_models": lambda spark, d: metrics.mean_over_models(_comparison(spark, d)),
         "export_parts": _over(_log, scanlog.export_rows),
         "tracker_summary": lambda spark, d: scanlog.tracker_summary(table(spark, d, "tracker")),
         "tracker_tail": lambda spark, d: scanlog.tracker_tail(table(spark, d, "tracker")),
