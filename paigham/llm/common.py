@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Maximal runs of letters and digits, the words of TESTDATA.md (after lower-casing).
@@ -32,8 +32,3 @@ def word_hashes(c: Column) -> Column:
 def key128(c: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of a text: equal texts, equal keys; others differ but with chance 2^-128."""
     return F.xxhash64(c), F.xxhash64(F.lit(0x5EED), c)
-
-
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns: further columns of the input cannot clash with ours."""
-    return df.select(*names)
