@@ -118,7 +118,7 @@ def _direction(g: np.ndarray, history: list[tuple[np.ndarray, np.ndarray]]) -> n
     return -q
 
 
-def minimized(data: DataFrame, size: int, costs: np.ndarray, fold: np.ndarray, kind: str, iterations: int = 1000, tolerance: float = 1e-5) -> np.ndarray:
+def minimized(data: DataFrame, size: int, costs: np.ndarray, fold: np.ndarray, kind: str, iterations: int = 1000, tolerance: float = 1e-4) -> np.ndarray:
     """Weights of models in step: of each the penalty and the fold that it does not see."""
     if size * len(costs) > MOST_WEIGHTS:
         raise ValueError(f"{len(costs)} models of {size} features are too many for the driver: use max_features")
@@ -153,7 +153,7 @@ def minimized(data: DataFrame, size: int, costs: np.ndarray, fold: np.ndarray, k
             less = f[m] - f2[m]
             w[m], f[m], g[m], t[m] = tried[m], f2[m], g2[m], 1.0
             d[m] = _direction(g[m], history[m])
-            going[m] = np.abs(g[m]).max() > tolerance and less > 1e-9 * max(1.0, f[m])
+            going[m] = np.abs(g[m]).max() > tolerance and less > 1e-7 * max(1.0, f[m])
     return w
 
 

@@ -233,7 +233,7 @@ def test_models_in_step_are_each_at_their_minimum(points, kind):
     import numpy as np
 
     costs, fold = np.array([0.1, 0.1, 5.0]), np.array([-1, 1, 2])
-    weights = models.minimized(points, 6, costs, fold, kind)
+    weights = models.minimized(points, 6, costs, fold, kind, tolerance=1e-5)
     rows = points.collect()
     x = np.zeros((len(rows), 7))
     for at, r in enumerate(rows):

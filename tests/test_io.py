@@ -223,3 +223,16 @@ def test_tracker_without_state(spark, tmp_path):
 def test_settings_survive_storage():
     plain = stored._plain(replace(Settings(), max_features=7))
     assert stored._settings(json.loads(json.dumps(plain))) == replace(Settings(), max_features=7)
+
+
+def test_cuts_are_deleted(spark):
+    from pathlib import Path
+
+    from paigham import storage
+
+    kept, dropped = (storage.cut(spark.range(5)) for _ in range(2))
+    folder = lambda df: Path(df.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    first, second = folder(kept), folder(dropped)
+    storage.drop_cut(dropped)
+    assert first.exists() and not second.exists() and kept.count() == 5
+    assert storage.drop_cuts(spark) >= 2 and not first.exists() and storage.drop_cuts(spark) == 0
