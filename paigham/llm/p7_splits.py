@@ -6,8 +6,8 @@ the edges are contracted; a hub with a third of all edges only ever takes part i
 The neighbour is the one with the least hash of the round, so whatever the keys a share of them goes
 with every round, and the number of rounds follows the logarithm of theirs. Keys are told apart by 123 bits.
 The components' label vectors then go through grouped iterative stratification: components with the
-rarest outstanding label first, into the split that needs that label most. The few large components
-are placed one by one; small ones of the same vector are placed in bulk and told apart by their seeded rank.
+rarest outstanding label first, into the split that needs that label most. Large components are placed
+one by one; small ones of the same vector take their turn together and are told apart by their seeded rank.
 
 Defined results: null, empty and blank keys link nothing; a row without keys is its own component;
 ties go to the smallest ``row_id``; further columns are ignored; an empty table gives none.
@@ -100,42 +100,57 @@ def found(df: DataFrame, senders: DataFrame) -> DataFrame:
     return grouped(df, senders).where("row_id <> first_row_id").select("first_row_id", "row_id")
 
 
-def _place(needs: dict[str, list[float]], vector: list[float]) -> str:
-    """The split for one component: it needs the component's rarest outstanding label most, then any label most."""
-    present = [k for k, v in enumerate(vector) if v > 0]
-    rarest = min(present, key=lambda k: (max(0.0, sum(n[k] for n in needs.values())), k))
-    best = max(needs, key=lambda s: (needs[s][rarest], sum(needs[s]), s))
+def _need(needs: dict[str, list[float]], label: int) -> dict[str, float]:
+    """How much of a label each split still needs."""
+    return {s: max(0.0, n[label]) for s, n in needs.items()}
+
+
+def _place(needs: dict[str, list[float]], vector: list[float], label: int) -> str:
+    """The split for one component: it needs the label most, then any label most."""
+    best = max(needs, key=lambda s: (needs[s][label], sum(needs[s]), s))
     for k, v in enumerate(vector):
         needs[best][k] -= v
     return best
 
 
+def _place_many(needs: dict[str, list[float]], count: int, vector: list[float], label: int, shares: dict[str, float]) -> dict[str, int]:
+    """How many components of one class go to each split: in proportion to what the splits still need of the label, by largest remainders."""
+    want = {s: min(x, max(0.0, sum(needs[s]))) for s, x in _need(needs, label).items()}
+    if not sum(want.values()):
+        want = dict(shares)
+    exact = {s: count * w / sum(want.values()) for s, w in want.items()}
+    given = {s: int(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (given[s] - exact[s], s))[: count - sum(given.values())]:
+        given[s] += 1
+    for s, n in given.items():
+        for k, v in enumerate(vector):
+            needs[s][k] -= n * v / count
+    return given
+
+
 def _plan(large: Iterable, classes: Iterable, shares: dict[str, float], totals: list[float]) -> tuple[dict, list[tuple]]:
-    """Places of the large components, and of each class of small ones the ranks that go to each split."""
+    """Places of the large components, and of each class of small ones the ranks that go to each split.
+
+    Turn by turn the label of which the fewest rows are outstanding: its components, the largest first,
+    each alone or a class of equal ones together; then what is outstanding is counted anew.
+    """
     needs = {s: [share * t for t in totals] for s, share in shares.items()}
-    order = lambda vector: min((totals[k], k) for k, v in enumerate(vector) if v > 0)
-    placed = {}
-    for root, vector in sorted(large, key=lambda x: (order(x[1]), -sum(x[1]), x[0])):
-        placed[root] = _place(needs, list(vector))
-    ranges = []
-    for name, count, vector in sorted(classes, key=lambda x: (order(x[2]), -sum(x[2]), x[0])):
-        mean = [v / count for v in vector]
-        present = [k for k, v in enumerate(vector) if v > 0]
-        rarest = min(present, key=lambda k: (max(0.0, sum(n[k] for n in needs.values())), k))
-        want = {s: max(0.0, min(n[rarest], sum(n))) for s, n in needs.items()}
-        if not sum(want.values()):
-            want = dict(shares)
-        exact = {s: count * w / sum(want.values()) for s, w in want.items()}
-        given = {s: int(x) for s, x in exact.items()}
-        for s in sorted(exact, key=lambda s: (given[s] - exact[s], s))[: count - sum(given.values())]:
-            given[s] += 1
-        at = 0
-        for s, n in given.items():
-            for k, m in enumerate(mean):
-                needs[s][k] -= n * m
-            if n:
-                ranges.append((name, at, at + n, s))
-            at += n
+    waiting = [(root, 1, list(vector), True) for root, vector in large] + [(name, count, list(vector), False) for name, count, vector in classes]
+    placed, ranges = {}, []
+    while waiting:
+        outstanding = [sum(v[k] for _, _, v, _ in waiting) for k in range(len(totals))]
+        label = min((k for k, n in enumerate(outstanding) if n > 0), key=lambda k: (outstanding[k], k))
+        turn = sorted((x for x in waiting if x[2][label] > 0), key=lambda x: (-sum(x[2]) / x[1], str(x[0])))
+        waiting = [x for x in waiting if x[2][label] <= 0]
+        for name, count, vector, alone in turn:
+            if alone:
+                placed[name] = _place(needs, vector, label)
+                continue
+            at = 0
+            for s, n in _place_many(needs, count, vector, label, shares).items():
+                if n:
+                    ranges.append((name, at, at + n, s))
+                at += n
     return placed, ranges
 
 

@@ -201,3 +201,24 @@ def test_keys_are_wide(spark):
 
     keys = [r[0] for r in spark.range(2000).select(p7_splits._key("text", F.col("id").cast("string"))).collect()]
     assert len(set(keys)) == 2000 and max(abs(int(k)) for k in keys) > 10**35 and len({int(k) % 10**18 for k in keys}) == 2000
+
+
+def test_rarest_outstanding_label_goes_first():
+    """One label stands in two components only: they go first, whatever the size of the others, and every part gets its share."""
+    large = [(1, [0.0, 400.0, 0.0]), (2, [10.0, 90.0, 0.0]), (3, [2.0, 0.0, 0.0])]
+    classes = [("a", 100, [0.0, 100.0, 0.0]), ("b", 10, [0.0, 0.0, 10.0]), ("c", 8, [8.0, 8.0, 0.0])]
+    shares = {"train": 0.5, "test": 0.5}
+    totals = [20.0, 598.0, 10.0]
+    placed, ranges = p7_splits._plan(large, classes, shares, totals)
+    assert set(placed) == {1, 2, 3} and placed[2] != placed[1]
+    got = {s: [0.0, 0.0, 0.0] for s in shares}
+    for name, _, vector in [(n, 1, v) for n, v in large]:
+        got[placed[name]] = [x + y for x, y in zip(got[placed[name]], vector)]
+    for name, low, high, s in ranges:
+        count, vector = next((c, v) for n, c, v in classes if n == name)
+        got[s] = [x + (high - low) * y / count for x, y in zip(got[s], vector)]
+    assert [sum(x) for x in zip(*got.values())] == totals and abs(got["train"][0] - 10) <= 2 and got["train"][2] == 5
+    for name, count, _ in classes:
+        spans = sorted((low, high) for n, low, high, _ in ranges if n == name)
+        assert spans[0][0] == 0 and spans[-1][1] == count and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert p7_splits._plan([], [], shares, [0.0, 0.0, 0.0]) == ({}, [])
