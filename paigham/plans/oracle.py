@@ -257,6 +257,9 @@ quota AS (SELECT status, n, base + CASE WHEN row_number() OVER (ORDER BY rest DE
         "seeded_sample": "SELECT row_id FROM processed ORDER BY md5('42-' || row_id), row_id LIMIT 25",
         "split_quota": f"WITH {quota} SELECT status, n, n_train::BIGINT AS n_train, (n - n_train)::BIGINT AS n_test FROM quota",
         "stratified_split": f"WITH {quota}, r AS (SELECT row_id, status, row_number() OVER (PARTITION BY status ORDER BY md5('42-' || row_id), row_id) AS rank FROM processed WHERE status IS NOT NULL) SELECT row_id, status, CASE WHEN rank <= n_train THEN 'train' ELSE 'test' END AS split FROM r JOIN quota USING (status)",
+        "train_test_split": f"WITH {quota}, r AS (SELECT row_id, status, row_number() OVER (PARTITION BY status ORDER BY md5('42-' || row_id), row_id) AS rank FROM processed WHERE status IS NOT NULL) SELECT row_id, status, CASE WHEN rank <= n_train THEN 'train' ELSE 'test' END AS split FROM r JOIN quota USING (status)",
+        "golden_differences": "WITH p AS (" + _nested(clean("msg"), f"array_to_string({stopped(tokens(spelling('x')))}, ' ')") + ") SELECT row_id, cleaned AS found, cleaned_msg AS wanted FROM p JOIN processed USING (row_id) WHERE cleaned IS DISTINCT FROM cleaned_msg",
+        "scan_append": "SELECT row_number() OVER (ORDER BY track_id) + (SELECT coalesce(max(id), 0) FROM scan_log) AS id, prediction, confidence::DOUBLE AS confidence, '2024-03-01T00:00:00.000000+00:00' AS scanned_at FROM tracker",
         "cv_folds": """WITH per AS (SELECT status, count(*) AS n, min(row_id) AS f FROM processed WHERE status IS NOT NULL GROUP BY status), places AS (SELECT status, n, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM per),
 pos AS (SELECT status, unnest(range(s, s + n)) % 5 AS fold FROM places), size AS (SELECT status, fold, count(*) AS c FROM pos GROUP BY ALL), ends AS (SELECT status, fold, sum(c) OVER (PARTITION BY status ORDER BY fold) AS high, c FROM size),
 r AS (SELECT row_id, status, row_number() OVER (PARTITION BY status ORDER BY row_id) - 1 AS k FROM processed WHERE status IS NOT NULL) SELECT row_id, r.status, CAST(fold AS INT) AS fold FROM r JOIN ends ON r.status = ends.status AND k >= high - c AND k < high""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,6 +223,8 @@ def queries() -> dict[str, Query]:
         "split_quota": _over(_processed, split.quotas),
         "stratified_split": _over(_processed, split.stratified),
         "cv_folds": _over(_processed, split.folds),
+        "train_test_split": _over(_processed, split.train_test),
+        "golden_differences": lambda spark, d: quality.differences(_text("cleaned_msg", X.preprocess)(spark, d), _processed(spark, d), "cleaned_msg"),
         "train_test_overlap": _over(_processed, split.overlap),
         "term_frequency": _over(_train, features.terms),
         "document_frequency": lambda spark, d: features.document_frequency(features.terms(_train(spark, d))),
@@ -261,6 +264,7 @@ def queries() -> dict[str, Query]:
         "scan_display": _over(_log, scanlog.display),
         "donut_arcs": _over(_log, scanlog.donut),
         "scan_ids": _ids,
+        "scan_append": lambda spark, d: scanlog.append_scans(_log(spark, d), table(spark, d, "tracker").select("track_id", "prediction", F.col("confidence").cast("double").alias("confidence")), "track_id", datetime(2024, 3, 1, tzinfo=UTC)),
         "scan_local_time": lambda spark, d: _log(spark, d).select("id", scanlog.in_zone(F.col("scanned_at"), "Asia/Karachi").alias("shown")),
         "mean_over_models": lambda spark, d: metrics.mean_over_models(_comparison(spark, d)),
         "export_parts": _over(_log, scanlog.export_rows),
