@@ -1,13 +1,14 @@
 """Problem 8: passages of held-out items inside the corpus.
 
-Every window of a document, as long as the passages that count, has a SimHash of its words. The
-fingerprints of the items' windows are indexed in blocks: two 64-bit fingerprints within ``RADIUS``
-bits agree in at least one of ``RADIUS + 1`` blocks, so looking up each block finds all of them.
-Candidates are verified exactly: a passage if its words are the same, one by one, in the same order, a near
-passage if their weighted shingles of five words are similar enough. Equal windows have equal
-fingerprints, so no passage is missed. The method takes windows as long as the items; a document
-that holds a part of an item would lie beyond any radius then, so windows here have the length of
-the shortest passage that counts.
+Windows of a document have a SimHash of their words, and so have the items'. Fingerprints are indexed
+in blocks: two 64-bit fingerprints within a radius agree in at least one of radius + 1 blocks, so looking up
+each block finds all of them. Candidates are verified exactly: a passage if its words are the
+same, one by one, in the same order, a near passage if their weighted shingles of five words are similar enough.
+
+There are two sizes of windows. Windows of ``WINDOW`` words, the shortest passage that counts, find every
+document that holds a part of an item: equal windows have equal fingerprints, so no passage is missed;
+a window as long as the item would lie beyond any radius there. Windows as long as the items find copies of
+whole items in which some words differ; the radius is as wide as such copies lie apart (a recall of 0.9 at least, see the tests).
 
 The items are a fixed table: its size is checked before it is sent to the tasks, and a larger one
 is looked up in parts, for which the documents' words are written once. Documents take one narrow pass; nothing is shuffled but the cases.
@@ -18,7 +19,7 @@ long texts are read whole; repeated documents each come out; further columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,15 @@ from paigham.storage import cut, spread
 
 WINDOW = 10
 RADIUS = 3
+#: The same for windows as long as the items, of which there are few of each length.
+ITEM_RADIUS = 15
 SHINGLE = 5
 SIMILAR = 0.8
 #: Words of items that go to the tasks at once (8 bytes each, and as much for each of five indexes).
 MOST_WORDS = 2_000_000
 CHUNK = 60_000
+#: Candidates compared at once.
+AT_ONCE = 5_000
 PRIME = np.uint64(0x100000001B3)
 
 
@@ -49,14 +54,18 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def simhashes(words: np.ndarray, size: int = WINDOW) -> np.ndarray:
+def bit_sums(words: np.ndarray) -> np.ndarray:
+    """Of each bit how many of the words before each place have it."""
+    sums = np.zeros((len(words) + 1, 64), np.int32)
+    np.cumsum(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=sums[1:])
+    return sums
+
+
+def simhashes(words: np.ndarray, size: int = WINDOW, sums: np.ndarray | None = None) -> np.ndarray:
     """The SimHash of each run of ``size`` words: of each bit the majority."""
-    n = len(words) - size + 1
-    if n <= 0:
+    if len(words) < size:
         return np.zeros(0, np.uint64)
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(words) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:])
+    sums = bit_sums(words) if sums is None else sums
     return np.packbits((sums[size:] - sums[:-size]) * 2 > size, axis=1).reshape(-1).view(np.uint64)
 
 
@@ -156,8 +165,44 @@ def _match(items: Items):
     return run
 
 
-def matches(documents: DataFrame, eval_items: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
-    """``(doc_id, item_id, at, exact)``: windows of items (their first word) that documents hold."""
+def _match_whole(sized: list[Items]):
+    """Windows as long as the items against those, length by length; of each document and item the most similar one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.uint64)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            record = np.repeat(np.arange(len(ids)), np.diff(offsets))
+            best: dict[tuple[int, int], float] = {}
+            for start in range(0, len(flat), CHUNK):
+                longest = max((i.window for i in sized), default=0)
+                words, of = flat[start : start + CHUNK + longest - 1], record[start : start + CHUNK + longest - 1]
+                sums, shingles = bit_sums(words), window_hashes(words, SHINGLE)
+                for items in sized:
+                    size = items.window
+                    n = min(CHUNK, len(words) - size + 1)
+                    if n <= 0:
+                        continue
+                    whole = np.flatnonzero(of[:n] == of[size - 1 : size - 1 + n])
+                    left, right = items.near(simhashes(words[: n + size - 1], size, sums[: n + size])[whole])
+                    left = whole[left]
+                    rows = np.lib.stride_tricks.sliding_window_view(shingles, size - SHINGLE + 1)
+                    for k in range(0, len(left), AT_ONCE):
+                        some = slice(k, k + AT_ONCE)
+                        alike = items.similarity(rows[left[some]], items.shingles[right[some]])
+                        for d, i, x in zip(ids[of[left[some]]].tolist(), items.item[right[some]].tolist(), alike.tolist(), strict=True):
+                            if x >= SIMILAR and x > best.get((d, i), 0.0):
+                                best[d, i] = x
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in best], pa.int64()), pa.array([i for _, i in best], pa.int64()), pa.array(best.values(), pa.float64())], ["doc_id", "item_id", "similarity"])
+
+    return run
+
+
+def _looked_up(documents: DataFrame, eval_items: DataFrame, match: Callable, schema: str, most_words: int) -> DataFrame:
+    """The documents' words against the items, in as many parts as their size asks for; ``match`` makes the pass of a part."""
     words = word_hashes(F.col("text"))
     listed = eval_items.select("item_id", "text").where(has_text(F.col("text"))).select("item_id", words.alias("words"))
     total = listed.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
@@ -168,19 +213,35 @@ def matches(documents: DataFrame, eval_items: DataFrame, most_words: int = MOST_
     out: DataFrame | None = None
     for k in range(parts):
         rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
-        items = Items([r["item_id"] for r in rows], [np.array(r["words"], np.int64) for r in rows])
-        found = docs.mapInArrow(_match(items), "doc_id bigint, item_id bigint, at bigint, exact boolean")
+        found = docs.mapInArrow(match([r["item_id"] for r in rows], [np.array(r["words"], np.int64) for r in rows]), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def matches(documents: DataFrame, eval_items: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """``(doc_id, item_id, at, exact)``: windows of items (their first word) that documents hold."""
+    return _looked_up(documents, eval_items, lambda ids, texts: _match(Items(ids, texts)), "doc_id bigint, item_id bigint, at bigint, exact boolean", most_words)
+
+
+def copies(documents: DataFrame, eval_items: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """``(doc_id, item_id, similarity)``: documents that hold the whole of an item, or nearly; similarity is that of weighted shingles."""
+
+    def match(ids: list[int], texts: list[np.ndarray]):
+        lengths = sorted({len(t) for t in texts if len(t) >= WINDOW})
+        return _match_whole([Items([i for i, t in zip(ids, texts, strict=True) if len(t) == n], [t for t in texts if len(t) == n], n, ITEM_RADIUS) for n in lengths])
+
+    found = _looked_up(documents, eval_items, match, "doc_id bigint, item_id bigint, similarity double", most_words)
+    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
 def found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """``(doc_id, item_id)``: the document holds ten consecutive words of the item."""
     return matches(documents, eval_items).where("exact").select("doc_id", "item_id").distinct()
 
 
 def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """Of each affected document and item: windows found, exact ones, and the share of the item's windows."""
+    """Of each affected document and item: windows found, exact ones, the share of the item's windows, and how similar the most similar whole copy is."""
     sizes = eval_items.select("item_id", F.greatest(F.size(word_hashes(F.col("text"))) - WINDOW + 1, F.lit(1)).alias("windows"))
     hits = matches(documents, eval_items).groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("n_windows"), F.count_distinct(F.when(F.col("exact"), F.col("at"))).alias("n_exact"))
-    return hits.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "n_exact", (F.col("n_windows") / F.col("windows")).alias("coverage"))
+    both = hits.join(copies(documents, eval_items), ["doc_id", "item_id"], "full").na.fill(0, ["n_windows", "n_exact"])
+    return both.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "n_exact", (F.col("n_windows") / F.col("windows")).alias("coverage"), "similarity")

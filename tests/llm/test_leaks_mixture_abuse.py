@@ -39,11 +39,42 @@ def test_leaks(rows):
     docs = [(1, "x " * 300 + " ".join(f"W{i}," for i in range(5, 15)) + " y" * 70_000), (2, " ".join(f"w{i}" for i in range(5, 14))), (3, None), (4, ""), (5, base), (6, base), (7, " ".join(f"w{i}" for i in range(4)) + " odd " + " ".join(f"w{i}" for i in range(4, 12)))]
     d, e = rows("doc_id bigint, text string", docs), rows("item_id bigint, text string", items)
     assert pairs(p8_leaks.found(d, e)) == leak_truth(docs, items) == [(1, 1), (5, 1), (6, 1)]
-    assert {r.doc_id: r.coverage for r in p8_leaks.leaks(d, e).collect()}[5] == 1.0
+    leaked = {r.doc_id: r for r in p8_leaks.leaks(d, e).collect()}
+    assert leaked[5].coverage == 1.0 == leaked[5].similarity and leaked[1].similarity is None
+    assert p8_leaks.leaks(d.limit(0), e).count() == p8_leaks.leaks(d, e.limit(0)).count() == 0
     assert p8_leaks.found(d.limit(0), e).count() == p8_leaks.found(d, e.limit(0)).count() == 0
     assert pairs(p8_leaks.matches(d, e, most_words=20).where("exact").select("doc_id", "item_id").distinct()) == [(1, 1), (5, 1), (6, 1)]
 
 
+def shingle_similarity(a, b, weight):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+    return sum(weight.get(s, 1.0) for s in x & y) / sum(weight.get(s, 1.0) for s in x | y)
+
+
+def test_near_copies_by_brute_force(rows):
+    """Whole items in which words at the ends, or a few inside, differ: nine in ten of the similar ones are found, and only those."""
+    random = np.random.default_rng(11)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(20 + 7 * i))) for i in range(12)]
+    docs = []
+    for d in range(260):
+        words = items[d % 12][1].split()
+        for _ in range(random.integers(0, 5)):
+            place = random.integers(0, len(words)) if random.random() < 0.4 else random.choice([0, 1, len(words) - 2, len(words) - 1])
+            words[place] = f"x{d}y{place}"
+        docs.append((d, " ".join([*(f"p{d}_{k}" for k in range(random.integers(0, 30))), *words, *(f"q{d}_{k}" for k in range(random.integers(0, 30)))])))
+    truth = set()
+    for d, text in docs:
+        words = text.split()
+        for i, item in items:
+            own = item.split()
+            if any(shingle_similarity(words[k : k + len(own)], own, {}) >= p8_leaks.SIMILAR for k in range(len(words) - len(own) + 1)):
+                truth.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in p8_leaks.copies(rows("doc_id bigint, text string", docs), rows("item_id bigint, text string", items)).collect()}
+    assert len(truth) > 100 and got <= truth and len(got) >= 0.9 * len(truth)
+    parts = {(r.doc_id, r.item_id) for r in p8_leaks.copies(rows("doc_id bigint, text string", docs), rows("item_id bigint, text string", items), most_words=200).collect()}
+    assert parts == got
+
+
 def test_leaks_by_brute_force(spark, sf):
     d, e = table(spark, sf, "documents"), table(spark, sf, "eval_items")
     assert pairs(p8_leaks.found(d, e)) == leak_truth(d.select("doc_id", "text").collect(), e.select("item_id", "text").collect())
