@@ -47,6 +47,7 @@ PARTS = (1 / 8, 3 / 8, 1 / 8, 3 / 8)
 
 INSULTS = frozenset(
     "idiot moron imbecile loser scumbag jackass bastard bitch pig parasite liar swine scum vermin coward clown fool dumbass asshole retard cunt whore slut dickhead "
+    "douchebag tosser bellend shithead arsehole motherfucker bastards bitches morons idiots imbeciles scumbags dumbasses assholes retards cunts cretins degenerates lowlifes perverts crackhead numbskull blockhead simpleton "
     "dimwit halfwit cretin weasel maggot cockroach leech degenerate lowlife wretch garbage trash filth dunce nitwit pervert prick twat wanker "
     "kutta kutte kutti kameena kamina kamine kameene kamini harami haramkhor haramzada suar soor gadha gadhe ullu bewaqoof zaleel lanati laanti kanjar beghairat bhains chutiya gandu "
     "randi badzaat ghatiya badtameez nalaiq jahil bandar khabees dalla bhenchod madarchod".split()
