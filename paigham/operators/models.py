@@ -125,14 +125,14 @@ def minimized(data: DataFrame, size: int, costs: np.ndarray, fold: np.ndarray, k
     models = len(costs)
     w = np.zeros((models, size + 1))
 
-    def value(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        loss, gradient, n = _pass(data, at, fold, kind)
+    def value(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        loss, gradient, n = _pass(data, at, fold[which], kind)
         n = np.maximum(n, 1)
-        penalty = 1 / (costs * n)
+        penalty = 1 / (costs[which] * n)
         own = at * np.append(np.ones(size), 0)
         return loss / n + penalty * (own * own).sum(1) / 2, gradient / n[:, None] + penalty[:, None] * own
 
-    f, g = value(w)
+    f, g = value(w, np.arange(models))
     history: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(models)]
     d = np.array([_direction(x, h) for x, h in zip(g, history, strict=True)])
     t = 1 / np.maximum(1.0, np.linalg.norm(g, axis=1))
@@ -140,9 +140,12 @@ def minimized(data: DataFrame, size: int, costs: np.ndarray, fold: np.ndarray, k
     for _ in range(iterations):
         if not going.any():
             break
-        tried = np.where(going[:, None], w + t[:, None] * d, w)
-        f2, g2 = value(tried)
-        for m in np.flatnonzero(going):
+        # Models that are at their minimum take no part in the pass.
+        which = np.flatnonzero(going)
+        tried, f2, g2 = w.copy(), f.copy(), g.copy()
+        tried[which] += t[which, None] * d[which]
+        f2[which], g2[which] = value(tried[which], which)
+        for m in which:
             if f2[m] > f[m] + 1e-4 * t[m] * (g[m] @ d[m]):
                 t[m] /= 2
                 going[m] = t[m] > 1e-8
